@@ -1,8 +1,8 @@
 """Quality classifier from supervised subword embeddings.
 
-Each word and each run of 3 and 4 bytes inside a word is hashed to one of BUCKETS
-embeddings of DIM numbers; a document is their average, and a softmax over two classes
-gives the score.  Embeddings and softmax are learned by numpy stochastic gradient
+Each word and each run of 1 to 3 bytes inside a word is hashed to one of BUCKETS
+embeddings of DIM numbers, and pairs of equal neighbouring words share one; a document
+is their average, and a softmax over two classes gives the score.  Embeddings and softmax are learned by numpy stochastic gradient
 descent on at most SAMPLE labelled documents, those with the least hashes of doc_id
 among the labels whose crc32(doc_id as text) mod 4 is not 2.  Only text is an input.
 
@@ -30,7 +30,8 @@ DIM = 8
 SAMPLE = 4000
 EPOCHS = 5
 RATE = 0.5
-GRAMS = (3, 4)
+GRAMS = (1, 2, 3)
+AGAIN = 5  # the bucket of a word pair whose words are equal
 SEED = 11
 THRESHOLD = 0.7
 
@@ -56,8 +57,10 @@ def features(data: np.ndarray):
 def document_features(texts: pa.Array):
     """For each row, its feature buckets (words and byte runs), in one flat array with offsets."""
     data, offs = text_bytes(texts)
-    starts, _, h, _ = scan_words(data, offs)
-    rows, buckets = [np.searchsorted(offs, starts, side="right") - 1], [(mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    _, _, h, at = scan_words(data, offs)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    again = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
+    rows, buckets = [row, row[again]], [(mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), np.full(len(again), AGAIN)]
     for place, bucket, g in features(data):
         row = np.searchsorted(offs, place, side="right") - 1
         inside = place + g <= offs[row + 1]

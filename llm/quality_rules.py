@@ -1,8 +1,8 @@
 """Quality rules, line-first.
 
 Each line with a word is judged by itself: too many symbols (punctuation rule), cells
-parted by bars or arrows or a short label of a site (navigation rule), a stock phrase
-or a copy of an earlier line (boilerplate rules).  Failing lines are removed; a
+parted by bars or arrows or a short label of a site (navigation rule), a stock phrase,
+words said over and over or a copy of an earlier line (boilerplate rules).  Failing lines are removed; a
 document that then has lost more than MAX_LOST of its words is rejected, and so is one
 that fails the base rules on its whole text.
 
@@ -16,7 +16,7 @@ Windows and lines are told apart by 64-bit hashes and by their bytes.
 
 from __future__ import annotations
 
-import re
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,6 @@ MAX_SYMBOLS = 0.1
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-_SYMBOL = re.compile(rb"[#*$%&|<>]")
 _DROP_SYMBOLS = bytes(range(256)), b"#*$%&|<>"
 NAVIGATION = frozenset(b"home menu login logout register search next previous back top contact about sitemap share print".split())
 PHRASES = (
@@ -42,16 +41,18 @@ PHRASES = (
 )
 
 
-def failing_line(line: bytes, words: int) -> bool:
-    """Whether the punctuation, navigation or phrase rules remove a line with a word."""
+def failing_line(line: bytes, words: list[bytes]) -> bool:
+    """Whether the punctuation, navigation, repetition or phrase rules remove a line with a word."""
     symbols = len(line) - len(line.translate(*_DROP_SYMBOLS))
     if symbols:
         if symbols > MAX_SYMBOLS * len(line):
             return True
-        if line.count(b" | ") + line.count(b" > ") >= 2 and 2 * (line.count(b" | ") + line.count(b" > ")) >= words // 2:
+        if line.count(b" | ") + line.count(b" > ") >= 2 and 4 * (line.count(b" | ") + line.count(b" > ")) >= len(words):
             return True
     low = line.lower()
-    if words <= 3 and low.strip().rstrip(b".:!") and all(w.strip(b".,:!>|") in NAVIGATION for w in low.split()):
+    if len(words) <= 3 and all(w.strip(b".,:!>|") in NAVIGATION for w in low.split()):
+        return True
+    if len(words) >= 4 and 2 * sum(map(eq, words, words[1:])) >= len(words):
         return True
     return any(p in low for p in PHRASES)
 
@@ -61,7 +62,8 @@ def clean_lines(raw: bytes) -> tuple[list[bytes], int, int, int]:
     seen: set[bytes] = set()
     kept, lost, total, repeated = [], 0, 0, 0
     for line in raw.split(b"\n"):
-        words = len(line.split())
+        split = line.split()
+        words = len(split)
         if words == 0:
             kept.append(line)
             continue
@@ -69,7 +71,7 @@ def clean_lines(raw: bytes) -> tuple[list[bytes], int, int, int]:
         again = line in seen
         repeated += again
         seen.add(line)
-        if again or failing_line(line, words):
+        if again or failing_line(line, split):
             lost += words
         else:
             kept.append(line)
