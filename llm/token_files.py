@@ -144,10 +144,13 @@ def encoder(path: str) -> WordEncoder:
     return _workers[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(doc_id, ids) of each row, ids as little-endian unsigned 16-bit integers, or 32-bit after a leading byte 4."""
-    shape = "doc_id long, ids binary"
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+def tokenize(docs: DataFrame, tokenizer: str, *order: str) -> DataFrame:
+    """(doc_id, ids) of each row and the columns named in order.
+
+    ids are a byte 2 and little-endian unsigned 16-bit integers, or a byte 4 and 32-bit ones.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *order)
+    shape = ", ".join(["doc_id long", "ids binary", *(f"`{c}` {t}" for c, t in rows.select(*order).dtypes)] if order else ["doc_id long", "ids binary"])
 
     def apply(batches):
         for batch in chunks(batches, "text", 4 << 20):
@@ -155,9 +158,9 @@ def tokenize(docs: DataFrame, tokenizer: str) -> DataFrame:
             wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
             flat = ids if wide else ids.astype(np.uint16)
             blobs = [(b"\x04" if wide else b"\x02") + flat[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *batch.columns[2:]], names=["doc_id", "ids", *order])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, shape)
+    return rows.mapInArrow(apply, shape)
 
 
 def _ids(blob: bytes) -> np.ndarray:
