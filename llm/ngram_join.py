@@ -57,7 +57,7 @@ from llm.textkernel import mix, scan_words, shingle_set, text_bytes
 HEAVY = 32
 MAX_HEAVY = 1 << 18
 ORDER_BITS = 1 << 27
-MEMBER_BITS = 1 << 27
+MEMBER_BITS = 1 << 26
 CELL = 4096
 _B = np.uint64(0xD6E8FEB86659FD93)
 

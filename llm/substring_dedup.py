@@ -32,7 +32,8 @@ from llm.common import bits_key, bits_of, bucket_of, buckets, chunks, cut, ints,
 from llm.textkernel import mix, scan_words, shingles, text_bytes
 
 M = 8
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 27
+CHUNK = 3 << 20
 _C = np.uint64(0xA0761D6478BD642F)
 _ENTRY = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("words", "<u4")])
 
@@ -109,7 +110,7 @@ def _minimisers(docs: DataFrame, k: int, m: int, n: int) -> Bits:
     size = max(1, FILTER_BITS // 8 // n)
 
     def spread(batches):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             _, h, at, _ = _scan(batch)
             x = np.sort(super_kmers(h, at, k, m)[3])
             first = run_starts(x)
@@ -148,11 +149,12 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
     schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("blob", pa.binary())])
 
     def spread(batches):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             ids, h, keys, row, place, windows, low, start, words, same, later = _distinct(batch, k, m)
             if not len(row):
                 continue
-            rows = [(int(q % n), int(q), int(s), int(w), None) for q, s, w in zip(keys[row[later]].tolist(), start[later].tolist(), words[later].tolist())]
+            rows = []
+            yield from _spans(keys, row[later], start[later], words[later], n, schema)
             # at equal places all of them are kept apart for the bucket to see
             send = np.flatnonzero(~later & wanted.value.has(low))
             bucket = bucket_of(low[send], n)
@@ -224,6 +226,22 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
     return to_buckets(docs.mapInArrow(spread, shape), n).mapInArrow(sort_windows, shape).select("key", "start", "words")
 
 
+def _spans(keys, row, start, words, n: int, schema: pa.Schema):
+    """Overlapping or touching spans of a row become one."""
+    if not len(row):
+        return
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], (start + words)[order]
+    base = row.astype(np.int64) << 40  # rows apart, so one running maximum serves all of them
+    reach = np.maximum.accumulate(base + end)
+    first = np.flatnonzero(np.concatenate(([True], (base + start)[1:] > reach[:-1])))
+    last = np.append(first[1:], len(row)) - 1
+    key = keys[row[first]]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array((key % n).astype(np.int32)), pa.array(key), pa.array(start[first].astype(np.int64)), pa.array((reach[last] - base[first] - start[first]).astype(np.int64)), pa.nulls(len(first), pa.binary())], schema=schema
+    )
+
+
 def _kept(words: list[bytes], spans) -> tuple[list[bytes], int]:
     keep = np.ones(len(words), bool)
     for s, w in spans:
@@ -241,7 +259,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
     kept = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def each(batches, hit: bool):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             _, _, _, keys = _scan(batch)
             mask = touched.value.has(bits_key(keys))
             mask = mask if hit else ~mask
