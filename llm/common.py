@@ -3,6 +3,7 @@ bounded bit filters, salted joins and connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -14,9 +15,26 @@ from pyspark.sql import functions as F
 from llm.textkernel import mix, text_bytes
 
 CHUNK_BYTES = 8 << 20
+ARROW_ROWS = 2000
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows, as texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker's next batch may be of another shape."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,6 +82,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         if batch.num_rows == 0:
             continue
         offs = text_bytes(batch.column(batch.schema.get_field_index(column)))[1]
+        offs = offs.copy()  # the view would keep the bytes
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit - size, side="right")) - 1)
@@ -73,6 +92,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             if size >= limit or at < batch.num_rows:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 held, size = [], 0
+                trim()
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 

@@ -33,7 +33,7 @@ from llm.textkernel import mix, scan_words, shingles, text_bytes
 
 M = 8
 FILTER_BITS = 1 << 27
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 _C = np.uint64(0xA0761D6478BD642F)
 _ENTRY = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("words", "<u4")])
 
