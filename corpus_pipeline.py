@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import decontaminate, mixing, ngram_join, quality_rules, token_files
-from llm.common import buckets, cut, shared_dir, table
+from llm.common import bounded_batches, buckets, cut, shared_dir, table
 from llm.queries import tokenizer_file
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go from each text; documents that the rules reject go."""
+    bounded_batches(spark)
     return quality_rules.clean(docs)
 
 
