@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import bits_key, bits_of, bucket_of, buckets, chunks, cut, ints, packed, ranges, release, run_starts, split_by, to_buckets, Bits, segment
+from llm.common import bits_key, bits_of, bucket_of, buckets, chunks, cut, ints, packed, ranges, release, run_starts, split_by, to_buckets, trim, Bits, segment
 from llm.textkernel import mix, scan_words, shingles, text_bytes
 
 M = 8
 FILTER_BITS = 1 << 27
-CHUNK = 2 << 20
+CHUNK = 4 << 20
+PARTS = 16  # a bucket is sorted in this many parts, one after the other
 _C = np.uint64(0xA0761D6478BD642F)
 _ENTRY = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("words", "<u4")])
 
@@ -157,33 +158,39 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
             yield from _spans(keys, row[later], start[later], words[later], n, schema)
             # at equal places all of them are kept apart for the bucket to see
             send = np.flatnonzero(~later & wanted.value.has(low))
-            bucket = bucket_of(low[send], n)
-            order, cut_at = split_by(bucket, n)
+            order, cut_at = split_by(bucket_of(low[send], n * PARTS), n * PARTS)
             send = send[order]
             e = np.empty(len(send), _ENTRY)
             e["doc"], e["key"], e["start"], e["words"] = ids[row[send]], keys[row[send]], start[send], words[send]
             ends = np.concatenate(([0], np.cumsum(words[send])))
             body = h[ranges(place[send], words[send])]
-            for b in range(n):
+            for b in range(n * PARTS):
                 a, z = cut_at[b], cut_at[b + 1]
                 if z > a:
-                    rows.append((b, None, None, None, np.uint32(z - a).tobytes() + e[a:z].tobytes() + body[ends[a] : ends[z]].tobytes()))
+                    rows.append((b // PARTS, None, b, None, np.uint32(z - a).tobytes() + e[a:z].tobytes() + body[ends[a] : ends[z]].tobytes()))
             if rows:
                 yield packed(schema, rows)
 
     def sort_windows(batches):
-        entries, bodies = [], []
+        parts: dict[int, list[bytes]] = {}
         for batch in batches:
             blobs = batch.column(4)
             done = batch.filter(pa.compute.is_null(blobs))
             if done.num_rows:
                 yield done
-            for blob in blobs.drop_null().to_pylist():
-                c = int(np.frombuffer(blob, np.uint32, 1)[0])
-                entries.append(np.frombuffer(blob, _ENTRY, c, 4))
-                bodies.append(np.frombuffer(blob, np.uint64, -1, 4 + c * _ENTRY.itemsize))
-        if not entries:
-            return
+            rest = batch.filter(pa.compute.is_valid(blobs))
+            for part, blob in zip(rest.column(2).to_pylist(), rest.column(4).to_pylist()):
+                parts.setdefault(part, []).append(blob)
+        for part in sorted(parts):
+            yield from sort_part(parts.pop(part))
+            trim()
+
+    def sort_part(blobs):
+        entries, bodies = [], []
+        for blob in blobs:
+            c = int(np.frombuffer(blob, np.uint32, 1)[0])
+            entries.append(np.frombuffer(blob, _ENTRY, c, 4))
+            bodies.append(np.frombuffer(blob, np.uint64, -1, 4 + c * _ENTRY.itemsize))
         e, h = np.concatenate(entries), np.concatenate(bodies)
         words = e["words"].astype(np.int64)
         begin = np.concatenate(([0], np.cumsum(words)))[:-1]
