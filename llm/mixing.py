@@ -57,19 +57,18 @@ def schedule(weights: dict[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def place(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """docs with a column ``_mix``: stream, block (from 1), row in the block (from 0), release, deadline, slot."""
+def _placed(docs: DataFrame, weights: dict[str, int], other: int, block_rows: int) -> DataFrame:
+    """Columns ``row`` (all of docs, so that no name can clash) and ``mix``."""
     weights = {**weights, OTHER: other}
     total = sum(weights.values())
     slots = schedule(weights)
-    # one key column holds what ranks need, so that no column of docs can clash with it
-    stream = F.when(F.col("source").isin([w for w in weights if w != OTHER]), F.col("source")).otherwise(F.lit(OTHER))
-    digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.withColumn("_mix", F.struct(stream.alias("stream"), digest.alias("hash"), F.substring(digest, 1, DIGITS).alias("digits")))
+    stream = F.when(F.col("row.source").isin([w for w in weights if w != OTHER]), F.col("row.source")).otherwise(F.lit(OTHER))
+    digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))).cast("binary"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).withColumn("_mix", F.struct(stream.alias("stream"), digest.alias("hash"), F.substring(digest, 1, DIGITS).alias("digits")))
     counts = rows.groupBy(F.col("_mix.stream").alias("_stream"), F.col("_mix.digits").alias("_digits")).agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_stream").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_stream", "_digits", F.coalesce(before, F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_mix.stream", "_mix.digits").orderBy("_mix.hash", "doc_id"))
+    local = F.row_number().over(Window.partitionBy("_mix.stream", "_mix.digits").orderBy("_mix.hash", "row.doc_id"))
     ranked = rows.withColumn("_rank", local).join(F.broadcast(offsets), (F.col("_mix.stream") == F.col("_stream")) & (F.col("_mix.digits") == F.col("_digits")))
     rank = F.col("_rank") - 1 + F.col("_before")
     block = F.floor(rank / block_rows)
@@ -78,15 +77,19 @@ def place(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = 1, bl
     slot = F.floor(F.col("_block") / F.col("_weight")) * total + F.element_at(F.element_at(table, F.col("_mix.stream")), (F.col("_block") % F.col("_weight") + 1).cast("int"))
     done = ranked.withColumn("_block", block).withColumn("_weight", weight).withColumn("_place", rank % block_rows)
     return done.select(
-        *[docs[c] for c in docs.columns],
+        "row",
         F.struct(
             F.col("_mix.stream").alias("stream"), (F.col("_block") + 1).cast("long").alias("block"), F.col("_place").cast("int").alias("row"),
             F.floor(F.col("_block") * total / F.col("_weight")).cast("long").alias("release"), F.ceil((F.col("_block") + 1) * total / F.col("_weight")).cast("long").alias("deadline"), slot.cast("long").alias("slot"),
-        ).alias("_mix"),
+        ).alias("mix"),
     )
 
 
+def place(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """docs with a column ``_mix`` (in place of one of that name): stream, block (from 1), row in the block (from 0), release, deadline, slot."""
+    return _placed(docs.drop("_mix"), weights, other, block_rows).select("row.*", F.col("mix").alias("_mix"))
+
+
 def mixed(docs: DataFrame, weights: dict[str, int] = WEIGHTS, other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The rows of docs in the order of the mix: files written from it hold it in the order of their names."""
-    out = place(docs, weights, other, block_rows)
-    return out.orderBy("_mix.slot", "_mix.row").select(docs.columns)
+    return _placed(docs, weights, other, block_rows).orderBy("mix.slot", "mix.row").select("row.*")
