@@ -81,7 +81,7 @@ def missing_citations(cited: DataFrame, entries: DataFrame) -> DataFrame:
 
 def single_definitions(definitions: DataFrame) -> DataFrame:
     """AG5, AG7: names with one declaration keep their value; conflicting ones have none."""
-    return definitions.groupBy("name").agg(F.count("*").alias("n"), F.when(F.count_distinct("value") == 1, F.min("value")).alias("value"))
+    return definitions.groupBy("name").agg(F.count("*").alias("n"), F.when(F.min("value") == F.max("value"), F.min("value")).alias("value"))
 
 
 def changed_keys(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

@@ -35,10 +35,16 @@ def writeback(texts: DataFrame, segments: DataFrame, translations: DataFrame) ->
     """
     t = segments.join(translations, "key", "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("spans"))
     rows = texts.join(t, "file", "left")
-    spans = F.filter(F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda s: s["value"].isNotNull())
-    step = lambda a, s: F.struct(F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), s["value"]).alias("out"), s["end"].cast("int").alias("at"))
-    end = lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
-    return rows.select("file", F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, end).alias("text"))
+    return rows.select("file", spliced(F.col("text"), F.col("spans")).alias("text"))
+
+
+def spliced(text: Column, spans: Column) -> Column:
+    """JN4: a text with the values of ordered spans (start, end, value) in their places; null values leave it as it is."""
+    kept = F.filter(F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,value:string>>")), lambda s: s["value"].isNotNull())
+    # pieces are gathered and joined once: the text is not copied for each span
+    step = lambda a, s: F.struct(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), s["value"])).alias("out"), s["end"].cast("int").alias("at"))
+    end = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
+    return F.aggregate(kept, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step, end)
 
 
 def unmask(masked: Column, protected: Column) -> Column:

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.functions import ids, text
+from texloom.functions import ids, records, response, text
 from texloom.operators import align, graph, library, segments
+from texloom.tex import frames
 
 STATUS = "case o_orderstatus when 'F' then 'completed' when 'O' then 'partial' else case when o_orderkey % 3 = 0 then 'translating' else 'failed' end end"
 
@@ -92,14 +93,15 @@ def reusable_result(spark, sf_dir):
 
 
 def _keyed(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    requests = e.where("event_id % 2 = 1").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("idempotency_key"), F.col("event_type").alias("fingerprint"))
-    bound = e.where("event_id % 2 = 0 and user_id % 3 <> 0").select(F.col("user_id").alias("idempotency_key"), F.col("event_id").alias("ordinal"), F.col("event_id").alias("job_id"), F.col("event_type").alias("fingerprint"))
+    """Every event is a request with its user's key; every order has bound the key of its customer."""
+    requests = read(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("idempotency_key"), F.col("event_type").alias("fingerprint"))
+    bound = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("idempotency_key"), F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("job_id"), F.expr(BOUND).alias("fingerprint"))
     return requests, bound
 
 
-REPLAY_SQL = """first AS (SELECT user_id AS k, min(event_id) AS job_id, arg_min(event_type, event_id) AS fp FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 0 GROUP BY 1),
-replay AS (SELECT event_id AS request_id, CASE WHEN fp IS NULL THEN 'new' WHEN fp = event_type THEN 'replay' ELSE 'conflict' END AS outcome, CASE WHEN fp = event_type THEN job_id END AS job_id FROM events LEFT JOIN first ON k = user_id WHERE event_id % 2 = 1)"""
+BOUND = "case o_orderstatus when 'F' then 'click' when 'O' then 'view' else 'error' end"
+REPLAY_SQL = f"""first AS (SELECT o_custkey AS k, min(o_orderkey) AS job_id, arg_min({BOUND}, o_orderkey) AS fp FROM orders GROUP BY 1),
+replay AS (SELECT event_id AS request_id, CASE WHEN fp IS NULL THEN 'new' WHEN fp = event_type THEN 'replay' ELSE 'conflict' END AS outcome, CASE WHEN fp = event_type THEN job_id END AS job_id FROM events LEFT JOIN first ON k = user_id)"""
 
 
 @query(f"WITH {REPLAY_SQL} SELECT request_id, outcome, job_id FROM replay")
@@ -140,24 +142,24 @@ def latest_change(spark, sf_dir):
     return library.upsert(e.where("event_id < 100"), e.where("event_id >= 100"), "user_id", "event_id").select("user_id", "event_type", "event_id")
 
 
-@query("SELECT user_id, event_type, min(event_id) AS request_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey < 50) GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type, min(event_id) AS request_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') GROUP BY user_id, event_type")
 def batch_submit(spark, sf_dir):
     """UP7."""
     e = read(spark, sf_dir, "events").select("user_id", "event_type", F.col("event_id").alias("request_id"))
-    active = read(spark, sf_dir, "orders").where("o_orderkey < 50").select(F.col("o_custkey").alias("user_id"))
+    active = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id")).distinct()
     return library.submit_once(e, active.join(e.select("user_id", "event_type").distinct(), "user_id"), ["user_id", "event_type"]).select("user_id", "event_type", "request_id")
 
 
-@query("""SELECT page_id, CASE WHEN contains(url, 'example.com') THEN 'custom' ELSE 'custom' END AS service, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages""")
+@query("""SELECT page_id, CASE WHEN contains(url, '://api.deepl.com/') THEN 'deepl' ELSE 'custom' END AS service, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages""")
 def endpoint_class(spark, sf_dir):
     """STR6."""
     return read(spark, sf_dir, "pages").select("page_id", text.service(F.col("url")).alias("service"), text.url_host(F.col("url")).alias("host"))
 
 
-@query("SELECT doc_id, regexp_replace(substr(text, 1, 300) || ' sk-ab.c-9_x end', 'sk-[A-Za-z0-9._\\-]+', '[hidden]', 'g') AS t FROM documents")
+@query("SELECT doc_id, regexp_replace(text || ' sk-ab.c-9_x end', 'sk-[A-Za-z0-9._\\-]+', '[hidden]', 'g') AS t FROM documents")
 def redaction(spark, sf_dir):
     """STR7."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.redact(F.concat(F.substring("text", 1, 300), F.lit(" sk-ab.c-9_x end"))).alias("t"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.redact(F.concat("text", F.lit(" sk-ab.c-9_x end"))).alias("t"))
 
 
 @query("""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents)
@@ -209,19 +211,19 @@ def writeback(spark, sf_dir):
     return segments.writeback(d, s, t)
 
 
-@query("SELECT doc_id, 1 + length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) AS line FROM documents")
+@query("SELECT doc_id, 1 + length(text) - length(replace(text, chr(10), '')) AS line FROM documents")
 def line_numbers(spark, sf_dir):
     """JN7."""
-    return read(spark, sf_dir, "documents").select("doc_id", segments.line_of(F.col("text"), F.lit(500)).cast("long").alias("line"))
+    return read(spark, sf_dir, "documents").select("doc_id", segments.line_of(F.col("text"), F.length("text")).cast("long").alias("line"))
 
 
 def _edges(spark, sf_dir):
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
-    e = p.where("k > 0").select(F.lit(1).alias("project"), F.floor((F.col("k") - 1) / 5).cast("long").alias("src"), F.col("k").alias("dst"), (F.col("k") % 17 == 0).alias("opaque"))
-    return p, e.where("dst % 23 <> 0")
+    e = p.where("k > 0").select(F.lit(1).alias("project"), F.when(F.col("k") % 23 == 0, F.col("k")).otherwise(F.floor((F.col("k") - 1) / 5).cast("long")).alias("src"), F.col("k").alias("dst"), (F.col("k") % 17 == 0).alias("opaque"))
+    return p, e
 
 
-EDGE_SQL = "e AS (SELECT (p_partkey - 1) // 5 AS src, p_partkey AS dst, p_partkey % 17 = 0 AS opaque FROM part WHERE p_partkey > 0 AND p_partkey % 23 <> 0)"
+EDGE_SQL = "e AS (SELECT CASE WHEN p_partkey % 23 = 0 THEN p_partkey ELSE (p_partkey - 1) // 5 END AS src, p_partkey AS dst, p_partkey % 17 = 0 AS opaque FROM part WHERE p_partkey > 0)"
 
 
 @query(f"WITH RECURSIVE {EDGE_SQL}, r(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM r JOIN e ON src = node) SELECT node FROM r")
@@ -241,12 +243,12 @@ def include_roles(spark, sf_dir):
     return graph.roles(e, root, p.select(F.lit(1).alias("project"), F.col("k").alias("node"))).select("node", "role")
 
 
-@query("SELECT user_id AS section, list_sort(list(DISTINCT event_type)) AS missing FROM events WHERE event_id % 3 = 0 AND NOT (event_type = 'click' AND user_id % 2 = 0) GROUP BY user_id")
+@query("SELECT user_id AS section, list_sort(list(DISTINCT event_type)) AS missing FROM events WHERE NOT (event_type = 'click' AND user_id IN (SELECT o_custkey FROM orders)) GROUP BY user_id")
 def missing_citations(spark, sf_dir):
     """JN14."""
     e = read(spark, sf_dir, "events")
-    cited = e.where("event_id % 3 = 0").select(F.col("user_id").alias("section"), F.col("event_type").alias("key"))
-    entries = e.where("user_id % 2 = 0").select(F.col("user_id").alias("section"), F.lit("click").alias("key")).distinct()
+    cited = e.select(F.col("user_id").alias("section"), F.col("event_type").alias("key"))
+    entries = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("section"), F.lit("click").alias("key")).distinct()
     return graph.missing_citations(cited, entries)
 
 
@@ -271,14 +273,14 @@ def height_offsets(spark, sf_dir):
     return align.page_starts(h).select("pair_id", "page", "start")
 
 
-@query("""WITH l AS (SELECT user_id AS p, event_id::DOUBLE AS o, event_id * 2.0 AS t FROM events WHERE event_id % 10 = 0), q AS (SELECT user_id AS p, event_id AS q, event_id + 0.5 AS v FROM events WHERE event_id % 10 = 3),
+@query("""WITH l AS (SELECT user_id AS p, event_id::DOUBLE AS o, event_id * 3.0 + event_id % 2 AS t FROM events WHERE event_type = 'click'), q AS (SELECT user_id AS p, event_id AS q, event_id + 0.5 AS v FROM events),
 b AS (SELECT q.p, q, v, max_by(STRUCT_PACK(o := o, t := t), o) FILTER (o <= v) AS lo, min_by(STRUCT_PACK(o := o, t := t), o) FILTER (o > v) AS hi FROM q LEFT JOIN l ON l.p = q.p GROUP BY q.p, q, v)
 SELECT p AS pair_id, q AS query_id, round(CASE WHEN lo IS NULL THEN hi.t WHEN hi IS NULL THEN lo.t ELSE lo.t + (v - lo.o) / (hi.o - lo.o) * (hi.t - lo.t) END, 6) AS mapped FROM b""")
 def asof_interpolation(spark, sf_dir):
     """JN6."""
     e = read(spark, sf_dir, "events")
-    marks = e.where("event_id % 10 = 0").select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("original"), (F.col("event_id") * 2).alias("translated"))
-    asked = e.where("event_id % 10 = 3").select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("query_id"), (F.col("event_id") + 0.5).alias("value"))
+    marks = e.where("event_type = 'click'").select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("original"), (F.col("event_id") * 3 + F.col("event_id") % 2).alias("translated"))
+    asked = e.select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("query_id"), (F.col("event_id") + 0.5).alias("value"))
     return align.interpolate(asked, marks).select("pair_id", "query_id", F.round("mapped", 6).alias("mapped"))
 
 
@@ -293,3 +295,103 @@ def greedy_batches(spark, sf_dir):
     """RK14."""
     d = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), "text")
     return align.batches(d, "source")
+
+
+@query()
+def segment_inventory(spark, sf_dir):
+    """TX1, SG1, AG1, JN3: segments and distinct keys of each language and source."""
+    d = read(spark, sf_dir, "documents")
+    key = segments.segment_key(F.col("role"), F.col("source"), F.col("masked"), F.col("protected"))
+    found = frames.segment_table(d.select(F.struct("doc_id", "lang", F.col("source").alias("src")).alias("at"), "text"), "at").select("at.*", key.alias("key"), F.length("source").alias("chars"))
+    # two levels: the keys of a hot source are spread over all tasks before they are counted
+    return found.groupBy("lang", "src", "key").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).groupBy("lang", "src").agg(F.sum("n").alias("segments"), F.count("*").alias("unique_keys"), F.sum("chars").alias("chars"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def writeback_roundtrip(spark, sf_dir):
+    """TX1, SG3, SG5, JN4: texts whose segments are masked, restored and written back are as they were."""
+    d = read(spark, sf_dir, "documents")
+    restored = F.col("r.value")
+    found = frames.segment_table(d, "doc_id").withColumn("r", frames.restored("masked", "protected", "masked")).select("doc_id", "start", "end", restored.alias("value"))
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("spans"))
+    whole = d.select("doc_id", "text").join(spans, "doc_id", "left")
+    return whole.select("doc_id", F.sha2(segments.spliced(F.col("text"), F.col("spans")).cast("binary"), 256).alias("digest"))
+
+
+@query()
+def visible_text(spark, sf_dir):
+    """STR9, STR10: characters of a text outside comments and code."""
+    d = read(spark, sf_dir, "documents").select("doc_id", frames.visible(F.col("text")).alias("t"), frames.without_comments(F.col("text")).alias("u"))
+    bare = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    return d.select("doc_id", F.length("t").alias("chars"), bare(F.col("t")).alias("visible"), bare(F.col("u")).alias("uncommented"))
+
+
+@query("SELECT event_id, CASE WHEN json_type(j, '$.type') = 'VARCHAR' AND json_type(j, '$.k') = 'VARCHAR' THEN json_extract_string(j, '$.k') END AS k FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN '{\"type\": \"click\", \"k\": \"a\"}' WHEN event_type = 'error' THEN '{\"type\": \"error\", \"k\": 5}' ELSE props END AS j FROM events)")
+def marker_json(spark, sf_dir):
+    """JS1: markers whose fields are strings; numbers are no strings."""
+    note = F.when(F.col("event_type") == "click", '{"type": "click", "k": "a"}').when(F.col("event_type") == "error", '{"type": "error", "k": 5}').otherwise(F.col("props"))
+    return read(spark, sf_dir, "events").select("event_id", records.marker_json(note, ("type", "k"))["k"].alias("k"))
+
+
+CHILD_SQL = "c AS (SELECT o_custkey AS parent_id, o_orderpriority AS paper_id, CASE o_orderstatus WHEN 'F' THEN 'translation' ELSE 'original' END AS kind, o_orderkey % 5 = 0 AS warned FROM orders)"
+
+
+@query(f"""WITH {CHILD_SQL}, o AS (SELECT DISTINCT parent_id, paper_id FROM c WHERE kind = 'original'), t AS (SELECT DISTINCT parent_id, paper_id FROM c WHERE kind = 'translation' AND NOT warned),
+m AS (SELECT o.parent_id, count(*) AS n FROM o LEFT JOIN t ON o.parent_id = t.parent_id AND o.paper_id = t.paper_id WHERE t.paper_id IS NULL GROUP BY 1)
+SELECT c.parent_id, CASE WHEN NOT bool_or(kind = 'translation') THEN 'untranslated' WHEN coalesce(any_value(m.n), 0) = 0 THEN 'translated' ELSE 'review' END AS status, coalesce(any_value(m.n), 0) AS uncovered FROM c LEFT JOIN m ON m.parent_id = c.parent_id GROUP BY c.parent_id""")
+def parent_status(spark, sf_dir):
+    """AG10."""
+    o = read(spark, sf_dir, "orders")
+    c = o.select(F.col("o_custkey").alias("parent_id"), F.col("o_orderpriority").alias("paper_id"), F.when(F.col("o_orderstatus") == "F", "translation").otherwise("original").alias("kind"), (F.col("o_orderkey") % 5 == 0).alias("warned"))
+    return records.parent_status(c).select("parent_id", "status", F.size("uncovered").cast("long").alias("uncovered"))
+
+
+@query("""WITH e AS (SELECT o_custkey AS k, printf('%04d.00001', o_custkey % 1000 + CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS base, o_orderkey % 2 + 1 AS v FROM orders),
+g AS (SELECT k, min(base) AS a, max(base) AS b, min(base || 'v' || v) AS c, max(base || 'v' || v) AS d FROM e GROUP BY k)
+SELECT k, CASE WHEN a = b AND c = d THEN a END AS base, CASE WHEN a = b AND c = d THEN c END AS version, NOT (a = b AND c = d) AS conflict FROM g""")
+def evidence_summary(spark, sf_dir):
+    """AG11, RK7."""
+    base = F.format_string("%04d.00001", F.col("o_custkey") % 1000 + F.when(F.col("o_orderstatus") == "P", 1).otherwise(0))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.concat(base, F.lit("v"), (F.col("o_orderkey") % 2 + 1).cast("string")).alias("paper"))
+    return records.evidence(rows, "k", "paper")
+
+
+@query("SELECT event_id, sha256(CAST(to_json({event_id: event_id, event_type: event_type, user_id: user_id}) AS VARCHAR)) AS fingerprint FROM events")
+def request_fingerprint(spark, sf_dir):
+    """HS2."""
+    return read(spark, sf_dir, "events").select("event_id", records.request_fingerprint("user_id", "event_type", "event_id").alias("fingerprint"))
+
+
+@query("""SELECT page_id, CASE WHEN NOT coalesce(regexp_matches(lower(url), '[.](tex|zip|tar|tgz|gz)$'), false) THEN 'unsupported_type' WHEN NOT coalesce(length(html) > 0, false) THEN 'empty' WHEN length(html) > 80000000 THEN 'too_large' END AS upload,
+ CASE WHEN NOT coalesce(regexp_matches(url, '^https?://[^/?#\\s]+'), false) THEN 'invalid_url' WHEN regexp_matches(url, '^https?://[^/?#]*@') THEN 'credentials_in_url' WHEN regexp_matches(url, '[?#]') THEN 'query_in_url' END AS address FROM pages""")
+def input_rules(spark, sf_dir):
+    """VL7, VL8."""
+    return read(spark, sf_dir, "pages").select("page_id", records.upload_error(F.col("url"), F.length("html")).alias("upload"), records.url_error(F.col("url")).alias("address"))
+
+
+@query("SELECT event_type AS name, count(*) AS n, CASE WHEN min(user_id) = max(user_id) THEN min(user_id) END AS value FROM events GROUP BY 1")
+def single_definitions(spark, sf_dir):
+    """AG5, AG7."""
+    return graph.single_definitions(read(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("value")))
+
+
+@query("""WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer), b AS (SELECT o_custkey AS k, min(o_orderkey) % 25 AS v FROM orders GROUP BY 1)
+SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.v IS DISTINCT FROM b.v""")
+def changed_keys(spark, sf_dir):
+    """ST4."""
+    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("long").alias("v"))
+    b = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg((F.min("o_orderkey") % 25).alias("v"))
+    return graph.changed_keys(a, b, "k", "v")
+
+
+@query()
+def page_heads(spark, sf_dir):
+    """HT1, HT2: titles and versions that page heads state."""
+
+    @F.pandas_udf("struct<title: string, versions: array<int>>")
+    def head(html):
+        import pandas as pd
+
+        return pd.DataFrame([(response.page_title(h or "", ""), response.history_versions(h or "")) for h in html], columns=["title", "versions"])
+
+    return read(spark, sf_dir, "pages").select("page_id", head("html").alias("h")).select("page_id", "h.*")
