@@ -13,7 +13,8 @@ than k words count as one shingle).  Two documents link when
    any global order.  Two orders are used, which rank the non-heavy shingles by
    different hashes; a pair has to share a prefix token under both.  Pairs whose only
    common prefix tokens are heavy are found through the heavy lists, which give a
-   forest and not all pairs.
+   forest and not all pairs.  So do lists of more than ``heavy`` sets whose token has
+   no place among the heavy ones: no list ever gives more than ``heavy`` pairs a set.
 4. Candidates form groups.  Each group's sets meet once, in cells of at most
    ``cell`` sets, and every overlap in a cell is counted exactly from an inverted
    index over the differences from the cell's majority set.
@@ -120,7 +121,7 @@ def overlap_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
-def _count_stage(docs: DataFrame, k: int, n: int) -> DataFrame:
+def _count_stage(docs: DataFrame, k: int, n: int, max_heavy: int) -> DataFrame:
     """Rows of kind doc (doc_id, fp, n), order (a bucket's filter and level) and heavy (a shingle key, its count)."""
     shape = "bucket int, kind string, doc_id long, fp long, n long, blob binary"
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
@@ -160,7 +161,7 @@ def _count_stage(docs: DataFrame, k: int, n: int) -> DataFrame:
             while level < HEAVY and int((c >= level).sum()) > size:
                 level += 1
             top = np.flatnonzero(c >= HEAVY)
-            top = top[np.argsort(-c[top], kind="stable")[: max(1, MAX_HEAVY // n)]]
+            top = top[np.argsort(-c[top], kind="stable")[: max(1, max_heavy // n)]]
             rows = [(b, "order", None, level, None, segment(x[c >= level], size))]
             rows += [(b, "heavy", None, int(v), int(w), None) for v, w in zip(x[top].tolist(), c[top].tolist())]
             yield packed(schema, rows)
@@ -210,7 +211,7 @@ class ShingleOrder:
 
 
 def _candidate_stage(docs: DataFrame, order: ShingleOrder, k: int, num: int, den: int) -> DataFrame:
-    """(kind, u, v): kind 0 and 1, pairs that share a prefix token under order A and B; kind 2, a forest of each heavy list."""
+    """(kind, u, v): kind 0 and 1, pairs that share a prefix token under order A and B; kind 2, a forest of each heavy or long list."""
     spark = docs.sparkSession
     n = order.n
     shared = spark.sparkContext.broadcast(order)
@@ -272,21 +273,28 @@ def _candidate_stage(docs: DataFrame, order: ShingleOrder, k: int, num: int, den
             e = np.unique(e)  # by token, then n, then fp
             at = np.append(run_starts(e["token"]), len(e))
             many = np.diff(at)
-            pairs = []
+            pairs, chains = [], []
             for a, z in zip(at[:-1][many > 1].tolist(), at[1:][many > 1].tolist()):
                 f, s = e["fp"][a:z], e["n"][a:z].astype(np.int64)
                 if kind == 2:
                     pairs.append(np.stack((f, np.full(len(f), f.min())), 1))
                     continue
+                if len(f) > HEAVY:
+                    # in the order of sizes, all between two sets that can link are within reach one by one
+                    step = s[1:] * num <= s[:-1] * den
+                    chains.append(np.sort(np.stack((f[:-1][step], f[1:][step]), 1), axis=1))
+                    continue
                 last = np.searchsorted(s, s * den // num, side="right")  # longer partners are out of reach
                 own = np.arange(len(f))
                 many_ = last - own - 1
                 left, right = np.repeat(own, many_), ranges(own + 1, many_)
                 pairs.append(np.sort(np.stack((f[left], f[right]), 1), axis=1))
-            if pairs:
-                p = np.unique(np.concatenate(pairs), axis=0)
+            for as_kind, found in ((kind, pairs), (2, chains)):
+                if not found:
+                    continue
+                p = np.unique(np.concatenate(found), axis=0)
                 p = p[p[:, 0] != p[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.full(len(p), kind, np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.full(len(p), as_kind, np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary())], schema=schema)
 
     return to_buckets(docs.select("text").mapInArrow(spread, shape), n).mapInArrow(pair, shape).select("kind", "u", "v").distinct()
 
@@ -345,12 +353,12 @@ def _cell_stage(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int,
     return rows.repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b", "node").mapInArrow(link, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, k: int, num: int, den: int, cell: int = CELL) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int, num: int, den: int, cell: int = CELL, max_heavy: int = MAX_HEAVY) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     n = buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = cut(_count_stage(docs, k, n), "ngram-counts")
+    counted = cut(_count_stage(docs, k, n, max_heavy), "ngram-counts")
     order = ShingleOrder(counted.where("kind in ('order', 'heavy')").collect(), n)
     release(spark)
     found = cut(_candidate_stage(docs, order, k, num, den), "ngram-candidates")

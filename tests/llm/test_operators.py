@@ -65,6 +65,8 @@ def test_ngram_join(docs, empty):
     assert got == want
     small = {(r[0], r[1], r[2]) for r in ngram_join.jaccard_components(docs, 4, 85, 100, cell=7).collect()}
     assert small == want
+    full = {(r[0], r[1], r[2]) for r in ngram_join.jaccard_components(docs, 4, 85, 100, max_heavy=0).collect()}
+    assert full == want
     assert ngram_join.jaccard_components(empty, 4, 85, 100).count() == 0
     kept = ngram_join.deduplicate(docs, 4, 85, 100)
     assert kept.columns == docs.columns
@@ -253,12 +255,72 @@ def test_mixing(docs, empty):
     assert sum(mixing.integer_weights({"a": 0.7, "b": 0.299, "c": 0.001}).values()) == 1000
 
 
+def pipeline_rows(rows, items, encode):
+    """The pipeline by brute force: lists of (doc_id, text, source) and of item texts."""
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    lower = lambda t: [low(w.encode()) for w in split(t)]
+    kept = []
+    for d, t, s in rows:
+        w = split(t or "")
+        win = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        rep = {j for i in range(len(w) - 7) if win[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines, lost = [], 0
+        for i, line in enumerate((t or "").split("\n")):
+            here = split(line)
+            if here and (line in (t or "").split("\n")[:i] or quality_rules.failing_line(line.encode(), [x.encode() for x in here])):
+                lost += len(here)
+            else:
+                lines.append(line)
+        if len(w) >= 20 and 100 * len(rep) <= 30 * len(w) and 2 * lost <= len(w):
+            kept.append((d, "\n".join(lines), s))
+    sets = [grams(x, 5) if len(x) >= 5 else {tuple(x)} if x else set() for x in (lower(t) for _, t, _ in kept)]
+    label = list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    least = {}
+    for (d, _, _), g in zip(kept, label):
+        if d is not None:
+            least[g] = min(least.get(g, d), d)
+    kept = [r for r, g in zip(kept, label) if r[0] is None or r[0] == least[g]]
+    tests = [(grams(w, min(5, len(w))), min(5, len(w))) for w in map(lower, items) if w]
+    kept = [r for r in kept if not any(5 * len(s & grams(lower(r[1]), k)) >= 4 * len(s) for s, k in tests)]
+    weights = {**mixing.WEIGHTS, mixing.OTHER: 1}
+    slots = mixing.schedule(weights)
+    order = []
+    for stream, a in weights.items():
+        own = [r for r in kept if (r[2] if r[2] in mixing.WEIGHTS else mixing.OTHER) == stream]
+        own.sort(key=lambda r: (hashlib.md5((mixing.SEED + ("" if r[0] is None else str(r[0]))).encode()).hexdigest(), r[0] or 0))
+        for i, r in enumerate(own):
+            b = i // mixing.BLOCK_ROWS
+            order.append((b // a * sum(weights.values()) + slots[stream][b % a], i % mixing.BLOCK_ROWS, r))
+    out, at = [], 0
+    for *_, (d, t, _) in sorted(order, key=lambda x: x[:2]):
+        ids = encode(t) + [2]
+        out.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    return out
+
+
 def test_pipeline(spark, docs, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
 
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    lines = corpus()[5].split()
+    rows.append((1000, "\n".join([" ".join(lines), "Home", "click here to read more", " ".join(lines[:4]) + " end"] * 2), "src1"))
     path = str(tmp_path / "sf")
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(path + "/documents.parquet")
-    spark.createDataFrame([(1, corpus()[1])], "item_id long, text string").write.parquet(path + "/benchmark.parquet")
-    out = p.run(spark, path).collect()
-    assert out and sum(r["n_tokens"] for r in out) == max(r["start"] + r["n_tokens"] for r in out)
+    spark.createDataFrame([(d, t, "en", s, 0) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(path + "/documents.parquet")
+    items = [corpus()[1], corpus()[3]]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(path + "/benchmark.parquet")
+    want = pipeline_rows(rows, items, lambda t: tok.encode(t, add_special_tokens=False).ids)
+    got = sorted(map(tuple, p.run(spark, path).collect()), key=lambda r: r[1])
+    assert got == want and len(want) > 20
     assert [s[0] for s in p.STAGES][0] == "quality rules"
