@@ -42,7 +42,7 @@ END_ID = 2
 MAX_BITS = 20
 BLOCK_TOKENS = 1 << 20
 STEP = 256
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 500_000
 _MAGIC = b"HB1\n"
 _NULL = -(2**63)
 _TAIL = ".,;:!?#*$%&|()-\"+=/"
@@ -61,7 +61,7 @@ _LETTERS = _byte_letters()
 
 
 class WordEncoder:
-    """Ids of words, kept in flat arrays; a full cache starts anew."""
+    """Ids of words, kept in flat arrays; a full cache keeps the words of the rows at hand."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,8 +92,6 @@ class WordEncoder:
         return self.tokenizer.encode(w, add_special_tokens=False).ids
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.known) + len(hashes) > CACHE_WORDS:
-            self.known, self.at, self.ids = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
         found = [self.word(w) for w in words]
         sizes = np.concatenate((np.diff(self.at), np.fromiter(map(len, found), np.int64, len(found))))
         flat = np.concatenate((self.ids, np.fromiter((i for f in found for i in f), np.uint32)))
@@ -104,6 +102,12 @@ class WordEncoder:
         self.ids = flat[ranges(starts[order], sizes)]
         self.at = np.concatenate(([0], np.cumsum(sizes)))
 
+    def keep(self, words: np.ndarray) -> None:
+        """Only these words, given by their places in ascending order, stay."""
+        sizes = np.diff(self.at)[words]
+        self.known, self.ids = self.known[words], self.ids[ranges(self.at[words], sizes)]
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows with their end ids, offsets by row)."""
         rows = len(column)
@@ -120,7 +124,7 @@ class WordEncoder:
         if missing.any():
             raw = data.tobytes()
             if len(self.known) + int(missing.sum()) > CACHE_WORDS:
-                missing[:] = True
+                self.keep(place[~missing])
             i = first[missing]
             self.add(u[missing], [raw[a:b].decode("utf-8") for a, b in zip(starts[i].tolist(), ends[i].tolist())])
             place = np.searchsorted(self.known, u)

@@ -227,6 +227,19 @@ def test_token_files(docs, empty):
     assert token_files.round_trip(empty, path).count() == 0
 
 
+def test_full_word_cache(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 20)
+    encoder = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t or "" for t in corpus()]
+    for i in range(0, len(texts), 3):
+        ids, at = encoder.encode(pa.array(texts[i : i + 3]))
+        want = [e.ids + [2] for e in encoder.tokenizer.encode_batch(texts[i : i + 3], add_special_tokens=False)]
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == want
+
+
 def test_huffman_codes():
     rng = np.random.default_rng(4)
     for counts in ([(7, 1)], [(1, 5), (9, 5)], [(i, int(x)) for i, x in enumerate(2 ** np.arange(30))], [(i, int(x)) for i, x in enumerate(rng.integers(1, 1000, 700))]):
