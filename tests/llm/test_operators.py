@@ -110,6 +110,34 @@ def test_log_frequency_levels():
     assert (level >= lm_scoring.levels(counts)).all() and (level == lm_scoring.levels(counts)).mean() > 0.98
 
 
+def lm_rows(docs, least_pair):
+    """(doc_id, tokens, score) by brute force, from counts at the middle of their levels."""
+    rows = [(r["doc_id"], low((r["text"] or "").encode()).split() + [None]) for r in docs.collect()]
+    train = [w for d, w in rows if zlib.crc32(b"" if d is None else str(d).encode()) % 10]
+    count = Counter(x for w in train for x in w)
+    two = Counter(x for w in train for x in zip([None, *w], w))
+    near = lambda c: float(lm_scoring._BETWEEN[lm_scoring.levels(np.array([c]))[0]]) if c else 0.0
+    below = sum(count.values()) + 0.1 * (len(count) + 1)
+    out = []
+    for d, w in rows:
+        given = [min(1, near(two[x] if two[x] >= least_pair else 0) / max(near(count[x[0]]), 1)) for x in zip([None, *w], w)]
+        out.append((d, len(w), sum(math.log10(0.9 * (near(count[x]) + 0.1) / below + 0.1 * g) for x, g in zip(w, given))))
+    return out
+
+
+def assert_lm_scores(docs, least_pair):
+    want = sorted(lm_rows(docs, least_pair), key=str)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in lm_scoring.score(docs).collect()), key=str)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    off = [abs(g[2] - w[2]) / w[1] for g, w in zip(got, want)]  # a false positive of the filter moves one token
+    assert np.mean(off) < 0.01 and np.mean(np.array(off) < 1e-9) > 0.3
+
+
+def test_lm_filter_holds_all(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "MAX_BITS", 1 << 10, raising=False)
+    assert_lm_scores(docs, getattr(lm_scoring, "MIN_PAIR", 1))
+
+
 def test_decontaminate(spark, docs, empty):
     texts = [t for t in corpus() if t]
     items = spark.createDataFrame([(1, texts[2]), (2, " ".join(texts[3].split()[:30]) + " other words here"), (3, "two WORDS"), (4, None), (None, texts[70]), (5, "not there at all in any of them")], "item_id long, text string")
