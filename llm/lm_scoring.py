@@ -6,8 +6,7 @@ a count is read back by probing level after level until the first miss.  The sco
 a token after another is ``(1 - W) p(word) + W p(word | previous)``, with ``p(word)``
 smoothed by adding 0.1 to each count.  The filter has one segment per bucket, filled
 and probed where the bucket's counts are made and as large as its entries ask for, so
-that no n-gram is left out for want of room and no segment leaves its bucket.  Pairs
-seen once are left out.
+that no n-gram is left out and no segment leaves its bucket.
 
 Nothing but two sums for each bucket reaches the driver.  Each chunk sends its distinct
 words and pairs to their buckets and its token numbers to a bucket of its own; there
@@ -41,7 +40,6 @@ BASE = 1.5
 W = 0.1
 BITS_PER_ENTRY = 12
 PROBES = 4
-MIN_PAIR = 2
 END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0xE7037ED1A0B428DB)
 _PAIR = np.uint64(0x8EBC6AF09C88C6E3)
@@ -77,13 +75,22 @@ def _asked(tok: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return np.unique(bucket_of(pair, n).astype(np.uint64) << np.uint64(32) | pair & np.uint64(0xFFFFFFFF), return_inverse=True)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """uint32 values byte by byte of all, which compresses where they are small or sorted."""
-    return x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _squeeze(x: np.ndarray) -> bytes:
+    """An array as the number of its values and their bytes, plane by plane, in Zstandard."""
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), asbytes=True) if len(x) else b""
 
 
-def _from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+def _spread_out(blob: bytes, dtype: type) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, dtype)
+    wide = np.dtype(dtype).itemsize
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little") * wide, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(dtype).ravel()
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Sorted values as differences; np.cumsum in their own type gives them back."""
+    return np.diff(x, prepend=x.dtype.type(0))
 
 
 _SHAPE = "bucket int, kind string, chunk binary, a binary, b binary, c binary, d binary"
@@ -166,11 +173,14 @@ def _gather(docs: DataFrame, n: int) -> DataFrame:
             pairs = np.bincount(place, weights=train, minlength=len(asked)).astype(np.uint32)
             p_at = np.searchsorted(asked >> np.uint64(32), np.arange(n + 1))
             chunk = hashlib.blake2b(ids.tobytes() + at.tobytes() + tok.tobytes(), digest_size=16).digest()
-            out = [(_home(chunk, n), "tokens", chunk, ids.tobytes(), at.astype(np.int64).tobytes(), u.tobytes(), _planes(inverse))]
+            times = np.bincount(inverse, minlength=len(u)).astype(np.uint32)
+            rank = np.empty(len(u), np.uint32)  # common words get small numbers
+            rank[np.argsort(-times.astype(np.int64), kind="stable")] = np.arange(len(u))
+            out = [(_home(chunk, n), "tokens", chunk, _squeeze(np.concatenate((ids, at))), _squeeze(_steps(u)), _squeeze(times), _squeeze(rank[inverse]))]
             for b in range(n):
                 w, p = slice(u_at[b], u_at[b + 1]), slice(p_at[b], p_at[b + 1])
                 if w.stop > w.start or p.stop > p.start:
-                    out.append((b, "asked", chunk, u[w].tobytes(), words[w].tobytes(), _planes(asked[p]), _planes(pairs[p])))
+                    out.append((b, "asked", chunk, *map(_squeeze, (_steps(u[w]), words[w], _steps(asked[p].astype(np.uint32)), pairs[p]))))
             yield packed(_SCHEMA, out)
 
     def meet(batches):
@@ -183,19 +193,20 @@ def _gather(docs: DataFrame, n: int) -> DataFrame:
                     held.setdefault(row[0], []).append(row[2:])
         while held:
             b, rows = held.popitem()
-            word, w_in = np.unique(np.frombuffer(b"".join(r[1] for r in rows), np.uint64), return_inverse=True)
-            count = np.bincount(w_in, weights=np.frombuffer(b"".join(r[2] for r in rows), np.uint32), minlength=len(word)).astype(np.int64)
-            pair, p_in = np.unique(np.concatenate([_from_planes(r[3]) for r in rows]), return_inverse=True)
-            many = np.bincount(p_in, weights=np.concatenate([_from_planes(r[4]) for r in rows]), minlength=len(pair)).astype(np.int64)
+            us, ps = ([np.cumsum(_spread_out(r[i], t), dtype=t) for r in rows] for i, t in ((1, np.uint64), (3, np.uint32)))
+            word, w_in = np.unique(np.concatenate(us), return_inverse=True)
+            count = np.bincount(w_in, weights=np.concatenate([_spread_out(r[2], np.uint32) for r in rows]), minlength=len(word)).astype(np.int64)
+            pair, p_in = np.unique(np.concatenate(ps), return_inverse=True)
+            many = np.bincount(p_in, weights=np.concatenate([_spread_out(r[4], np.uint32) for r in rows]), minlength=len(pair)).astype(np.int64)
             pair = pair_key(pair.astype(np.uint64))
-            known, keep = count > 0, many >= MIN_PAIR
-            lf = LogFrequencyFilter({0: _fill(np.concatenate((word[known], pair[keep])), np.concatenate((count[known], many[keep])))}, 1)
+            known, seen = count > 0, many > 0
+            lf = LogFrequencyFilter({0: _fill(np.concatenate((word[known], pair[seen])), np.concatenate((count[known], many[seen])))}, 1)
             w_level, p_level = (lf.level(x, np.zeros(len(x), np.int32)).astype(np.uint8) for x in (word, pair))
             out, w, p = [(-1, "stats", None, np.array([count.sum(), known.sum()], np.int64).tobytes(), None, None, None)], 0, 0
-            for r in rows:
-                ws, ps = w_in[w : w + len(r[1]) // 8], p_in[p : p + len(r[3]) // 4]
-                w, p = w + len(ws), p + len(ps)
-                out.append((_home(r[0], n), "answer", r[0], count[ws].tobytes(), w_level[ws].tobytes(), p_level[ps].tobytes(), b.to_bytes(4, "little")))
+            for r, x, y in zip(rows, us, ps):
+                ws, qs = w_in[w : w + len(x)], p_in[p : p + len(y)]
+                w, p = w + len(x), p + len(y)
+                out.append((_home(r[0], n), "answer", r[0], *map(_squeeze, (count[ws], w_level[ws], p_level[qs])), b.to_bytes(4, "little")))
             yield packed(_SCHEMA, out)
 
     return to_buckets(docs.mapInArrow(spread, _SHAPE), n).mapInArrow(meet, _SHAPE)
@@ -226,8 +237,10 @@ def score(docs: DataFrame) -> DataFrame:
         while bodies:
             chunk, copies = bodies.popitem()
             got = sorted(answers.pop(chunk).items())
-            exact, w_level, p_level = (np.frombuffer(b"".join(x[i] for _, x in got), t) for i, t in enumerate((np.int64, np.uint8, np.uint8)))
-            ids, at, u, inverse = (np.frombuffer(copies[0][0], np.int64), np.frombuffer(copies[0][1], np.int64), np.frombuffer(copies[0][2], np.uint64), _from_planes(copies[0][3]))
+            exact, w_level, p_level = (np.concatenate([_spread_out(x[i], t) for _, x in got]) for i, t in enumerate((np.int64, np.uint8, np.uint8)))
+            both, u, times, rank = (_spread_out(x, t) for x, t in zip(copies[0], (np.int64, np.uint64, np.uint32, np.uint32)))
+            ids, at, u = both[: len(both) // 2], both[len(both) // 2 :], np.cumsum(u, dtype=np.uint64)
+            inverse = np.argsort(-times.astype(np.int64), kind="stable")[rank]
             tok, many = u[inverse], np.diff(at)
             count = _BETWEEN[w_level]
             one = ((count + 0.1) / 10**below)[inverse]

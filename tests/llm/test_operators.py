@@ -138,6 +138,10 @@ def test_lm_filter_holds_all(docs, monkeypatch):
     assert_lm_scores(docs, getattr(lm_scoring, "MIN_PAIR", 1))
 
 
+def test_lm_filter_holds_pairs_seen_once(docs):
+    assert_lm_scores(docs, 1)
+
+
 def test_decontaminate(spark, docs, empty):
     texts = [t for t in corpus() if t]
     items = spark.createDataFrame([(1, texts[2]), (2, " ".join(texts[3].split()[:30]) + " other words here"), (3, "two WORDS"), (4, None), (None, texts[70]), (5, "not there at all in any of them")], "item_id long, text string")
