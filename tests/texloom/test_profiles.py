@@ -13,6 +13,18 @@ def test_deep_links(spark):
     assert got == [("a-1", "details"), ("b", "reader"), ("c", "reader"), ("e", "details"), None, None, None, ("ab", "details"), None, None, None]
 
 
+def test_live_children_of_all_items(spark, tmp_path):
+    from texloom import profile_queries
+    from texloom.queries import QUERIES
+
+    orders = [(k, k % 7, "P" if k % 4 == 0 else "O") for k in range(1, 60)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(c,) for c in range(1, 9)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    of = {10**9 + k: c for k, c, _ in orders} | {c: c for c in range(1, 9)}
+    want = sorted((i, p, 10**9 + k) for i, p in of.items() for k, c, s in orders if c == p and s != "P")
+    assert profile_queries and sorted(map(tuple, QUERIES["live_children_all"](spark, str(tmp_path)).collect())) == want
+
+
 def test_merged_rects(spark):
     rng = random.Random(6)
     pages = [[(rng.randrange(20) / 20, rng.choice((0.1, 0.101, 0.3)), rng.choice((0.04, 0.1)), rng.choice((0.02, 0.05))) for _ in range(rng.randrange(12))] for _ in range(80)]

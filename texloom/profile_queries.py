@@ -55,15 +55,27 @@ def authored_files(spark, sf_dir):
     return profiles.authored_files(d, d.where("doc_id % 7 = 0")).select("doc_id")
 
 
+def _items(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("o_custkey").alias("parent_id"), (F.col("o_orderstatus") == "P").alias("deleted"))
+    return o.unionByName(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.lit(False).alias("deleted")))
+
+
 @query("""WITH i AS (SELECT o_orderkey + 1000000000 AS id, o_custkey AS parent_id, o_orderstatus = 'P' AS deleted FROM orders UNION ALL SELECT c_custkey, NULL, false FROM customer)
 SELECT a.id, coalesce(a.parent_id, a.id) AS parent, c.id AS child FROM i a JOIN i c ON c.parent_id = coalesce(a.parent_id, a.id) AND NOT c.deleted WHERE a.id % 10 = 3""")
 def live_children(spark, sf_dir):
     """JN15: of the items that are asked for, those with ids ending in 3."""
-    o = read(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("o_custkey").alias("parent_id"), (F.col("o_orderstatus") == "P").alias("deleted"))
-    items = o.unionByName(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.lit(False).alias("deleted")))
+    items = _items(spark, sf_dir)
     return profiles.live_children(items.where("id % 10 = 3"), items)
 
 
+@query("""WITH i AS (SELECT o_orderkey + 1000000000 AS id, o_custkey AS parent_id, o_orderstatus = 'P' AS deleted FROM orders UNION ALL SELECT c_custkey, NULL, false FROM customer)
+SELECT a.id, coalesce(a.parent_id, a.id) AS parent, c.id AS child FROM i a JOIN i c ON c.parent_id = coalesce(a.parent_id, a.id) AND NOT c.deleted""")
+def live_children_all(spark, sf_dir):
+    """JN15: all items are asked for."""
+    items = _items(spark, sf_dir)
+    return profiles.live_children(items, items)
+
+
 @query("""WITH s AS (SELECT o_orderkey AS id, printf('%04d.00001', o_custkey % 1000) AS base, o_orderkey % 5 AS k, o_orderkey % 3 AS originals, o_orderstatus = 'F' AS accepted FROM orders)
 SELECT id, CASE WHEN k = 0 THEN base || 'v3' WHEN starts_with(base, '0') AND (originals = 0 OR accepted) THEN base || 'v2' END AS paper_id,
  CASE WHEN k = 0 THEN 'kept' WHEN NOT starts_with(base, '0') THEN 'conflict' WHEN originals > 0 AND NOT accepted THEN 'none' ELSE 'official' END AS state FROM s""")
