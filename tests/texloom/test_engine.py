@@ -67,6 +67,28 @@ def test_roles(spark):
     assert got == {"a": "open", "b": "open", "c": "opaque", "d": "mixed", "e": "open"}
 
 
+def plain_roles(edges, root, nodes):
+    """GR2 by brute force: visit the root, then each node without a context, in order."""
+    found = {v: set() for v in nodes}
+    for start in [root, *nodes]:
+        pending = [] if found[start] else [(start, False)]
+        while pending:
+            v, opaque = pending.pop()
+            if opaque not in found[v]:
+                found[v].add(opaque)
+                pending += [(d, opaque or cut) for s, d, cut in edges if s == v]
+    return {v: "mixed" if len(f) == 2 else "opaque" if True in f else "open" for v, f in found.items()}
+
+
+def test_roles_below_unreached_nodes(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.random() < 0.4) for _ in range(28)]
+    e = spark.createDataFrame([("p", *x) for x in edges], "project string, src int, dst int, opaque boolean")
+    nodes = spark.createDataFrame([("p", i) for i in range(30)], "project string, node int")
+    got = {r["node"]: r["role"] for r in graph.roles(e, nodes.where("node = 0"), nodes).collect()}
+    assert got == plain_roles(edges, 0, range(30)) and len(set(got.values())) > 1
+
+
 def test_unmask(spark):
     df = spark.createDataFrame([("a ⟪P0000⟫ b ⟪P0001⟫", ["$x$", "5"]), ("plain", [])], "m string, p array<string>")
     assert [r[0] for r in df.select(segments.unmask(F.col("m"), F.col("p"))).collect()] == ["a $x$ b 5", "plain"]

@@ -37,11 +37,35 @@ def reachable(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
     return seen
 
 
+def rooted_roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
+    """The first half of GR2: roles as the roots give them; nodes that no root reaches are open."""
+    return _named_roles(_contexts(edges, roots, depth), nodes)
+
+
 def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
-    """GR2: how each node is used: open, opaque or mixed; nodes that no root reaches are open.
+    """GR2: how each node is used: open, opaque or mixed.
 
-    States are (node, opaque) pairs; an opaque include makes all below it opaque.
+    States are (node, opaque) pairs; an opaque include makes all below it opaque.  Then the
+    nodes without a state are seeded as not opaque one by one, in their order, and each seed's
+    states go on before the next is chosen: those that no smaller one of them reaches.
     """
+    found = _contexts(edges, roots, depth)
+    left = nodes.select("project", "node").distinct().join(found, ["project", "node"], "left_anti")
+    ends = edges.select("project", "src", "dst").distinct()
+    inner = _cut(ends.join(left.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(left.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi"))
+    least = new = _cut(left.withColumn("least", F.col("node")))
+    for _ in range(depth):
+        step = new.join(inner.withColumnRenamed("src", "node"), ["project", "node"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("least").alias("_least"))
+        new = _cut(step.join(least, ["project", "node"]).where("_least < least").select("project", "node", F.col("_least").alias("least")))
+        if new.isEmpty():
+            break
+        least = _cut(least.unionByName(new).groupBy("project", "node").agg(F.min("least").alias("least")))
+    seeds = least.where("node = least").select("project", "node")
+    return _named_roles(_contexts(edges, roots.select("project", "node").unionByName(seeds), depth), nodes)
+
+
+def _contexts(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(project, node, opaque) states that edges hand on from roots, which are not opaque."""
     start = roots.select("project", "node", F.lit(False).alias("opaque"))
     seen = _cut(start.distinct())
     new = seen
@@ -52,6 +76,10 @@ def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = 64)
         if new.isEmpty():
             break
         seen = _cut(seen.unionByName(new))
+    return seen
+
+
+def _named_roles(seen: DataFrame, nodes: DataFrame) -> DataFrame:
     role = F.when(F.bool_and("opaque"), "opaque").when(F.bool_or("opaque"), "mixed").otherwise("open")
     found = seen.groupBy("project", "node").agg(role.alias("role"))
     return nodes.select("project", "node").join(found, ["project", "node"], "left").select("project", "node", F.coalesce("role", F.lit("open")).alias("role"))
