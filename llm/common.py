@@ -41,10 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (as in tests) gets one, below the warehouse.
+    Only a local session without that setting (as in tests) gets one, below the warehouse;
+    on a cluster the folder could be one machine's own, so its setting is asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -54,7 +57,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut has made and no later step reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -189,34 +202,43 @@ def bits_key(x: np.ndarray) -> np.ndarray:
     return mix(x.view(np.uint64))
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """Left join whose hot keys are split: rows of big go to one of salts copies of their row in small."""
-    left = big.withColumn("_salt", (F.rand(7) * salts).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Join whose hot keys are split: rows of big go to one of salts copies of their row in small.
+
+    The salt is a hash of the row, so that a task that runs again deals out the same rows.
+    """
+    salt = "_salt"
+    while salt in big.columns + small.columns:
+        salt += "_"
+    left = big.withColumn(salt, F.pmod(F.xxhash64(*[big[c] for c in big.columns]), F.lit(salts)).cast("int"))
+    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, salt], how).drop(salt)
 
 
-def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that edges (u, v) reach, for each node of an edge.
+def components(edges: DataFrame, name: str = "components", by: tuple[str, ...] = (), rounds: int = 60) -> DataFrame:
+    """(by, node, root): the smallest node that edges (by, u, v) reach, for each node of an edge.
 
-    Alternating large-star and small-star rounds; each round's edges go to a table in
-    the shared folder, and only a row count and a checksum come to the driver.
+    Graphs of different values of by are apart.  Alternating large-star and small-star
+    rounds; each round's edges go to a table in the shared folder, which takes the place of
+    the last one, and only a row count and a checksum come to the driver.
     """
-    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    by = list(by)
+    e = edges.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = cut(e, name)
     seen = None
     for _ in range(rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
-        nxt = small.select(F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct()
-        e = cut(nxt, name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        both = e.union(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*by, "u").agg(F.min("v").alias("m")).select(*by, "u", F.least("u", "m").alias("m"))
+        large = both.join(low, [*by, "u"]).where("v > u").select(*by, F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low2 = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
+        small = large.join(low2, [*by, "u"]).select(*by, F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("x"))
+        nxt = cut(small.select(*by, F.col("x.u").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), name)
+        discard(e)
+        e = nxt
+        now = e.agg(F.count("*"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return e.select(*by, F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(*by, F.col("v").alias("node"), F.col("v").alias("root")).distinct())
