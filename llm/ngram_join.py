@@ -5,20 +5,22 @@ than k words count as one shingle).  Two documents link when
 ``den * |x & y| >= num * |x | y|``.  The steps:
 
 1. Equal sets are one node, named by a 64-bit fingerprint of the set.
-2. Shingles are counted over all documents, packed as 32-bit remainders by bucket.
-   A global order of shingles follows: those below a count of ``level`` first, then
-   the others, then the ``heavy`` ones by count.  ``level`` is 2 unless a bucket's bit
-   filter would fill up; a shingle that occurs once links nothing and is not sent.
-3. A linked pair shares one of the first ``n - ceil(n num/den) + 1`` shingles under
-   any global order.  Two orders are used, which rank the non-heavy shingles by
-   different hashes; a pair has to share a prefix token under both.  Pairs whose only
-   common prefix tokens are heavy are found through the heavy lists, which give a
-   forest and not all pairs.  So do lists of more than ``heavy`` sets whose token has
-   no place among the heavy ones: no list ever gives more than ``heavy`` pairs a set.
-4. Candidates form groups.  Each group's sets meet once, in cells of at most
-   ``cell`` sets, and every overlap in a cell is counted exactly from an inverted
-   index over the differences from the cell's majority set.
-5. Linked sets give components; each document takes the smallest doc_id of its own.
+2. Each chunk of a task counts its shingles, and buckets add the counts up.  A bucket
+   returns a filter that holds ``floor(log2(count))`` levels of each of its shingles, of a
+   bounded number of bits: where they would not do, it starts at a higher level.
+3. ``ORDERS`` global orders rank shingles by their level, rare ones first, and within a
+   level by a hash of the order's own.  A linked pair shares one of the first
+   ``n - ceil(n num/den) + 1`` shingles under every one of them.
+4. Under each order, sets that share a prefix shingle are tied: of those of one size
+   class (linked sets are of the same or neighbouring classes) each to the least, and the
+   least to the next class's.  The ties are a forest, so no list gives pairs, whatever its
+   length, and a chunk sends one entry for each shingle and class.  Components of the ties
+   are an order's candidates, and the filters are intersected: sets are compared only if
+   they are in one component under every order.
+5. Each group's sets meet in cells of about ``cell`` sets and ``cell_shingles`` shingles,
+   and every overlap in a cell is counted exactly from an inverted index over the
+   differences from the cell's majority set.
+6. Linked sets give components; each document takes the smallest doc_id of its own.
 
 Defined results.  A null or blank text has no shingle, links with nothing and is its
 own component.  A null doc_id takes part, is never the smallest id and, alone, has a
@@ -34,39 +36,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import (
-    bits_key,
-    bits_of,
-    bucket_of,
-    buckets,
-    chunks,
-    components,
-    cut,
-    ints,
-    packed,
-    ranges,
-    release,
-    run_starts,
-    salted_join,
-    segment,
-    split_by,
-    to_buckets,
-    Bits,
-)
+from llm.common import bits_key, bits_of, bucket_of, buckets, chunks, components, cut, discard, ints, packed, ranges, release, run_starts, salted_join, split_by, to_buckets
 from llm.textkernel import mix, scan_words, shingle_set, text_bytes
 
-HEAVY = 32
-MAX_HEAVY = 1 << 18
+ORDERS = 3
 ORDER_BITS = 1 << 27
 MEMBER_BITS = 1 << 26
 CELL = 4096
+CELL_SHINGLES = 1 << 20
 _B = np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.uint64(0xFFFFFFFF)
+_ORDER_SALTS = [(np.uint64(2 * i + 1), np.uint64(0xD6E8FEB86659FD93 * (i + 1) & (2**64 - 1))) for i in range(ORDERS)]
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def size_classes(num: int, den: int, top: int = 1 << 31) -> np.ndarray:
+    """Bounds of classes of set sizes; sizes of a linked pair are in one class or in neighbouring ones."""
+    if not 0 < num < den:
+        raise ValueError("the share is above 0 and below 1")
+    out = [1]
+    while out[-1] < top:
+        out.append(out[-1] * den // num + 1)
+    return np.array(out, np.int64)
+
+
 def fingerprint(x: np.ndarray) -> int:
     """Of a sorted set of hashes; as a signed long."""
     acc = mix(x ^ _B).sum(dtype=np.uint64) ^ mix(np.array([len(x)], np.uint64))[0]
@@ -81,6 +77,15 @@ def document_sets(batch: pa.RecordBatch, k: int):
         yield i, shingle_set(h[at[i] : at[i + 1]], k)
 
 
+def distinct_sets(batch: pa.RecordBatch, k: int) -> dict[int, np.ndarray]:
+    """The sets of a chunk by fingerprint, without the empty one."""
+    out: dict[int, np.ndarray] = {}
+    for _, x in document_sets(batch, k):
+        if len(x):
+            out.setdefault(fingerprint(x), x)
+    return out
+
+
 def overlap_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """The smallest index linked to each set through any links: exact, without listing pairs.
 
@@ -121,206 +126,213 @@ def overlap_links(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     return label
 
 
-def _count_stage(docs: DataFrame, k: int, n: int, max_heavy: int) -> DataFrame:
-    """Rows of kind doc (doc_id, fp, n), order (a bucket's filter and level) and heavy (a shingle key, its count)."""
+def _count_stage(docs: DataFrame, k: int, n: int, order_bits: int) -> DataFrame:
+    """Rows of kind doc (doc_id, fp, n) and order (a bucket's filter, whose lowest level is n)."""
     shape = "bucket int, kind string, doc_id long, fp long, n long, blob binary"
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 
     def spread(batches):
         for batch in chunks(batches, "text"):
-            ids = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()).to_pylist()
-            sets, rows = [], []
+            column = batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64())
+            ids, home = column.to_pylist(), (mix(ints(column).view(np.uint64)) % np.uint64(n)).tolist()
+            sets, rows = {}, []
             for i, x in document_sets(batch, k):
                 fp = fingerprint(x)
-                rows.append((fp % n, "doc", ids[i], fp, len(x), None))
-                sets.append(x)
-            x = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            b = bucket_of(x, n)
-            order, at = split_by(b, n)
-            low = x[order].astype(np.uint32)
-            rows += [(b, "count", None, None, None, low[at[b] : at[b + 1]].tobytes()) for b in range(n) if at[b + 1] > at[b]]
+                rows.append((home[i], "doc", ids[i], fp, len(x), None))
+                sets.setdefault(fp, x)
+            x, c = np.unique(np.concatenate(list(sets.values())), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            at = np.searchsorted(bucket_of(x, n), np.arange(n + 1))  # x is sorted, and so are its buckets
+            low, c = x.astype(np.uint32), np.minimum(c, 0xFFFF).astype(np.uint16)
+            rows += [(b, "count", None, None, int(at[b + 1] - at[b]), low[at[b] : at[b + 1]].tobytes() + c[at[b] : at[b + 1]].tobytes()) for b in range(n) if at[b + 1] > at[b]]
             yield packed(schema, rows)
 
     def count(batches):
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list] = {}
         for batch in batches:
             kinds = batch.column(1)
             docs_ = batch.filter(pa.compute.equal(kinds, "doc"))
             if docs_.num_rows:
                 yield docs_
             rest = batch.filter(pa.compute.equal(kinds, "count"))
-            for b, blob in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist()):
-                held.setdefault(b, []).append(blob)
-        size = max(1, ORDER_BITS // 8 // n)
-        for b, blobs in held.items():
-            x = np.sort(np.frombuffer(b"".join(blobs), np.uint32))
-            at = run_starts(x)
-            c = np.diff(np.append(at, len(x)))
-            x = x[at].astype(np.uint64)
-            level = 2
-            while level < HEAVY and int((c >= level).sum()) > size:
-                level += 1
-            top = np.flatnonzero(c >= HEAVY)
-            top = top[np.argsort(-c[top], kind="stable")[: max(1, max_heavy // n)]]
-            rows = [(b, "order", None, level, None, segment(x[c >= level], size))]
-            rows += [(b, "heavy", None, int(v), int(w), None) for v, w in zip(x[top].tolist(), c[top].tolist())]
-            yield packed(schema, rows)
+            for b, m, blob in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist(), rest.column(5).to_pylist()):
+                held.setdefault(b, []).append((np.frombuffer(blob, np.uint32, m), np.frombuffer(blob, np.uint16, m, 4 * m)))
+        while held:
+            b, parts = held.popitem()
+            x = np.concatenate([p[0] for p in parts])
+            order = np.argsort(x, kind="stable")
+            at = run_starts(x := x[order])
+            c = np.add.reduceat(np.concatenate([p[1] for p in parts])[order].astype(np.int64), at)
+            yield packed(schema, [(b, "order", None, None, *_frequency_segment(x[at].astype(np.uint64), c, max(64, order_bits // n)))])
 
     return to_buckets(docs.select("doc_id", "text").mapInArrow(spread, shape), n).mapInArrow(count, shape)
 
 
-class ShingleOrder:
-    """The global orders of step 2: of bounded size (ORDER_BITS bits and MAX_HEAVY counts), whatever the rows."""
+def _place(key: np.ndarray, level: int, bits) -> np.ndarray:
+    return (mix(key + np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> np.uint64(8)) % bits
+
+
+def _frequency_segment(low: np.ndarray, count: np.ndarray, most: int) -> tuple[int, bytes]:
+    """(lowest level, filter) of a bucket's shingles: 8 to 16 bits an entry, and most bits at most."""
+    level = np.frexp(count)[1] - 1  # floor(log2)
+    entries = [int((level >= j).sum()) for j in range(int(level.max(initial=0)) + 2)]
+    base = next(j for j in range(1, len(entries) + 1) if 4 * sum(entries[j:]) <= most)
+    bits = 64
+    while bits < 8 * sum(entries[base:]) and 2 * bits <= most:
+        bits *= 2
+    out = np.zeros(bits, bool)
+    for j in range(base, len(entries)):
+        out[_place(low[level >= j], j, np.uint64(bits)).astype(np.int64)] = True
+    return base, np.packbits(out, bitorder="little").tobytes()
+
+
+class ShingleOrders:
+    """The global orders of step 3, from filters of at most order_bits bits, whatever the rows."""
 
     def __init__(self, rows: list, n: int):
-        order = [r for r in rows if r["kind"] == "order"]
         self.n = n
-        self.bits = Bits({r["bucket"]: bytes(r["blob"]) for r in order}, n)
-        self.level = np.full(n, 2, np.int64)
-        for r in order:
-            self.level[r["bucket"]] = r["fp"]
-        heavy = sorted(((r["bucket"] << 32) | r["fp"], r["n"]) for r in rows if r["kind"] == "heavy")
-        self.heavy = np.array([h[0] for h in heavy], np.uint64)
-        count = np.array([h[1] for h in heavy], np.int64)
-        self.rank = np.empty(len(heavy), np.int64)
-        self.rank[np.lexsort((self.heavy, count))] = np.arange(len(heavy))
-
-    def key(self, x: np.ndarray) -> np.ndarray:
-        return (bucket_of(x, self.n).astype(np.uint64) << np.uint64(32)) | (x & np.uint64(0xFFFFFFFF))
-
-    def prefixes(self, x: np.ndarray, length: int):
-        """(tokens under order A, tokens under order B, heavy tokens) of the prefix; lone shingles are left out."""
-        common = self.bits.has(x)
-        at = np.searchsorted(self.heavy, key := self.key(x))
-        at[at == len(self.heavy)] = 0
-        heavy = (self.heavy[at] == key) if len(self.heavy) else np.zeros(len(x), bool)
-        common |= heavy
-        light = x[~heavy]
-        weight = (common[~heavy].astype(np.uint64)) << np.uint64(63)
-        sent = common[~heavy] | (self.level[bucket_of(light, self.n)] > 2)
+        segments = {r["bucket"]: (r["n"], bytes(r["blob"])) for r in rows}
+        parts = [segments.get(b, (1, bytes(8))) for b in range(n)]
+        self.base = np.array([p[0] for p in parts], np.int64)
+        self.size = np.array([len(p[1]) * 8 for p in parts], np.uint64)
+        self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1].astype(np.uint64)
+        self.bits = np.frombuffer(b"".join(p[1] for p in parts), np.uint8)
+
+    def levels(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(level, whether it is certain to occur once) of each shingle; a level never is too low."""
+        b = bucket_of(x, self.n)
+        low, size, start, base = x & _LOW, self.size[b], self.start[b], self.base[b]
+        level = np.zeros(len(x), np.uint8)
+        alive, step = np.arange(len(x)), 0
+        while len(alive):
+            key = low[alive] + (base[alive] + step).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            at = start[alive] + (mix(key) >> np.uint64(8)) % size[alive]
+            alive = alive[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+            level[alive] += 1
+            step += 1
+            if step > 40:
+                break
+        return np.where(level > 0, level + (base - 1).astype(np.uint8), level).astype(np.uint8), (level == 0) & (base == 1)
+
+    def prefixes(self, x: np.ndarray, level: np.ndarray, lone: np.ndarray, length: int) -> list[np.ndarray]:
+        """The prefix of a set under each order, without the shingles that occur once."""
+        if int(lone.sum()) >= length:  # they come first under every order
+            return []
+        # ranks follow from bucket and remainder only, as do the counts: equal keys are one token everywhere
+        key = (bucket_of(x, self.n).astype(np.uint64) << np.uint64(32)) | (x & _LOW)
+        top = level.astype(np.uint64) << np.uint64(56)
         out = []
-        # ranks follow from the key only, as do the counts: equal keys are one token everywhere
-        for salt in (np.uint64(1), _B):
-            rank = (mix(key[~heavy] * salt + salt) >> np.uint64(1)) | weight
-            first = np.argsort(rank, kind="stable")[:length]
-            out.append(light[first[sent[first]]])
-        left = length - len(light)
-        mine = x[heavy]
-        out.append(mine[np.argsort(self.rank[at[heavy]], kind="stable")[:left]] if left > 0 else mine[:0])
+        for factor, salt in _ORDER_SALTS:
+            rank = (mix(key * factor + salt) >> np.uint64(8)) | top
+            first = np.argpartition(rank, length - 1)[:length]
+            out.append(x[first[~lone[first]]])
         return out
 
 
-def _candidate_stage(docs: DataFrame, order: ShingleOrder, k: int, num: int, den: int) -> DataFrame:
-    """(kind, u, v): kind 0 and 1, pairs that share a prefix token under order A and B; kind 2, a forest of each heavy or long list."""
-    spark = docs.sparkSession
-    n = order.n
-    shared = spark.sparkContext.broadcast(order)
-    shape = "bucket int, kind int, u long, v long, blob binary"
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("blob", pa.binary())])
-    entry = np.dtype([("token", "<u4"), ("n", "<u4"), ("fp", "<i8")])
+_ENTRY = np.dtype([("token", "<u4"), ("size", "<u2"), ("fp", "<i8")])
+_TIE_SHAPE = "bucket int, kind int, u long, v long, blob binary"
+_TIE_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("blob", pa.binary())])
+
+
+def _ties(u: np.ndarray, v: np.ndarray, kind: int, n: int):
+    """Rows of distinct ties, dealt out by their own hash."""
+    u, v = np.maximum(u, v), np.minimum(u, v)
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) & (u != v) if len(u) else np.zeros(0, bool)
+    u, v = u[new], v[new]
+    if len(u):
+        b = (mix(u.view(np.uint64) ^ mix(v.view(np.uint64))) % np.uint64(n)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(np.full(len(u), kind, np.int32)), pa.array(u), pa.array(v), pa.nulls(len(u), pa.binary())], schema=_TIE_SCHEMA)
+
+
+def _tie_stage(docs: DataFrame, orders: ShingleOrders, k: int, num: int, den: int) -> DataFrame:
+    """(kind, u, v): under each order, a forest of ties between sets that share a prefix shingle."""
+    n = orders.n
+    shared = docs.sparkSession.sparkContext.broadcast(orders)
+    bounds = size_classes(num, den)
 
     def spread(batches):
-        order = shared.value
+        orders = shared.value
         for batch in chunks(batches, "text"):
-            lists: list[list] = [[], [], []]
-            seen = set()
-            for _, x in document_sets(batch, k):
-                fp = fingerprint(x)
-                if len(x) == 0 or fp in seen:
-                    continue
-                seen.add(fp)
-                for kind, tokens in enumerate(order.prefixes(x, prefix_length(len(x), num, den))):
+            sets = distinct_sets(batch, k)
+            if not sets:
+                continue
+            level, lone = orders.levels(np.concatenate(list(sets.values())))
+            found: list[list] = [[] for _ in range(ORDERS)]
+            at = 0
+            for fp, x in sets.items():
+                here = slice(at, at + len(x))
+                at += len(x)
+                for kind, tokens in enumerate(orders.prefixes(x, level[here], lone[here], prefix_length(len(x), num, den))):
                     if len(tokens):
-                        lists[kind].append((tokens, fp, len(x)))
-            rows = []
-            for kind, found in enumerate(lists):
-                if not found:
+                        found[kind].append((tokens, fp, len(x)))
+            for kind, lists in enumerate(found):
+                if not lists:
                     continue
-                x = np.concatenate([f[0] for f in found])
-                many = np.array([len(f[0]) for f in found])
-                e = np.empty(len(x), entry)
+                many = np.array([len(f[0]) for f in lists])
+                x = np.concatenate([f[0] for f in lists])
+                e = np.empty(len(x), _ENTRY)
                 e["token"] = x.astype(np.uint32)
-                e["fp"] = np.repeat(np.array([f[1] for f in found], np.int64), many)
-                e["n"] = np.repeat(np.array([f[2] for f in found], np.uint32), many)
+                e["fp"] = np.repeat(np.array([f[1] for f in lists], np.int64), many)
+                e["size"] = np.repeat(np.searchsorted(bounds, np.array([f[2] for f in lists]), side="right"), many)
                 b = bucket_of(x, n)
-                if kind == 2:  # a task sends one entry of a heavy list, and ties the rest to it
-                    o = np.lexsort((e["fp"], e["token"], b))
-                    e, b = e[o], b[o]
-                    first = run_starts((b.astype(np.uint64) << np.uint64(32)) | e["token"])
-                    low = np.repeat(e["fp"][first], np.diff(np.append(first, len(e))))
-                    tie = np.unique(np.stack((e["fp"], low), 1)[e["fp"] != low], axis=0)
-                    rows += [(int(u) % n, 2, int(u), int(v), None) for u, v in tie]
-                    e, b = e[first], b[first]
-                o, at = split_by(b, n)
-                e = e[o]
-                rows += [(b, kind, None, None, e[at[b] : at[b + 1]].tobytes()) for b in range(n) if at[b + 1] > at[b]]
-            if rows:
-                yield packed(schema, rows)
-
-    def pair(batches):
-        held: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
-        out = []
+                order = np.lexsort((e["fp"], e["size"], e["token"], b))
+                e, b = e[order], b[order]
+                new = np.concatenate(([True], (b[1:] != b[:-1]) | (e["token"][1:] != e["token"][:-1]) | (e["size"][1:] != e["size"][:-1])))
+                first = np.flatnonzero(new)
+                lead = np.repeat(first, np.diff(np.append(first, len(e))))
+                yield from _ties(e["fp"][~new], e["fp"][lead[~new]], kind, n)
+                e, b = e[first], b[first]
+                cut_at = np.searchsorted(b, np.arange(n + 1))
+                yield packed(_TIE_SCHEMA, [(i, kind, None, None, e[cut_at[i] : cut_at[i + 1]].tobytes()) for i in range(n) if cut_at[i + 1] > cut_at[i]])
+
+    def tie(batches):
+        held: dict[int, list] = {}
         for batch in batches:
-            for kind, u, v, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-                if blob is None:
-                    out.append((0, kind, u, v, None))
-                else:
-                    held[kind].append(blob)
-        if out:
-            yield packed(schema, sorted(set(out), key=lambda r: r[1:4]))
-        for kind, blobs in held.items():
-            e = np.frombuffer(b"".join(blobs), entry)
-            e = np.unique(e)  # by token, then n, then fp
-            at = np.append(run_starts(e["token"]), len(e))
-            many = np.diff(at)
-            pairs, chains = [], []
-            for a, z in zip(at[:-1][many > 1].tolist(), at[1:][many > 1].tolist()):
-                f, s = e["fp"][a:z], e["n"][a:z].astype(np.int64)
-                if kind == 2:
-                    pairs.append(np.stack((f, np.full(len(f), f.min())), 1))
-                    continue
-                if len(f) > HEAVY:
-                    # in the order of sizes, all between two sets that can link are within reach one by one
-                    step = s[1:] * num <= s[:-1] * den
-                    chains.append(np.sort(np.stack((f[:-1][step], f[1:][step]), 1), axis=1))
-                    continue
-                last = np.searchsorted(s, s * den // num, side="right")  # longer partners are out of reach
-                own = np.arange(len(f))
-                many_ = last - own - 1
-                left, right = np.repeat(own, many_), ranges(own + 1, many_)
-                pairs.append(np.sort(np.stack((f[left], f[right]), 1), axis=1))
-            for as_kind, found in ((kind, pairs), (2, chains)):
-                if not found:
-                    continue
-                p = np.unique(np.concatenate(found), axis=0)
-                p = p[p[:, 0] != p[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(p), np.int32)), pa.array(np.full(len(p), as_kind, np.int32)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary())], schema=schema)
-
-    return to_buckets(docs.select("text").mapInArrow(spread, shape), n).mapInArrow(pair, shape).select("kind", "u", "v").distinct()
-
-
-def _cell_stage(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int, cell: int) -> DataFrame:
+            blobs = batch.column(4)
+            done = batch.filter(pa.compute.is_null(blobs))
+            if done.num_rows:
+                yield done
+            rest = batch.filter(pa.compute.is_valid(blobs))
+            for kind, blob in zip(rest.column(1).to_pylist(), rest.column(4).to_pylist()):
+                held.setdefault(kind, []).append(np.frombuffer(blob, _ENTRY))
+        while held:
+            kind, parts = held.popitem()
+            e = np.concatenate(parts)
+            e = e[np.lexsort((e["fp"], e["size"], e["token"]))]
+            near = (e["token"][1:] == e["token"][:-1]) & (e["size"][1:] - e["size"][:-1] <= 1)
+            yield from _ties(e["fp"][1:][near], e["fp"][:-1][near], kind, n)
+
+    return to_buckets(docs.select("text").mapInArrow(spread, _TIE_SHAPE), n).mapInArrow(tie, _TIE_SHAPE).select("kind", "u", "v")
+
+
+def _groups(ties: DataFrame, sizes: DataFrame, cell: int, cell_shingles: int) -> DataFrame:
+    """(node, root, parts): the sets that are in one component under every order, by group, and its number of parts."""
+    by_order = components(ties, "ngram-orders", ("kind",))
+    roots = [F.max(F.when(F.col("kind") == i, F.col("root"))) for i in range(ORDERS)]
+    met = by_order.groupBy("node").agg(F.xxhash64(*roots).alias("root"), F.count("*").alias("orders")).where(F.col("orders") == ORDERS).drop("orders")
+    met = met.join(sizes, "node")
+    of = met.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    of = of.select("root", F.ceil(F.greatest(F.col("sets") / cell, F.col("shingles") / cell_shingles)).cast("int").alias("parts"))
+    return salted_join(met, of, "root", "inner").select("node", "root", "parts")
+
+
+def _cell_stage(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(u, v) edges of a forest of links, from the exact overlaps within each cell."""
     spark = docs.sparkSession
     n = buckets(spark)
-    members = spark.sparkContext.broadcast(bits_of(groups, "node", MEMBER_BITS))
+    members = spark.sparkContext.broadcast(bits_of(groups, "node", min(MEMBER_BITS, 1024 * n + 16 * groups.count())))
 
     def sets(batches):
         schema = pa.schema([("node", pa.int64()), ("blob", pa.binary())])
         for batch in chunks(batches, "text"):
-            found = {}
-            for _, x in document_sets(batch, k):
-                fp = fingerprint(x)
-                if len(x) and fp not in found:
-                    found[fp] = x
+            found = distinct_sets(batch, k)
             fps = np.array(list(found), np.int64)
-            hit = members.value.has(bits_key(fps)) if len(fps) else []
-            rows = [(int(f), found[int(f)].tobytes()) for f in fps[hit]] if len(fps) else []
+            rows = [(int(f), found[int(f)].tobytes()) for f in fps[members.value.has(bits_key(fps))]] if len(fps) else []
             if rows:
                 yield packed(schema, rows)
 
-    of = groups.groupBy("root").agg(F.ceil(F.count("*") / cell).cast("int").alias("parts"))
-    placed = salted_join(groups, of, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = groups.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # a group of one part is one cell; of more, each two parts meet in a cell
     cells = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "node", F.struct("root", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")).alias("cell")
@@ -353,35 +365,80 @@ def _cell_stage(docs: DataFrame, groups: DataFrame, k: int, num: int, den: int,
     return rows.repartition(n, "root", "a", "b").sortWithinPartitions("root", "a", "b", "node").mapInArrow(link, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, k: int, num: int, den: int, cell: int = CELL, max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+def _joined(docs: DataFrame, k: int, num: int, den: int, cell: int, cell_shingles: int, order_bits: int) -> DataFrame:
+    """(doc_id, fp, n, root) for each row of docs (doc_id, text): its set, the set's size and the least set that links reach."""
     spark = docs.sparkSession
     n = buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = cut(_count_stage(docs, k, n, max_heavy), "ngram-counts")
-    order = ShingleOrder(counted.where("kind in ('order', 'heavy')").collect(), n)
+    counted = cut(_count_stage(docs, k, n, order_bits), "ngram-counts")
+    orders = ShingleOrders(counted.where("kind = 'order'").select("bucket", "n", "blob").collect(), n)
     release(spark)
-    found = cut(_candidate_stage(docs, order, k, num, den), "ngram-candidates")
+    rows = counted.where("kind = 'doc'").select("doc_id", "fp", "n")
+    sizes = rows.where("n > 0").select(F.col("fp").alias("node"), "n").distinct()
+    groups = cut(_groups(_tie_stage(docs, orders, k, num, den), sizes, cell, cell_shingles), "ngram-groups")
     release(spark)
-    both = found.where("kind = 0").select("u", "v").intersect(found.where("kind = 1").select("u", "v"))
-    groups = components(both.union(found.where("kind = 2").select("u", "v")), "ngram-groups")
-    groups = cut(groups, "ngram-members")
-    links = cut(_cell_stage(docs, groups, k, num, den, cell), "ngram-links")
+    links = cut(_cell_stage(docs, groups, k, num, den), "ngram-links")
     roots = components(links, "ngram-components")
-    rows = counted.where("kind = 'doc'").select("doc_id", "fp", "n")
-    named = salted_join(rows.withColumnRenamed("fp", "node"), roots, "node").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    discard(groups, links)
+    return salted_join(rows.withColumnRenamed("fp", "node"), roots, "node").select("doc_id", F.col("node").alias("fp"), "n", F.coalesce("root", "node").alias("root"))
+
+
+def jaccard_components(docs: DataFrame, k: int, num: int, den: int, cell: int = CELL, cell_shingles: int = CELL_SHINGLES, order_bits: int = ORDER_BITS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text)."""
+    named = _joined(docs, k, num, den, cell, cell_shingles, order_bits)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many")
-    return salted_join(named, least, "root").select(
+    return salted_join(named.drop("fp"), least, "root").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id")).alias("component_id")
     )
 
 
+def _row_keys(ids: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    return mix(fps.view(np.uint64) ^ mix(ids.view(np.uint64) + _B)).view(np.int64)
+
+
 def deduplicate(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs without the near copies: of each component, the document with the smallest doc_id stays.
+    """docs without the near copies: one row of each component stays.
 
-    Rows that repeat a doc_id are one document and stay or go together.  Rows without a
-    shingle, and rows with a null doc_id (which nothing could name), all stay.
+    It is the one with the smallest doc_id, null ids coming last, then with the smallest
+    set by fingerprint, and of rows that repeat both, that with the least text.  Rows without
+    a shingle all stay.  Rows are told apart by doc_id and set, so a row that only shares
+    its doc_id with a lost one stays.  Only rows that a filter of bounded size takes for
+    lost or repeated are exchanged.
     """
-    parts = jaccard_components(docs, k, num, den)
-    lost = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    named = _joined(docs, k, num, den, CELL, CELL_SHINGLES, ORDER_BITS).where("n > 0")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "fp")
+    best = named.groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("many")).where("many > 1")
+    found = salted_join(named.select("doc_id", "fp", "root"), best, "root", "inner")
+
+    def keyed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_row_keys(ints(batch.column(0)), ints(batch.column(1)))), batch.column(2)], names=["key", "stays"])
+
+    marked = found.select("doc_id", "fp", (place == F.col("best")).alias("stays")).groupBy("doc_id", "fp").agg(F.first("stays").alias("stays"), F.count("*").alias("rows"))
+    decided = cut(marked.where("not stays or rows > 1").select("doc_id", "fp", "stays").mapInArrow(keyed, "key long, stays boolean"), "ngram-decided")
+    spark = docs.sparkSession
+    suspects = spark.sparkContext.broadcast(bits_of(decided, "key", min(MEMBER_BITS, 1024 * buckets(spark) + 16 * decided.count())))
+    name, stays = "_key", "_stays"
+    while {name, stays} & set(docs.columns):
+        name, stays = name + "_", stays + "_"
+
+    def told(batches, suspect: bool):
+        for batch in chunks(batches, "text"):
+            fps = np.array([fingerprint(x) if len(x) else 0 for _, x in document_sets(batch, k)], np.int64)
+            key = _row_keys(ints(batch.column(batch.schema.get_field_index("doc_id"))), fps)
+            mask = suspects.value.has(bits_key(key))
+            mask = mask if suspect else ~mask
+            if mask.any():
+                out = batch.filter(pa.array(mask))
+                yield out.append_column(name, pa.array(key[mask])) if suspect else out
+
+    def unsuspected(batches):
+        return told(batches, False)
+
+    def suspected(batches):
+        return told(batches, True)
+
+    shape = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{name}` long"])
+    asked = salted_join(docs.mapInArrow(suspected, shape), decided.select(F.col("key").alias(name), F.col("stays").alias(stays)), name)
+    again = asked.where(F.col(stays)).groupBy(name).agg(F.min_by(F.struct(*[asked[c] for c in docs.columns]), "text").alias("_row")).select("_row.*")
+    return docs.mapInArrow(unsuspected, docs.schema).unionByName(asked.where(F.col(stays).isNull()).select(docs.columns)).unionByName(again)
