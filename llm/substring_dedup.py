@@ -6,11 +6,15 @@ minimiser travel together as one packed string of word hashes (a super-k-mer) to
 bucket of the minimiser, where sorting brings equal windows together and each but the
 first, by (doc_id, start), is marked.
 
-Two things keep the exchange small and even.  A first exchange counts the minimisers
+Three things keep the exchange small and even.  A first exchange counts the minimisers
 alone: those that occur once in all documents are left out of the second one (a filter
-of bounded size; its false positives only add rows).  And each task sends one of equal
+of bounded size; its false positives only add rows).  Each task sends one of equal
 super-k-mers, that with the smallest (doc_id, start), and marks the others itself, so
-a passage that a third of all documents hold is sent once by each chunk of a task.
+a passage that a third of all documents hold is sent once by each chunk of a task.  And
+a minimiser that is more than HOT of a bucket's part is split: its windows travel one by
+one, each to the bucket of its own hash.  A part of a bucket names at most 1 / HOT of them.
+
+Buckets have PARTS parts each, sorted by Spark, which spills; a worker holds one part.
 
 Defined results.  Windows are equal if their words' 64-bit hashes are equal in order;
 sorted runs of one window hash are compared word by word.  A null or blank text has no
@@ -34,7 +38,9 @@ from llm.textkernel import mix, scan_words, shingles, text_bytes
 M = 8
 FILTER_BITS = 1 << 27
 CHUNK = 4 << 20
-PARTS = 16  # a bucket is sorted in this many parts, one after the other
+PARTS = 16
+HOT = 0.25
+LEAST_HOT = 256
 _C = np.uint64(0xA0761D6478BD642F)
 _ENTRY = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<u4"), ("words", "<u4")])
 
@@ -46,7 +52,10 @@ def row_keys(ids: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def super_kmers(h: np.ndarray, at: np.ndarray, k: int, m: int):
-    """(row, first word, windows, minimiser) of each super-k-mer of rows h[at[i]:at[i+1]]."""
+    """(row, first word, windows, minimiser) of each super-k-mer of rows h[at[i]:at[i+1]].
+
+    Minimisers are hashed once more: least hashes alone would crowd the first buckets.
+    """
     n = len(h)
     if n < k:
         z = np.zeros(0, np.int64)
@@ -70,7 +79,7 @@ def super_kmers(h: np.ndarray, at: np.ndarray, k: int, m: int):
         return z, z, z, np.zeros(0, np.uint64)
     new = np.concatenate(([True], (where[1:] != where[:-1]) | (row[1:] != row[:-1])))
     first = np.flatnonzero(new)
-    return row[first], place[first], np.diff(np.append(first, len(place))), best[first]
+    return row[first], place[first], np.diff(np.append(first, len(place))), mix(best[first] + _C)
 
 
 def _scan(batch: pa.RecordBatch):
@@ -104,22 +113,22 @@ def _distinct(batch: pa.RecordBatch, k: int, m: int):
     return ids, h, keys, row, place, windows, low, start, words, same, later
 
 
-def _minimisers(docs: DataFrame, k: int, m: int, n: int) -> Bits:
-    """A filter that holds every minimiser of two super-k-mers or more."""
-    shape = "bucket int, blob binary"
-    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+def _minimisers(docs: DataFrame, k: int, m: int, n: int) -> tuple[Bits, np.ndarray]:
+    """A filter that holds every minimiser of two super-k-mers or more, and the hot minimisers' remainders by part.
+
+    The hot ones are (part << 32 | low 32 bits), sorted.
+    """
+    shape = "bucket int, blob binary, hot array<long>"
+    schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("hot", pa.list_(pa.int64()))])
     size = max(1, FILTER_BITS // 8 // n)
 
     def spread(batches):
         for batch in chunks(batches, "text", CHUNK):
             _, h, at, _ = _scan(batch)
-            x = np.sort(super_kmers(h, at, k, m)[3])
-            first = run_starts(x)
-            many = np.minimum(2, np.diff(np.append(first, len(x))))
-            x = np.repeat(x[first], many)  # two tell as much as more
-            order, cut_at = split_by(bucket_of(x, n), n)
-            low = x[order].astype(np.uint32)
-            rows = [(b, low[cut_at[b] : cut_at[b + 1]].tobytes()) for b in range(n) if cut_at[b + 1] > cut_at[b]]
+            x, many = np.unique(super_kmers(h, at, k, m)[3], return_counts=True)
+            cut_at = np.searchsorted(bucket_of(x, n), np.arange(n + 1))
+            many = np.minimum(many, 0xFFFF).astype(np.uint16)
+            rows = [(b, x[cut_at[b] : cut_at[b + 1]].tobytes() + many[cut_at[b] : cut_at[b + 1]].tobytes(), None) for b in range(n) if cut_at[b + 1] > cut_at[b]]
             if rows:
                 yield packed(schema, rows)
 
@@ -127,17 +136,23 @@ def _minimisers(docs: DataFrame, k: int, m: int, n: int) -> Bits:
         held: dict[int, list] = {}
         for batch in batches:
             for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(b, []).append(blob)
-        for b, blobs in held.items():
-            x = np.sort(np.frombuffer(b"".join(blobs), np.uint32))
-            x = x[np.flatnonzero(np.concatenate((x[1:] == x[:-1], [False])))].astype(np.uint64)
-            bits = 64
-            while bits < 16 * len(x) and bits < size * 8:
-                bits *= 2
-            yield packed(schema, [(b, segment(x, size if len(x) else 1))])
+                held.setdefault(b, []).append((np.frombuffer(blob, np.uint64, len(blob) // 10), np.frombuffer(blob, np.uint16, len(blob) // 10, len(blob) // 10 * 8)))
+        while held:
+            b, parts = held.popitem()
+            x = np.concatenate([p[0] for p in parts])
+            order = np.argsort(x)
+            at = run_starts(x := x[order])
+            many = np.add.reduceat(np.concatenate([p[1] for p in parts])[order].astype(np.int64), at)
+            x = x[at]
+            part = bucket_of(x, n * PARTS)
+            whole = np.bincount(part - b * PARTS, weights=many, minlength=PARTS)
+            hot = (many > LEAST_HOT) & (many > HOT * whole[part - b * PARTS])
+            x_hot = (part[hot].astype(np.int64) << 32) | (x[hot] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            x = x[many > 1]
+            yield packed(schema, [(b, segment(x, size) if len(x) else b"", x_hot.tolist())])
 
     rows = to_buckets(docs.mapInArrow(spread, shape), n).mapInArrow(repeated, shape).collect()
-    return Bits({r[0]: bytes(r[1]) if len(r[1]) == size else bytes(size) for r in rows}, n)
+    return Bits({r[0]: bytes(r[1]) for r in rows if len(r[1])}, n), np.sort(np.array([x for r in rows for x in r[2]], np.int64))
 
 
 def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
@@ -146,10 +161,11 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
     n = buckets(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = spark.sparkContext.broadcast(_minimisers(docs, k, m, n))
-    shape = "bucket int, key long, start long, words long, blob binary"
-    schema = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("blob", pa.binary())])
+    shape = "bucket int, part int, key long, start long, words long, blob binary"
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("blob", pa.binary())])
 
     def spread(batches):
+        filter_, hot_ones = wanted.value
         for batch in chunks(batches, "text", CHUNK):
             ids, h, keys, row, place, windows, low, start, words, same, later = _distinct(batch, k, m)
             if not len(row):
@@ -157,33 +173,45 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
             rows = []
             yield from _spans(keys, row[later], start[later], words[later], n, schema)
             # at equal places all of them are kept apart for the bucket to see
-            send = np.flatnonzero(~later & wanted.value.has(low))
-            order, cut_at = split_by(bucket_of(low[send], n * PARTS), n * PARTS)
-            send = send[order]
+            send = np.flatnonzero(~later & filter_.has(low))
+            part = bucket_of(low[send], n * PARTS)
+            hot = np.isin((part.astype(np.int64) << 32) | (low[send] & np.uint64(0xFFFFFFFF)).astype(np.int64), hot_ones)
+            # a hot super-k-mer goes as its windows, each a super-k-mer of its own
+            single = np.repeat(send[hot], windows[send[hot]])
+            shift = ranges(np.zeros(int(hot.sum()), np.int64), windows[send[hot]])
+            win = shingles(h, k)[place[single] + shift] if len(single) else np.zeros(0, np.uint64)
+            part = np.concatenate((part[~hot], bucket_of(win, n * PARTS)))
+            send, shift = np.concatenate((send[~hot], single)), np.concatenate((np.zeros(int((~hot).sum()), np.int64), shift))
+            many = np.concatenate((words[send[: len(send) - len(single)]], np.full(len(single), k, np.int64)))
+            order, cut_at = split_by(part, n * PARTS)
+            send, shift, many = send[order], shift[order], many[order]
             e = np.empty(len(send), _ENTRY)
-            e["doc"], e["key"], e["start"], e["words"] = ids[row[send]], keys[row[send]], start[send], words[send]
-            ends = np.concatenate(([0], np.cumsum(words[send])))
-            body = h[ranges(place[send], words[send])]
-            for b in range(n * PARTS):
+            e["doc"], e["key"], e["start"], e["words"] = ids[row[send]], keys[row[send]], start[send] + shift, many
+            ends = np.concatenate(([0], np.cumsum(many)))
+            body = h[ranges(place[send] + shift, many)]
+            for b in np.flatnonzero(np.diff(cut_at)).tolist():
                 a, z = cut_at[b], cut_at[b + 1]
-                if z > a:
-                    rows.append((b // PARTS, None, b, None, np.uint32(z - a).tobytes() + e[a:z].tobytes() + body[ends[a] : ends[z]].tobytes()))
+                rows.append((b // PARTS, b, None, None, None, np.uint32(z - a).tobytes() + e[a:z].tobytes() + body[ends[a] : ends[z]].tobytes()))
             if rows:
                 yield packed(schema, rows)
 
     def sort_windows(batches):
-        parts: dict[int, list[bytes]] = {}
+        now, held = None, []
         for batch in batches:
-            blobs = batch.column(4)
+            blobs = batch.column(5)
             done = batch.filter(pa.compute.is_null(blobs))
             if done.num_rows:
                 yield done
             rest = batch.filter(pa.compute.is_valid(blobs))
-            for part, blob in zip(rest.column(2).to_pylist(), rest.column(4).to_pylist()):
-                parts.setdefault(part, []).append(blob)
-        for part in sorted(parts):
-            yield from sort_part(parts.pop(part))
-            trim()
+            for part, blob in zip(rest.column(1).to_pylist(), rest.column(5).to_pylist()):
+                if part != now and held:
+                    yield from sort_part(held)
+                    held = []
+                    trim()
+                now = part
+                held.append(blob)
+        if held:
+            yield from sort_part(held)
 
     def sort_part(blobs):
         entries, bodies = [], []
@@ -227,10 +255,10 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = M) -> DataFrame:
         last = np.append(first[1:], len(owner)) - 1
         key = e["key"][owner[first]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.zeros(len(first), np.int32)), pa.array(key), pa.array(start[first]), pa.array(start[last] - start[first] + k), pa.nulls(len(first), pa.binary())], schema=schema
+            [pa.array(np.zeros(len(first), np.int32)), pa.nulls(len(first), pa.int32()), pa.array(key), pa.array(start[first]), pa.array(start[last] - start[first] + k), pa.nulls(len(first), pa.binary())], schema=schema
         )
 
-    return to_buckets(docs.mapInArrow(spread, shape), n).mapInArrow(sort_windows, shape).select("key", "start", "words")
+    return to_buckets(docs.mapInArrow(spread, shape), n).sortWithinPartitions("part").mapInArrow(sort_windows, shape).select("key", "start", "words")
 
 
 def _spans(keys, row, start, words, n: int, schema: pa.Schema):
@@ -245,7 +273,7 @@ def _spans(keys, row, start, words, n: int, schema: pa.Schema):
     last = np.append(first[1:], len(row)) - 1
     key = keys[row[first]]
     yield pa.RecordBatch.from_arrays(
-        [pa.array((key % n).astype(np.int32)), pa.array(key), pa.array(start[first].astype(np.int64)), pa.array((reach[last] - base[first] - start[first]).astype(np.int64)), pa.nulls(len(first), pa.binary())], schema=schema
+        [pa.array((key % n).astype(np.int32)), pa.nulls(len(first), pa.int32()), pa.array(key), pa.array(start[first].astype(np.int64)), pa.array((reach[last] - base[first] - start[first]).astype(np.int64)), pa.nulls(len(first), pa.binary())], schema=schema
     )
 
 
