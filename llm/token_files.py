@@ -10,18 +10,21 @@ A file set is a folder: ``codes`` (id, length; as large as the vocabulary at mos
 ``blocks``, binary files in the order of their names, written by Spark's text writer
 with a line feed after each block:
 
-    magic "HB1\\n", then little-endian: u32 documents, u64 ids, u64 bits, u32 STEP,
-    i64 doc_id (documents), u8 doc_id is null (documents), u64 ids (documents),
+    magic "HB2\\n", then little-endian: u64 ids of all documents before the block, u32
+    documents, u64 ids, u64 bits, u32 STEP, i64 doc_id (documents), u8 doc_id is null (documents), u64 ids (documents),
     u64 bit offset (checkpoints), payload
 
 Every text is tokenized once; the ids go to a table in the shared folder, which the
-count, the order by doc_id and the coding start from.  Equal words (runs of bytes that
+count, the order by doc_id and the coding start from.  Bounds between the buckets come
+from a sample of the order's columns, and the ids in each bucket from one sum over sizes,
+so a block knows its place before it is written and files are read once.  A file has
+FILE_BLOCKS blocks at most.  Equal words (runs of bytes that
 are not blanks) are encoded once per worker: the tokenizer's pre-tokens never span a
 blank, which is checked on its file before words are used at all.
 
 Defined results.  A null text is an empty one and has the end id alone.  A null doc_id
-stands before every other.  Rows that repeat a doc_id are kept, ordered by their ids'
-bytes.  Other columns are ignored.  Words are told apart by 64-bit hashes.
+stands before every other.  Rows that repeat a doc_id are kept, ordered by the crc32 of
+their ids and then by their bytes (as in the table: a byte 2 or 4, then the ids).  Other columns are ignored.  Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,18 +35,20 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import buckets, chunks, cut, ranges, shared_dir
+from llm.common import buckets, chunks, cut, discard, ranges, shared_dir, to_buckets
 from llm.textkernel import scan_words, text_bytes
 
 END_ID = 2
 MAX_BITS = 20
 BLOCK_TOKENS = 1 << 20
 STEP = 256
+FILE_BLOCKS = 16
+SAMPLED = 40  # rows of the order's sample for each bucket
 CACHE_WORDS = 500_000
-_MAGIC = b"HB1\n"
+_MAGIC = b"HB2\n"
 _NULL = -(2**63)
 _TAIL = ".,;:!?#*$%&|()-\"+=/"
 _END_HASH = np.uint64(0x1F83D9ABFB41BD6B)
@@ -149,12 +154,12 @@ def encoder(path: str) -> WordEncoder:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, *order: str) -> DataFrame:
-    """(doc_id, ids) of each row and the columns named in order.
+    """(doc_id, ids, n) of each row and the columns named in order.
 
-    ids are a byte 2 and little-endian unsigned 16-bit integers, or a byte 4 and 32-bit ones.
+    ids are a byte 2 and little-endian unsigned 16-bit integers, or a byte 4 and 32-bit ones; n counts them.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *order)
-    shape = ", ".join(["doc_id long", "ids binary", *(f"`{c}` {t}" for c, t in rows.select(*order).dtypes)] if order else ["doc_id long", "ids binary"])
+    shape = ", ".join(["doc_id long", "ids binary", "n long", *(f"`{c}` {t}" for c, t in rows.dtypes[2:])])
 
     def apply(batches):
         for batch in chunks(batches, "text", 4 << 20):
@@ -162,7 +167,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *order: str) -> DataFrame:
             wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
             flat = ids if wide else ids.astype(np.uint16)
             blobs = [(b"\x04" if wide else b"\x02") + flat[a:z].tobytes() for a, z in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), *batch.columns[2:]], names=["doc_id", "ids", *order])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), pa.array(np.diff(at)), *batch.columns[2:]], names=["doc_id", "ids", "n", *order])
 
     return rows.mapInArrow(apply, shape)
 
@@ -270,93 +275,98 @@ class Codes:
         return out.reshape(-1)[:n]
 
 
-def block(docs: list[tuple[int | None, np.ndarray]], codes: Codes) -> bytes:
+def block(docs: list[tuple[int | None, np.ndarray]], codes: Codes, start: int) -> bytes:
     ids = np.concatenate([d[1] for d in docs]).astype(np.int64)
     payload, bits, checks = codes.pack(ids)
     n = len(docs)
     return b"".join((
-        _MAGIC, struct.pack("<IQQI", n, len(ids), bits, STEP), np.array([_NULL if d[0] is None else d[0] for d in docs], "<i8").tobytes(),
+        _MAGIC, struct.pack("<QIQQI", start, n, len(ids), bits, STEP), np.array([_NULL if d[0] is None else d[0] for d in docs], "<i8").tobytes(),
         np.array([d[0] is None for d in docs], np.uint8).tobytes(), np.array([len(d[1]) for d in docs], "<u8").tobytes(), checks.astype("<u8").tobytes(), payload,
     ))
 
 
 def blocks(content: bytes):
-    """(documents, ids, doc_ids, nulls, sizes, checkpoints, step, payload) of each block of a file."""
+    """(ids before, ids, doc_ids, nulls, sizes, checkpoints, step, payload) of each block of a file."""
     at = 0
     while at < len(content):
         if content[at : at + 4] != _MAGIC:
             raise ValueError("not a block")
-        n, total, bits, step = struct.unpack_from("<IQQI", content, at + 4)
-        at += 28
+        start, n, total, bits, step = struct.unpack_from("<QIQQI", content, at + 4)
+        at += 36
         parts = []
         for kind, many in (("<i8", n), (np.uint8, n), ("<u8", n), ("<u8", -(-total // step))):
             parts.append(np.frombuffer(content, kind, many, at))
             at += parts[-1].nbytes
         size = (bits + 7) // 8
-        yield n, total, *parts, step, content[at : at + size]
+        yield start, total, *parts, step, content[at : at + size]
         at += size + 1
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write docs (doc_id, text) as a file set in ascending order of doc_id."""
     tokens = cut(tokenize(docs, tokenizer), "tokens")
-    write_tokens(tokens.repartitionByRange(buckets(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"), tokens, path)
+    write_tokens(tokens.withColumn("crc", F.crc32("ids")), path, "doc_id", "crc")
+    discard(tokens)
 
 
-def write_tokens(ordered: DataFrame, tokens: DataFrame, path: str) -> None:
-    """Write ordered rows (doc_id, ids), whose ids tokens has too, as they stand."""
-    spark = ordered.sparkSession
+def _bucket(tokens: DataFrame, order: tuple[str, ...], n: int) -> Column:
+    """The bucket, 0 to n - 1, of a row by its place in the order; null stands first."""
+    some = min(1.0, SAMPLED * n / max(1, tokens.count()))
+    found = sorted({tuple(r) for r in tokens.select(*order).sample(some, 17).collect()}, key=lambda r: [(x is not None, x) for x in r])
+    bounds = [found[i * len(found) // n] for i in range(1, n)] if found else []
+    shape = tokens.select(*order).schema.simpleString()
+    listed = F.from_json(F.lit(json.dumps([dict(zip(order, b)) for b in bounds])), f"array<{shape}>")
+    return F.size(F.filter(listed, lambda b: b <= F.struct(*order)))
+
+
+def write_tokens(tokens: DataFrame, path: str, *order: str) -> None:
+    """Write tokens (doc_id, ids, n and the columns of order) as a file set in that order."""
+    spark = tokens.sparkSession
+    n = buckets(spark)
     lengths = code_lengths(count_ids(tokens))
     table = spark.range(0).selectExpr("id", "cast(id as int) length") if not lengths else spark.createDataFrame(pa.table({"id": pa.array(list(lengths), pa.int64()), "length": pa.array(list(lengths.values()), pa.int32())}))
     table.coalesce(1).write.parquet(f"{path}/codes")
-    codes = spark.sparkContext.broadcast(Codes(lengths))
+    placed = tokens.withColumn("bucket", _bucket(tokens, order, n))
+    held = np.zeros(n, np.int64)
+    for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        held[r["bucket"]] = r["n"]
+    shared = spark.sparkContext.broadcast((Codes(lengths), np.cumsum(held) - held))
 
     def build(batches):
-        held, size = [], 0
+        codes, starts = shared.value
+        held, size, start = [], 0, None
         for batch in batches:
-            for doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for b, doc, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                start = int(starts[b]) if start is None else start
                 ids = _ids(blob)
                 held.append((doc, ids))
                 size += len(ids)
                 if size >= BLOCK_TOKENS:
-                    yield pa.RecordBatch.from_arrays([pa.array([block(held, codes.value)], pa.binary())], names=["block"])
-                    held, size = [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array([block(held, codes, start)], pa.binary())], names=["block"])
+                    held, size, start = [], 0, start + size
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array([block(held, codes.value)], pa.binary())], names=["block"])
+            yield pa.RecordBatch.from_arrays([pa.array([block(held, codes, start)], pa.binary())], names=["block"])
 
-    ordered.select("doc_id", "ids").mapInArrow(build, "block binary").select(F.col("block").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/blocks")
+    ordered = to_buckets(placed, n).sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in order), "ids").select("bucket", "doc_id", "ids")
+    lines = ordered.mapInArrow(build, "block binary").select(F.col("block").cast("string").alias("value"))
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of each document of a file set; ids are little-endian unsigned 32-bit integers.
-
-    The first pass reads block headers only and brings one row for each file to the driver.
-    """
+    """(doc_id, start, n_tokens, ids) of each document of a file set; ids are little-endian unsigned 32-bit integers."""
     codes = spark.sparkContext.broadcast(Codes({r[0]: r[1] for r in spark.read.parquet(f"{path}/codes").collect()}))
-    files = spark.read.format("binaryFile").load(f"{path}/blocks").select("path", "content")
-
-    def sizes(batches):
-        for batch in batches:
-            rows = [(p, sum(b[1] for b in blocks(c))) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "n"])
-
-    bases, total = {}, 0
-    for p, n in sorted((r[0], r[1]) for r in files.mapInArrow(sizes, "path string, n long").collect()):
-        bases[p] = total
-        total += n
+    files = spark.read.format("binaryFile").load(f"{path}/blocks").select("content")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def decode(batches):
         for batch in batches:
-            for p, content in zip(batch.column(0), batch.column(1)):
-                start = bases[p.as_py()]
-                for n, many, ids, null, size, checks, step, payload in blocks(content.as_py()):
+            for content in batch.column(0):
+                for start, many, ids, null, size, checks, step, payload in blocks(content.as_py()):
                     flat = codes.value.unpack(payload, many, checks, step)
                     ends = np.cumsum(size.astype(np.int64))
                     begin = ends - size.astype(np.int64)
                     blobs = [flat[a:z].tobytes() for a, z in zip(begin.tolist(), ends.tolist())]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null > 0), pa.array(begin + start), pa.array(size.astype(np.int64)), pa.array(blobs, pa.binary())], schema=schema)
-                    start += many
 
     return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
