@@ -1,21 +1,27 @@
 """Quality rules, line-first.
 
-Each line with a word is judged by itself: too many symbols (punctuation rule), cells
-parted by bars or arrows or a short label of a site (navigation rule), a stock phrase,
-words said over and over or a copy of an earlier line (boilerplate rules).  Failing lines are removed; a
-document that then has lost more than MAX_LOST of its words is rejected, and so is one
-that fails the base rules on its whole text.
+Each line with a word is judged by itself.  Punctuation rules: it does not end like a
+sentence (an end mark, then closing quotes or brackets at most), more than MAX_SYMBOLS of
+its bytes are symbols, or half of its words or more are shouted (end in two marks).
+Navigation rule: cells parted by bars or arrows; menu labels fall to the end mark too.
+Boilerplate rules: one of PHRASES, words said over and over, or a copy of an earlier line.
+But for PHRASES, a parameter with the usual phrases of the corpus's four languages, no
+rule depends on a language.  Failing lines are removed; a document that then has lost more
+than MAX_LOST of its words is rejected, and so is one that fails the base rules on its
+whole text.
 
 Words are runs of bytes other than U+0020 and U+0009..U+000D.  Base rules: fewer than
 20 words, or more than 30 % of the words in 8-word windows that occur twice or more.
 
 Defined results.  A null text is an empty one: no word, base rules failed.  Null
 doc_ids pass through; repeated rows are judged each; lines are cut at U+000A only.
-Windows and lines are told apart by 64-bit hashes and by their bytes.
+Windows are told apart by 64-bit hashes, lines by their bytes; PHRASES are found with A-Z
+lower-cased.  A text without a line that has a word is rejected by the base rules.
 """
 
 from __future__ import annotations
 
+import re
 from operator import eq
 
 import numpy as np
@@ -34,26 +40,35 @@ WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 _DROP_SYMBOLS = bytes(range(256)), b"#*$%&|<>"
-NAVIGATION = frozenset(b"home menu login logout register search next previous back top contact about sitemap share print".split())
-PHRASES = (
-    b"all rights reserved", b"privacy policy", b"terms of use", b"terms of service", b"terms and conditions", b"cookie policy", b"uses cookies", b"click here",
-    b"read more", b"subscribe to", b"sign up for", b"enable javascript", b"powered by", b"follow us on", b"lorem ipsum", b"licensed under", b"copyright (c)",
+_ENDING = re.compile("(?:[.!?:;]|…|。|！|？)(?:[\"')\\]}*_]|”|’|»)*\\Z".encode())
+_SHOUTS = (b"!!", b"??", b"!?", b"?!")
+PHRASES = tuple(
+    x.encode()
+    for x in (
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "terms and conditions", "cookie policy", "uses cookies", "click here", "read more", "subscribe to",
+        "sign up for", "enable javascript", "powered by", "follow us on", "lorem ipsum", "licensed under", "copyright (c)",
+        "tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici", "lire la suite",
+        "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "klicken sie hier", "mehr lesen",
+        "todos los derechos reservados", "política de privacidad", "aviso legal", "haga clic aquí", "leer más",
+    )
 )
 
 
 def failing_line(line: bytes, words: list[bytes]) -> bool:
-    """Whether the punctuation, navigation, repetition or phrase rules remove a line with a word."""
+    """Whether the punctuation, navigation or boilerplate rules remove a line with a word (copies are told by clean_lines)."""
+    if not _ENDING.search(words[-1]):
+        return True
+    if 2 * sum(w.endswith(_SHOUTS) for w in words) >= len(words) > 1:
+        return True
     symbols = len(line) - len(line.translate(*_DROP_SYMBOLS))
     if symbols:
         if symbols > MAX_SYMBOLS * len(line):
             return True
         if line.count(b" | ") + line.count(b" > ") >= 2 and 4 * (line.count(b" | ") + line.count(b" > ")) >= len(words):
             return True
-    low = line.lower()
-    if len(words) <= 3 and all(w.strip(b".,:!>|") in NAVIGATION for w in low.split()):
-        return True
     if len(words) >= 4 and 2 * sum(map(eq, words, words[1:])) >= len(words):
         return True
+    low = line.lower()
     return any(p in low for p in PHRASES)
 
 
