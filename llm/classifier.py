@@ -1,10 +1,13 @@
 """Quality classifier from supervised subword embeddings.
 
-Each word and each run of 1 to 3 bytes inside a word is hashed to one of BUCKETS
-embeddings of DIM numbers, and pairs of equal neighbouring words share one; a document
-is their average, and a softmax over two classes gives the score.  Embeddings and softmax are learned by numpy stochastic gradient
-descent on at most SAMPLE labelled documents, those with the least hashes of doc_id
-among the labels whose crc32(doc_id as text) mod 4 is not 2.  Only text is an input.
+Each word and each run of 1 to 3 characters (code points) inside a word is hashed to one
+of BUCKETS embeddings of DIM numbers, and pairs of equal neighbouring words share one; a
+document is their average, and a softmax over two classes gives the score.  Embeddings and
+softmax are learned by numpy stochastic gradient descent on a bounded sample: of the
+labels whose crc32(doc_id as text) mod 4 is not 2, the first SAMPLE in the order of a hash
+of doc_id; of their documents, the first SAMPLE rows in that order that keep within
+SAMPLE_BYTES of text together (a text that would not fit is passed over, never cut).  Only
+text is an input.
 
 As average and softmax are linear, scoring needs one number for each bucket: the model
 that goes to the workers has a fixed size.
@@ -28,6 +31,7 @@ from llm.textkernel import _DOWN, _P, _TABLES, _UP, _WINDOW, SPACE, mix, scan_wo
 BUCKETS = 1 << 18
 DIM = 8
 SAMPLE = 4000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 5
 RATE = 0.5
 GRAMS = (1, 2, 3)
@@ -37,33 +41,39 @@ THRESHOLD = 0.7
 
 
 def features(data: np.ndarray):
-    """(place, bucket) of each feature that starts in data; places of runs are exact, and data may hold several rows."""
-    table = _TABLES[False][data]
-    for at in range(0, len(data), _WINDOW - 8):
-        piece = table[at : at + _WINDOW]
-        m = len(piece)
+    """(place, end, bucket) of each run of characters that holds no blank; data may hold several rows."""
+    begins = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    table = _TABLES[False]
+    for at in range(0, len(begins) - 1, _WINDOW // 4 - 8):
+        edge = begins[at : at + _WINDOW // 4 + 1]  # characters have at most four bytes
+        piece = data[edge[0] : edge[-1]]
+        m, first = len(piece), edge - edge[0]
         acc = np.zeros(m + 1, np.uint64)
-        np.cumsum(piece * _UP[:m], out=acc[1:])
-        blank = np.concatenate(([0], np.cumsum(SPACE[data[at : at + m]])))
+        np.cumsum(table[piece] * _UP[:m], out=acc[1:])
+        blank = np.concatenate(([0], np.cumsum(SPACE[piece])))
+        last = at + len(edge) == len(begins)
         for g in GRAMS:
-            count = min(m - g + 1, _WINDOW - 8)
-            if count <= 0:
-                continue
-            inside = np.flatnonzero(blank[g : g + count] == blank[:count])
-            h = mix((acc[inside + g] - acc[inside]) * _DOWN[inside] + np.uint64(g << 8))
-            yield at + inside, (h & np.uint64(BUCKETS - 1)).astype(np.int64), g
+            a, z = first[:-g], first[g:]
+            if not last:  # runs that start in the overlap belong to the next window
+                a, z = a[: _WINDOW // 4 - 8], z[: _WINDOW // 4 - 8]
+            inside = blank[z] == blank[a]
+            a, z = a[inside], z[inside]
+            h = mix((acc[z] - acc[a]) * _DOWN[a] + np.uint64(g << 8))
+            yield edge[0] + a, edge[0] + z, (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+        if last:
+            return
 
 
 def document_features(texts: pa.Array):
-    """For each row, its feature buckets (words and byte runs), in one flat array with offsets."""
+    """(row, bucket) of each feature: words, pairs of equal words and runs of characters."""
     data, offs = text_bytes(texts)
     _, _, h, at = scan_words(data, offs)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
     again = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
     rows, buckets = [row, row[again]], [(mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), np.full(len(again), AGAIN)]
-    for place, bucket, g in features(data):
+    for place, end, bucket in features(data):
         row = np.searchsorted(offs, place, side="right") - 1
-        inside = place + g <= offs[row + 1]
+        inside = end <= offs[row + 1]
         rows.append(row[inside])
         buckets.append(bucket[inside])
     return np.concatenate(rows), np.concatenate(buckets)
@@ -102,20 +112,35 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float
     return (embed @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Train on at most sample labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[np.ndarray, float]:
+    """Train on the bounded sample of labelled rows that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("_quality"))
     known = known.where("doc_id is not null and _quality in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_quality").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    rows = sorted((r[0], r[1] or "", r[2]) for r in texts.select("doc_id", "text", "_quality").collect())[:sample]
-    return train([r[1] for r in rows], [r[2] for r in rows])
-
-
-def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    named = rows.select("doc_id", "_quality", "text", F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("name"), F.octet_length("text").alias("size"))
+    # sizes first: at most sample short rows reach the driver
+    sizes = named.select("place", "doc_id", "_quality", "name", "size").orderBy("place", "doc_id", "_quality", "name").limit(sample).collect()
+    taken, total = {}, 0
+    for r in sizes:
+        if total + r["size"] <= sample_bytes:
+            total += r["size"]
+            key = (r["doc_id"], r["_quality"], r["name"])
+            taken[key] = taken.get(key, 0) + 1
+    if not taken:
+        return train([], [])
+    wanted = docs.sparkSession.createDataFrame(list(taken), "doc_id long, _quality int, name long")
+    # equal rows come once, and as often as they were taken into the training
+    texts = named.join(F.broadcast(wanted), ["doc_id", "_quality", "name"]).groupBy("doc_id", "_quality", "name").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r["doc_id"], r["_quality"], r["name"], r["text"]) for r in texts)
+    rows = [r for r in rows for _ in range(taken[r[:3]])]
+    return train([r[3] for r in rows], [r[1] for r in rows])
+
+
+def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, labels, sample))
+    model = spark.sparkContext.broadcast(fit(docs, labels, sample, sample_bytes))
 
     def apply(batches):
         weight, bias = model.value
