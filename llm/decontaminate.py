@@ -9,8 +9,13 @@ other pairs are verified by exact containment.  A signature of the document's si
 would not do: one of 20,000 words and an item of 50 have a Jaccard similarity near
 0.002, which no fixed number of bands finds.
 
-Items are broadcast in blocks of about BLOCK_BYTES of text, one pass over the
-documents for each; documents are not shuffled and no pair is built from an index.
+Each size class has a table of its own; a document's shingles are looked up in a small
+bit table first, and those that pass in the table of each class.  Of the sketch values, a
+leaked item's class says how many a document must hold at least.
+
+Items are broadcast in blocks of about BLOCK_BYTES of text; a test set of more than one
+block takes a pass over the documents for each, whose result is written before the next
+block is broadcast, so that one index is live at a time.  Documents are not shuffled.
 
 Defined results.  An item of fewer than k words is one shingle of its own length; one
 without a word is never found.  A null or blank text holds nothing.  Null ids pass
@@ -20,12 +25,14 @@ doc_id, text, item_id are ignored by ``leaks`` and returned as they are by ``cle
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import chunks, packed
+from llm.common import chunks, cut, packed, ranges
 from llm.textkernel import mix, scan_words, shingles, text_bytes, whole
 
 BLOCK_BYTES = 16 << 20
@@ -44,8 +51,8 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int | None, str | None]], k: int, num: int, den: int):
         self.num, self.den = num, den
-        self.ids, self.sets, self.bound = [], [], []
-        rows: dict[int, list[tuple[int, int]]] = {}
+        self.ids, self.sets, bound = [], [], []
+        rows: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item, h in zip((i for i, _ in items), _words([t for _, t in items])):
             if len(h) == 0:
                 continue
@@ -54,46 +61,62 @@ class ItemIndex:
             upper = 1 << (len(s) - 1).bit_length()
             sketch = np.sort(mix(s ^ _D))[: upper * (den - num) // den + 1]
             # of the sketch, a leaked item holds at least this many values
-            self.bound.append(max(1, len(sketch) - len(s) * (den - num) // den))
-            rows.setdefault(width, []).extend((int(v), len(self.ids)) for v in sketch)
+            bound.append(max(1, len(sketch) - len(s) * (den - num) // den))
+            rows.setdefault(width, {}).setdefault(upper, []).extend((int(v), len(self.ids)) for v in sketch)
             self.ids.append(item)
             self.sets.append(s)
-        self.sketches = {}
-        for width, pairs in rows.items():
-            pairs.sort()
-            values, owners = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
-            seen = np.zeros(_MASK + 1, bool)
-            seen[(values & np.uint64(_MASK)).astype(np.int64)] = True
-            self.sketches[width] = (values, owners, seen)
+        self.bound = np.array(bound, np.int64)
+        #: by shingle length: a bit table, and for each size class its sorted sketch values with their items
+        self.sketches: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
+        for width, classes in rows.items():
+            seen, tables = np.zeros(_MASK + 1, bool), []
+            for upper in sorted(classes):
+                pairs = sorted(classes[upper])
+                values, owners = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+                seen[(values & np.uint64(_MASK)).astype(np.int64)] = True
+                tables.append((values, owners))
+            self.sketches[width] = (seen, tables)
 
     def find(self, batch: pa.RecordBatch):
         """(row, item, shared, size) of each leak in a batch."""
         data, offs = text_bytes(batch.column(batch.schema.get_field_index("text")))
         _, _, h, at = scan_words(data, offs, lower=True)
-        for width, (values, owners, seen) in self.sketches.items():
+        for width, (seen, tables) in self.sketches.items():
             x = shingles(h, width)
             y = mix(x ^ _D)
             hit = np.flatnonzero(seen[(y & np.uint64(_MASK)).astype(np.int64)])
             row = np.searchsorted(at, hit, side="right") - 1
             inside = hit + width <= at[row + 1]
-            hit, row = hit[inside], row[inside]
-            left, right = np.searchsorted(values, y[hit], side="left"), np.searchsorted(values, y[hit], side="right")
-            found: dict[tuple[int, int], set] = {}
-            for j in np.flatnonzero(right > left).tolist():
-                for o in owners[left[j] : right[j]].tolist():
-                    found.setdefault((int(row[j]), o), set()).add(int(y[hit[j]]))
-            held = {}
-            for (r, o), sketch in sorted(found.items()):
-                if len(sketch) < self.bound[o]:
-                    continue
-                if r not in held:
-                    held = {r: np.unique(x[at[r] : max(at[r], at[r + 1] - width + 1)])}
+            row, y = row[inside], y[hit[inside]]
+            held: tuple[int, np.ndarray] = (-1, x[:0])
+            for r, o in self._candidates(row, y, tables):
+                if held[0] != r:
+                    held = (r, np.unique(x[at[r] : max(at[r], at[r + 1] - width + 1)]))
                 s = self.sets[o]
-                place = np.minimum(np.searchsorted(held[r], s), len(held[r]) - 1)
-                shared = int((held[r][place] == s).sum())
+                place = np.minimum(np.searchsorted(held[1], s), len(held[1]) - 1)
+                shared = int((held[1][place] == s).sum())
                 if self.den * shared >= self.num * len(s):
                     yield r, self.ids[o], shared, len(s)
 
+    def _candidates(self, row: np.ndarray, y: np.ndarray, tables: list) -> list[tuple[int, int]]:
+        """(row, item) pairs, sorted, that share enough sketch values; row and y are a batch's probes."""
+        out = []
+        for values, owners in tables:
+            left = np.searchsorted(values, y, side="left")
+            many = np.searchsorted(values, y, side="right") - left
+            r, v, o = np.repeat(row, many), np.repeat(y, many), owners[ranges(left, many)]
+            order = np.lexsort((v, o, r))
+            r, v, o = r[order], v[order], o[order]
+            if not len(r):
+                continue
+            pair = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
+            fresh = pair | np.concatenate(([True], v[1:] != v[:-1]))
+            first = np.flatnonzero(pair)
+            held = np.add.reduceat(fresh.astype(np.int64), first)
+            first = first[held >= self.bound[o[first]]]
+            out += zip(r[first].tolist(), o[first].tolist())
+        return sorted(out)
+
 
 def _blocks(items: DataFrame):
     """The items in blocks whose text is bounded, as lists."""
@@ -112,34 +135,53 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den: int
     shape = "doc_id long, item_id long, shared long, size long"
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "shared", "size")])
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = None
-    for block in _blocks(items):
-        index = spark.sparkContext.broadcast(ItemIndex(block, k, num, den))
 
-        def search(batches, index=index):
+    def search(index):
+        def find(batches):
             for batch in chunks(batches, "text"):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[r], *rest) for r, *rest in index.value.find(batch)]
                 if rows:
                     yield packed(schema, rows)
 
-        part = docs.mapInArrow(search, shape)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], shape) if out is None else out
+        return docs.mapInArrow(find, shape)
+
+    parts = _passes(spark, items, lambda i: ItemIndex(i, k, num, den), search)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], shape)
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The rows of docs, all columns, that hold no item."""
-    spark = docs.sparkSession
-    for block in _blocks(items):
-        index = spark.sparkContext.broadcast(ItemIndex(block, k, num, den))
 
-        def keep(batches, index=index):
+    def search(index):
+        nonlocal docs
+
+        def keep(batches):
             for batch in chunks(batches, "text"):
                 good = np.ones(batch.num_rows, bool)
                 good[[r for r, *_ in index.value.find(batch)]] = False
                 if good.any():
                     yield batch.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        return docs.mapInArrow(keep, docs.schema)
+
+    def hold(part):
+        nonlocal docs
+        docs = part
+
+    _passes(docs.sparkSession, items, lambda i: ItemIndex(i, k, num, den), search, hold)
     return docs
+
+
+def _passes(spark, items: DataFrame, build, search, hold=lambda part: None) -> list[DataFrame]:
+    """search over the broadcast index of each block; all passes but the last are written before the next begins."""
+    out, live = [], None
+    for block in _blocks(items):
+        if live is not None:
+            out[-1] = cut(out[-1], "item-pass")
+            hold(out[-1])
+            live.unpersist()
+        live = spark.sparkContext.broadcast(build(block))
+        out.append(search(live))
+        hold(out[-1])
+    return out
