@@ -16,7 +16,7 @@ def tokenizer_file() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS x, max(page_id) OVER (PARTITION
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(i // 4 * 5 + 1 AS INTEGER), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
+  CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM d""",
     "op2_mixing": mixing_sql(),
     "op3_decontamination": r"""

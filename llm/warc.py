@@ -37,6 +37,7 @@ from llm.common import cut, packed, salted_join, shared_dir
 SEGMENT_BYTES = 32 << 10
 CHUNK = 8 << 10
 FILE_ROWS = 4000
+PIECE = 1 << 20
 _END = b"\r\n\r\n"
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary, problem string"
@@ -144,31 +145,51 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_r
     built.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_ROWS).text(path)
 
 
-def _parse(content: bytes):
-    """(headers, block) of each record of a WARC file, gzipped in one or more members, or plain."""
-    held, rest = b"", content
-    if content[:2] == b"\x1f\x8b":
-        parts = []
+def _pieces(content: bytes):
+    """A WARC file's bytes in pieces of at most PIECE, from gzip members or as they are."""
+    if content[:2] != b"\x1f\x8b":
+        for at in range(0, len(content), PIECE):
+            yield content[at : at + PIECE]
+        return
+    z = zlib.decompressobj(31)
+    for at in range(0, len(content), PIECE >> 2):
+        rest = content[at : at + (PIECE >> 2)]
         while rest:
-            z = zlib.decompressobj(31)
-            parts.append(z.decompress(rest) + z.flush())
-            rest = z.unused_data
-        held = b"".join(parts)
-    else:
-        held = content
-    at = 0
-    while at < len(held):
-        if held[at : at + 2] == b"\r\n":
-            at += 2
-            continue
-        end = held.find(_END, at)
-        if end < 0:
-            break
-        lines = held[at:end].decode("utf-8", "replace").split("\r\n")
+            out = z.decompress(rest, PIECE)
+            if out:
+                yield out
+            rest = z.unconsumed_tail
+            if z.eof:
+                rest, z = z.unused_data, zlib.decompressobj(31)
+        while out := z.decompress(b"", PIECE):  # what the window still holds
+            yield out
+
+
+def _parse(content: bytes):
+    """(headers, block) of each record of a WARC file; a record and a piece are held at a time."""
+    pieces, held = _pieces(content), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while held.startswith(b"\r\n") or (len(held) < 2 and more()):
+            if held.startswith(b"\r\n"):
+                del held[:2]
+        start = 0
+        while (end := held.find(_END, start)) < 0:
+            start = max(0, len(held) - 3)
+            if not more():
+                return
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         size = int(fields.get("content-length", "0"))
-        yield fields, held[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        while len(held) < end + 4 + size and more():
+            pass
+        yield fields, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
 
 
 _ROW = pa.schema([("origin", pa.string()), ("number", pa.int64()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("block", pa.binary())])
@@ -262,12 +283,13 @@ columns_of_first = ("page_id", "url", "record_type", "refers_to", "payload_diges
 def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, problem) of pages, from archives written and read back.
 
-    The size of a revisit's payload is that of the response with the same digest.
+    The size of a revisit's payload is that of the response with the same digest.  A
+    response that is damaged has a problem, and neither size nor digest.
     """
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write(pages, path, segment_bytes)
-    got = cut(read(spark, path).select("page_id", "record_type", "refers_to", F.coalesce(base32_of_hex(F.sha1("payload")), "payload_digest").alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "problem"), "warc-records")
+    got = cut(read(spark, path).select("page_id", "record_type", "refers_to", F.when(F.col("record_type") == "response", base32_of_hex(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "problem"), "warc-records")
     sizes = got.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_size"))
     revisits = salted_join(got.where("record_type = 'revisit'"), sizes, "payload_digest")
     out = got.where("record_type = 'response'").withColumn("_size", F.col("payload_bytes")).unionByName(revisits)
