@@ -100,3 +100,82 @@ def test_no_product(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_reachability_of_deep_chains(spark):
+    edges = spark.createDataFrame([("p", i, i + 1) for i in range(66)], "project string, src int, dst int").coalesce(1)
+    root = spark.createDataFrame([("p", 0)], "project string, node int").coalesce(1)
+    assert graph.reachable(edges, root).count() == 67
+
+
+def plain_mapper(pairs, heights):
+    """JN6 and AR4 for one pair of documents."""
+    starts = {}
+    for side, h in heights.items():
+        starts[side] = [0.0]
+        for x in h:
+            starts[side].append(starts[side][-1] + x)
+    o_end, t_end = starts["original"][-1], starts["translated"][-1]
+    marks = [(0.0, 0.0), *sorted(p for p in pairs if 0 < p[0] < o_end and 0 < p[1] < t_end), (o_end, t_end)]
+    rises = all(b[0] > a[0] and b[1] > a[1] for a, b in zip(marks, marks[1:]))
+
+    def to(page, fraction):
+        n, fraction = len(heights["translated"]), max(0.0, min(1.0, fraction))
+        if not pairs or not rises:
+            return max(1, min(n, page)), fraction
+        i = max(0, min(len(heights["original"]) - 1, page - 1))
+        v = starts["original"][i] + fraction * heights["original"][i]
+        k = max(j for j, m in enumerate(marks[:-1]) if j == 0 or m[0] <= v)
+        a, b = marks[k], marks[k + 1]
+        y = a[1] + max(0.0, min(1.0, (v - a[0]) / (b[0] - a[0]))) * (b[1] - a[1])
+        j = max([0, *(x for x in range(n) if starts["translated"][x] <= y)])
+        return j + 1, max(0.0, min(1.0, (y - starts["translated"][j]) / heights["translated"][j]))
+
+    return to
+
+
+def test_positions(spark):
+    rng = random.Random(6)
+    pairs, heights, asked, want = [], [], [], {}
+    for d in range(40):
+        h = {s: [rng.choice((0.5, 1.0, 1.5)) for _ in range(rng.randrange(1, 5))] for s in ("original", "translated")}
+        ends = [sum(h[s]) for s in ("original", "translated")]
+        marks = [(rng.randrange(0, 9) / 8 * ends[0], rng.randrange(0, 9) / 8 * ends[1]) for _ in range(rng.randrange(0, 4))]
+        if d % 2:
+            marks = list(zip(sorted({m[0] for m in marks}), sorted({m[1] for m in marks})))
+        pairs += [(d, *map(float, m)) for m in marks]
+        heights += [(d, s, i + 1, x) for s in h for i, x in enumerate(h[s])]
+        to = plain_mapper(marks, h)
+        for _ in range(12):
+            q = (rng.randrange(-1, 7), rng.choice((-0.5, 0.0, 0.25, 0.5, 1.0, 1.5)))
+            want[len(asked)] = to(*q)
+            asked.append((d, len(asked), *q))
+    got = align.map_positions(
+        spark.createDataFrame(asked, "pair_id int, query_id int, page int, fraction double"), spark.createDataFrame(pairs, "pair_id int, original double, translated double"), spark.createDataFrame(heights, "pair_id int, side string, page int, ratio double")
+    )
+    got = {r["query_id"]: (r["page"], r["fraction"]) for r in got.collect()}
+    assert got.keys() == want.keys() and len({w[0] for w in want.values()}) > 3
+    for q, (page, fraction) in want.items():
+        assert got[q][0] == page and abs(got[q][1] - fraction) < 1e-9
+
+
+def test_batches_stream(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), i, "x" * rng.randrange(0, 9) if i % 9 else None) for i in range(200)]
+    got = {(r["k"], r["ord"]): r["batch"] for r in align.batches(spark.createDataFrame(rows, "k string, ord long, text string"), "k", 4, 17).collect()}
+    for k in "abc":
+        own = [(o, len(t or "")) for x, o, t in rows if x == k]
+        assert [got[(k, o)] for o, _ in own] == [b for _, b in align.greedy_batches(own, 4, 17)]
+
+
+def test_lookup_and_markers(spark):
+    from texloom.functions import records
+
+    jobs = spark.createDataFrame([(1, "a")], "id int, name string")
+    assert library.get(jobs, 1).first()["name"] == "a"
+    with pytest.raises(LookupError):
+        library.get(jobs, 2)
+    piece = "⟪P0012⟫ a ⟪P0003⟫"
+    assert values(spark, records.local_markers(F.col("v")), [piece, "none"]) == [("⟪P0000⟫ a ⟪P0001⟫", ["⟪P0012⟫", "⟪P0003⟫"]), ("none", [])]
+    back = records.global_markers(F.lit("b ⟪P0001⟫⟪P0000⟫ ⟪P0009⟫"), records.local_markers(F.col("v"))["originals"])
+    assert values(spark, back, [piece]) == ["b ⟪P0003⟫⟪P0012⟫ ⟪P0009⟫"]

@@ -22,7 +22,7 @@ def test_live_children_of_all_items(spark, tmp_path):
     spark.createDataFrame([(c,) for c in range(1, 9)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     of = {10**9 + k: c for k, c, _ in orders} | {c: c for c in range(1, 9)}
     want = sorted((i, p, 10**9 + k) for i, p in of.items() for k, c, s in orders if c == p and s != "P")
-    assert profile_queries and sorted(map(tuple, QUERIES["live_children_all"](spark, str(tmp_path)).collect())) == want
+    assert profile_queries and sorted(map(tuple, QUERIES["live_children"](spark, str(tmp_path)).collect())) == want
 
 
 def test_merged_rects(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from texloom.functions import records, response
 from texloom.sources import archives
 from texloom.tex import collect, frames, restore, rewrite, scan
-from texloom.tex.segment import MARKER, Context, Segment, accented_text, named_identifier, segments
+from texloom.tex.segment import MARKER, Context, Segment, accented_text, movable, named_identifier, segments
 
 
 def masked(text, context=None):
@@ -229,3 +229,58 @@ def test_inventory_against_plain_python(spark):
 
 def test_segment_markers_of_a_segment_alone():
     assert Segment(0, 0, "a", "⟪P0000⟫", ["a"]).unmasked() == "a"
+
+
+def test_movable_tokens():
+    yes = [r"\ie", r"\etal", "~", r"\&", r"\%", r"\_", r"\{", "5.3\\%", "\\#2", r"~\cite{yolo}", r"\citeauthor{x}", r"\cref{a}", "$x$", r"\(x\)", "12,288", "175 billion", "GPT-3", "F-16", "YOLOv8"]
+    no = ["&", "{", "}", "$$x$$", r"\verb|foo|", r"\texttt{a}", r"\url{a}", r"\nameref{a}", r"\vref{a}", "Top-5", "Section-3", r"\textbf", r"\\", r"\[", "a-5"]
+    assert all(map(movable, yes)) and not any(map(movable, no))
+
+
+def test_restore_by_the_contract():
+    s = segments(r"With 5.3\% less latency, see \#2 and baseline~\cite{yolo}.")[0]
+    assert s.protected == [r"5.3\%", r"\#2", r"~\cite{yolo}"]
+    assert restore.restore(s, "see ⟪P0001⟫ and ⟪P0002⟫, the latency is less by ⟪P0000⟫.") == (r"see \#2 and ~\cite{yolo}, the latency is less by 5.3\%.", None)
+    s = segments(r"Call \verb|foo| before \verb|bar| here.")[0]
+    assert restore.restore(s, s.masked) == (s.source, None)
+    swapped = s.masked.replace("⟪P0000⟫", "⟪X⟫").replace("⟪P0001⟫", "⟪P0000⟫").replace("⟪X⟫", "⟪P0001⟫")
+    assert restore.restore(s, swapped) == (None, "structure_reordered")
+    s = segments(r"It improves by \textbf{5\%} with 2 layers.")[0]
+    assert restore.restore(s, "Up by ⟪P0002⟫, with ⟪P0000⟫⟪P0001⟫⟪P0004⟫⟪P0003⟫ layers.") == (None, "scope_crossed")
+    s = segments(r"We use 2 layers. \small With 5 filters.")[0]
+    assert restore.restore(s, "Uses ⟪P0002⟫ layers. ⟪P0001⟫ With ⟪P0000⟫ filters.")[1] == "scope_crossed"
+    s = segments("GPT-3 has 175 billion parameters, or 175B; we test 12,288 and 3.6 million.")[0]
+    assert s.protected == ["GPT-3", "175 billion", "175B", "12,288", "3.6 million"] and restore.restore(s, s.masked)[0] == s.source
+    s = segments(r"Our model uses \emph{fewer} filters than VGG \cite{vgg}.")[0]
+    assert restore.restore(s, "相比VGG⟪P0003⟫，模型使用⟪P0000⟫⟪P0001⟫更少⟪P0002⟫的滤波器。") == (r"相比VGG\cite{vgg}，模型使用\emph{更少}的滤波器。", None)
+
+
+def test_joined_parts():
+    assert restore._joined([r"\model", "", "Name"]) == r"\model Name"
+    assert restore._joined([r"\item", "我们提出一种方法。"]) == r"\item 我们提出一种方法。"
+    assert restore._joined([r"\\", "Name"]) == r"\\Name" and restore._joined([r"\\foo", "Name"]) == r"\\fooName"
+    assert restore._joined([r"\textbf{", "Name", "}"]) == r"\textbf{Name}"
+
+
+def test_all_lengths_and_mathematics():
+    assert masked(r"Words \abovedisplayskip=3pt plus 1pt go on.") == ["Words ⟪P0000⟫ go on."]
+    for env in ("dgroup", "dgroup*", "mathpar", "IEEEeqnarraybox"):
+        assert masked(rf"Some words \begin{{{env}}} alpha beta \end{{{env}}} go on.") == ["Some words ⟪P0000⟫ go on."]
+    assert scan.math(r"a \text{in $b$ it} c$ d", 0, "$", {}) == len(r"a \text{in $b$ it} c$")
+    assert scan.math("a % $\n b$$ c", 0, "$", {}) == len("a % $\n b$")
+    assert scan.math(r"x \begin{align} y \end{align} \end {align} z", 0, r"\begin{align}", {}) == len(r"x \begin{align} y \end{align} \end {align}")
+    assert scan.arguments("[a] {b}% c\n{d}", 0) == len("[a] {b}% c\n{d}") and scan.arguments("{a}\n\n{b}", 0) == 3
+    assert scan.arguments("[a]{b}[c]{d}", 0, 1) == 6 and scan.arguments("[a]{b}", 0, 0) == 3 and scan.arguments("x{b}", 0, 1) == 0
+
+
+def test_delimited_mathematics():
+    p = r"\def\formula#1\stop{$#1$} \def\eqn#1\done{ \begin{align}#1\end{align} } \def\no#1\stop{$#1+1$} \def\bad#1\stop{\begin{align}#1\end{gather}}"
+    c = collect.project_context(p)
+    assert set(c.math_aliases) == {"formula", "eqn"}
+    assert masked(r"We take \formula a in words \stop and then \eqn more words \done to the end.", c) == ["We take ⟪P0000⟫ and then ⟪P0001⟫ to the end."]
+
+
+def test_prose_at_any_depth():
+    macro = Context(prose_arguments={"a": (1, (1,))})
+    text = "".join(rf"\a{{level {n} words " for n in range(60)) + "}" * 60
+    assert len(segments(text, macro)) == 60 and "level 59" in segments(text, macro)[-1].source

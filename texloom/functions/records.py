@@ -144,3 +144,40 @@ def evidence(rows: DataFrame, key: str, paper_id: str) -> DataFrame:
 def audit(segments: DataFrame) -> DataFrame:
     """AG12: counts over (source, masked, output, error): segments, validated, refused, markers left in, CJK letters."""
     return segments.agg(F.count("*").alias("segments"), F.count_if(F.col("error").isNull() & F.col("output").isNotNull()).alias("validated"), F.count_if(F.col("error").isNotNull()).alias("refused"), F.count_if(F.contains("output", F.lit("⟪"))).alias("leaks"), F.sum(F.regexp_count("output", F.lit("[\\x{3400}-\\x{9fff}]"))).alias("cjk"))
+
+
+def header_draft(previous: Column, following: Column, draft: Column) -> Column:
+    """STR27: a draft of headers stays with its endpoint; another address starts with none."""
+    from texloom.functions.text import endpoint
+
+    return F.when(endpoint(previous) == endpoint(following), draft).otherwise(F.lit(""))
+
+
+def local_markers(masked: Column) -> Column:
+    """MP1: (masked, originals): a piece whose markers are numbered from 0, and the marker that each number stands for."""
+    found = F.regexp_extract_all(masked, F.lit("(⟪P[0-9]{4,}⟫)"), F.lit(1))
+    parts = F.split(masked, "⟪P[0-9]{4,}⟫")
+    local = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.format_string("⟪P%04d⟫", i - 1), p)))
+    return F.struct(F.array_join(local, "").alias("masked"), found.alias("originals"))
+
+
+def global_markers(masked: Column, originals: Column) -> Column:
+    """MP1: the inverse: local numbers, in any order, back to the markers they stand for; unknown numbers stay."""
+    numbers = F.regexp_extract_all(masked, F.lit("⟪P([0-9]{4,})⟫"), F.lit(1))
+    parts = F.split(masked, "⟪P[0-9]{4,}⟫")
+    back = lambda i: F.coalesce(F.get(originals, F.get(numbers, i).cast("int")), F.concat(F.lit("⟪P"), F.get(numbers, i), F.lit("⟫")))
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(back(i - 1), p))), "")
+
+
+# How services say that a request may only have the default temperature.
+ONLY_DEFAULT_TEMPERATURE = (
+    r"\btemperature\b.{0,100}(?:not supported|not allowed|unsupported|only\b.{0,60}\b(?:default|1)\b|must (?:be|equal)\b.{0,40}\b1\b)"
+    r"|(?:does not support|unsupported)\s+(?:the\s+)?[\"']?temperature\b|only supports?\s+temperature\s*(?:=|of|:)\s*1\b"
+)
+
+
+def default_temperature_required(kind: Column, param: Column, code: Column, message: Column) -> Column:
+    """EX8: whether an error asks for the request again without its temperature."""
+    plain = (param == "temperature") & code.isin("unsupported_parameter", "unsupported_value")
+    said = (kind == "invalid_request_error") & F.lower(message).rlike(ONLY_DEFAULT_TEMPERATURE)
+    return F.coalesce(plain, F.lit(False)) | F.coalesce(said, F.lit(False))

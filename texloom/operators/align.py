@@ -123,23 +123,69 @@ def rising(pairs: DataFrame) -> DataFrame:
     return step.groupBy("pair_id").agg(F.bool_and(good).alias("ordered"))
 
 
-def interpolate(queries: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """JN6: maps positions between the landmarks around them.
+def _document(heights: DataFrame, side: str) -> DataFrame:
+    """(pair_id, edges, ratios, end): where the pages of one side start, in order; a document's pages are one bounded array."""
+    pages = heights.where(F.col("side") == side).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("page", F.col("ratio").cast("double").alias("ratio")))).alias("p"))
+    ratios = F.transform("p", lambda p: p["ratio"])
+    edges = F.aggregate(ratios, F.array(F.lit(0.0)), lambda a, r: F.concat(a, F.array(F.element_at(a, -1) + r)))
+    return pages.select("pair_id", edges.alias("edges"), ratios.alias("ratios")).withColumn("end", F.element_at("edges", -1))
 
-    queries (pair_id, query_id, value) and landmarks (pair_id, original, translated) are
-    stacked and ordered, and last and first values carry the brackets; there is no
-    product of the two sides.  Outside all landmarks the nearest one holds.
+
+def _clamp(value: Column, low, high) -> Column:
+    return F.greatest(F.lit(low) if not isinstance(low, Column) else low, F.least(F.lit(high) if not isinstance(high, Column) else high, value))
+
+
+def coordinate(page: Column, fraction: Column, edges: Column, ratios: Column) -> Column:
+    """AR4: a position on its document's common axis; pages and fractions outside are taken to the nearest."""
+    i = _clamp(page, 1, F.size(ratios)).cast("int")
+    return F.element_at(edges, i) + _clamp(fraction, 0.0, 1.0) * F.element_at(ratios, i)
+
+
+def locate(value: Column, edges: Column, ratios: Column) -> Column:
+    """AR4: the page (from 1) and the fraction in it of a place on a document's axis."""
+    i = F.greatest(F.lit(1), F.least(F.size(ratios), F.size(F.filter(edges, lambda e: e <= value))))
+    return F.struct(i.alias("page"), _clamp((value - F.element_at(edges, i)) / F.element_at(ratios, i), 0.0, 1.0).alias("fraction"))
+
+
+def map_positions(queries: DataFrame, landmarks: DataFrame, heights: DataFrame) -> DataFrame:
+    """JN6, PL3: (pair_id, query_id, page, fraction) of positions in the translated document.
+
+    queries (pair_id, query_id, page, fraction) are places in the original, landmarks
+    (pair_id, original, translated) places on both axes, heights (pair_id, side, page, ratio).
+    (0, 0) and (end, end) are landmarks too, those on or outside a boundary are none; between
+    two, places are interpolated.  A pair of documents without a landmark, or whose landmarks
+    don't rise strictly on both sides, keeps page and fraction, clamped to the pages there are.
+    Landmarks and questions are stacked and ordered, and last and first values carry the
+    brackets; there is no product of the two sides.
     """
-    points = landmarks.select("pair_id", F.lit(None).cast("long").alias("query_id"), F.col("original").cast("double").alias("at"), F.struct(F.col("original").cast("double").alias("o"), F.col("translated").cast("double").alias("t")).alias("mark"), F.lit(0).alias("kind"))
-    asked = queries.select("pair_id", F.col("query_id").cast("long").alias("query_id"), F.col("value").cast("double").alias("at"), F.lit(None).cast("struct<o:double,t:double>").alias("mark"), F.lit(1).alias("kind"))
-    rows = points.unionByName(asked)
+    ends = _document(heights, "original").select("pair_id", F.col("edges").alias("oe"), F.col("ratios").alias("orr"), F.col("end").alias("o_end"))
+    ends = ends.join(_document(heights, "translated").select("pair_id", F.col("edges").alias("te"), F.col("ratios").alias("tr"), F.col("end").alias("t_end")), "pair_id")
+    given = landmarks.select("pair_id", F.col("original").cast("double").alias("o"), F.col("translated").cast("double").alias("t"))
+    some = given.groupBy("pair_id").agg(F.count("*").alias("n"))
+    inner = given.join(ends.select("pair_id", "o_end", "t_end"), "pair_id").where("o > 0 and t > 0 and o < o_end and t < t_end").select("pair_id", "o", "t")
+    bounds = ends.select("pair_id", F.explode(F.array(F.struct(F.lit(0.0).alias("o"), F.lit(0.0).alias("t")), F.struct(F.col("o_end").alias("o"), F.col("t_end").alias("t")))).alias("b")).select("pair_id", "b.o", "b.t")
+    marks = inner.unionByName(bounds)
+    # the order is that of the originals; equal ones, and translations that don't rise, break it
+    w = Window.partitionBy("pair_id").orderBy("o", "t")
+    step = marks.withColumn("_o", F.lag("o").over(w)).withColumn("_t", F.lag("t").over(w))
+    good = step.groupBy("pair_id").agg(F.bool_and(F.coalesce((F.col("o") > F.col("_o")) & (F.col("t") > F.col("_t")), F.lit(True))).alias("good"))
+    known = ends.join(good, "pair_id").join(some, "pair_id", "left").withColumn("good", F.col("good") & F.col("n").isNotNull()).drop("n")
+    asked = queries.select("pair_id", "query_id", "page", F.col("fraction").cast("double").alias("fraction")).join(known, "pair_id")
+    page_local = F.struct(_clamp(F.col("page"), 1, F.size("tr")).cast("int").alias("page"), _clamp(F.col("fraction"), 0.0, 1.0).alias("fraction"))
+    value = coordinate(F.col("page"), F.col("fraction"), F.col("oe"), F.col("orr"))
+    local = asked.where(~F.col("good")).select("pair_id", "query_id", page_local.alias("p"))
+    places = asked.where("good").select("pair_id", "query_id", value.alias("at"))
+    points = marks.select("pair_id", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("o").alias("at"), F.struct("o", "t").alias("mark"), F.lit(0).alias("kind"))
+    rows = points.unionByName(places.select("*", F.lit(None).cast("struct<o:double,t:double>").alias("mark"), F.lit(1).alias("kind")))
     w = Window.partitionBy("pair_id").orderBy("at", "kind", "query_id")
     low = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     high = F.first("mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    out = rows.withColumn("_low", low).withColumn("_high", high).where("kind = 1")
-    ratio = (F.col("at") - F.col("_low.o")) / (F.col("_high.o") - F.col("_low.o"))
-    mapped = F.when(F.col("_low").isNull(), F.col("_high.t")).when(F.col("_high").isNull(), F.col("_low.t")).otherwise(F.col("_low.t") + ratio * (F.col("_high.t") - F.col("_low.t")))
-    return out.select("pair_id", "query_id", "at", mapped.alias("mapped"))
+    between = rows.withColumn("_low", low).withColumn("_high", high).where("kind = 1")
+    ratio = _clamp((F.col("at") - F.col("_low.o")) / (F.col("_high.o") - F.col("_low.o")), 0.0, 1.0)
+    # the end itself has no mark above it
+    mapped = F.when(F.col("_high").isNull(), F.col("_low.t")).otherwise(F.col("_low.t") + ratio * (F.col("_high.t") - F.col("_low.t")))
+    found = between.select("pair_id", "query_id", mapped.alias("v")).join(ends.select("pair_id", "te", "tr"), "pair_id").select("pair_id", "query_id", locate(F.col("v"), F.col("te"), F.col("tr")).alias("p"))
+    return found.unionByName(local).select("pair_id", "query_id", "p.page", "p.fraction")
 
 
 def in_one_region(positions: DataFrame, regions: DataFrame) -> DataFrame:
@@ -182,11 +228,23 @@ def greedy_batches(rows: Iterator[tuple[int, int]], most: int = 50, size: int =
 
 
 def batches(texts: DataFrame, key: str, most: int = 50, size: int = 128 * 1024) -> DataFrame:
-    """RK14 within each key, in order of ord: a fold, as a batch's end depends on its start."""
+    """RK14 within each key, in order of ord: a fold, as a batch's end depends on its start.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable")
-        frame["batch"] = [b for _, b in greedy_batches(zip(frame["ord"], frame["n_bytes"]), most, size)]
-        return frame[[key, "ord", "batch"]]
+    Rows of sizes are sorted by Spark and folded as they stream by: a key of any size takes three numbers of memory.
+    """
 
-    return texts.select(key, "ord", F.octet_length("text").cast("long").alias("n_bytes")).groupBy(key).applyInPandas(one, f"{key} string, ord long, batch long")
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, count, total = None, 0, 0, 0
+        for frame in frames:
+            out = []
+            for k, n in zip(frame[key].tolist(), frame["n_bytes"].tolist()):
+                if not count or k != now:
+                    now, batch, count, total = k, 0, 0, 0
+                if count and (count >= most or total + n > size):
+                    batch, count, total = batch + 1, 0, 0
+                count, total = count + 1, total + n
+                out.append(batch)
+            yield frame[[key, "ord"]].assign(batch=out)
+
+    sizes = texts.select(key, "ord", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sizes.repartition(key).sortWithinPartitions(key, "ord").mapInPandas(fold, f"{key} string, ord long, batch long")

@@ -7,76 +7,71 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from texloom.plans.tables import cut, discard
 
-def _cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a round: a reliable checkpoint where the session names a folder, else as it is."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", "")
-    if not path:
-        return df
-    import uuid
 
-    out = f"{path.rstrip('/')}/rounds-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+BOUND = 100_000  # rounds after which a walk is taken for an endless one
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """GR1, ST2: (project, node) that edges (project, src, dst) reach from roots (project, node).
+def _walk(start: DataFrame, step) -> DataFrame:
+    """All rows that step reaches from start, to the fixpoint; step takes the newest rows and the columns are the rows' key.
 
-    Each round joins the newest nodes only; it ends when none is new, or after depth rounds.
+    A round writes the rows it finds, and joins the newest only; what is seen is all rounds' tables.
     """
-    seen = _cut(roots.select("project", "node").distinct())
-    new = seen
-    for _ in range(depth):
-        step = new.join(edges, (new["project"] == edges["project"]) & (new["node"] == edges["src"])).select(edges["project"], edges["dst"].alias("node")).distinct()
-        new = _cut(step.join(seen, ["project", "node"], "left_anti"))
+    columns, read = start.columns, start.sparkSession.read
+    new = cut(start.distinct())
+    found = [new.cut_path]
+    for _ in range(BOUND):
+        seen = read.schema(new.schema).parquet(*found)
+        new = cut(step(new).select(columns).distinct().join(seen, columns, "left_anti"))
         if new.isEmpty():
-            break
-        seen = _cut(seen.unionByName(new))
-    return seen
+            discard(new)
+            return seen
+        found.append(new.cut_path)
+    raise RuntimeError(f"the walk found new nodes after {BOUND} rounds")
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """GR1, ST2: (project, node) that edges (project, src, dst) reach from roots (project, node), whatever the depth."""
+    return _walk(roots.select("project", "node"), lambda new: new.join(edges.withColumnRenamed("src", "node"), ["project", "node"]).select("project", F.col("dst").alias("node")))
 
 
-def rooted_roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
+def rooted_roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """The first half of GR2: roles as the roots give them; nodes that no root reaches are open."""
-    return _named_roles(_contexts(edges, roots, depth), nodes)
+    return _named_roles(_contexts(edges, roots), nodes)
 
 
-def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = 64) -> DataFrame:
+def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """GR2: how each node is used: open, opaque or mixed.
 
     States are (node, opaque) pairs; an opaque include makes all below it opaque.  Then the
     nodes without a state are seeded as not opaque one by one, in their order, and each seed's
     states go on before the next is chosen: those that no smaller one of them reaches.
     """
-    found = _contexts(edges, roots, depth)
+    found = _contexts(edges, roots)
     left = nodes.select("project", "node").distinct().join(found, ["project", "node"], "left_anti")
     ends = edges.select("project", "src", "dst").distinct()
-    inner = _cut(ends.join(left.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(left.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi"))
-    least = new = _cut(left.withColumn("least", F.col("node")))
-    for _ in range(depth):
+    inner = cut(ends.join(left.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(left.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi"))
+    least = new = cut(left.withColumn("least", F.col("node")))
+    for _ in range(BOUND):
         step = new.join(inner.withColumnRenamed("src", "node"), ["project", "node"]).groupBy("project", F.col("dst").alias("node")).agg(F.min("least").alias("_least"))
-        new = _cut(step.join(least, ["project", "node"]).where("_least < least").select("project", "node", F.col("_least").alias("least")))
-        if new.isEmpty():
+        fresh = cut(step.join(least, ["project", "node"]).where("_least < least").select("project", "node", F.col("_least").alias("least")))
+        if fresh.isEmpty():
             break
-        least = _cut(least.unionByName(new).groupBy("project", "node").agg(F.min("least").alias("least")))
+        lower = cut(least.unionByName(fresh).groupBy("project", "node").agg(F.min("least").alias("least")))
+        discard(least, *([] if new is least else [new]))
+        least, new = lower, fresh
+    else:
+        raise RuntimeError(f"the walk found new seeds after {BOUND} rounds")
     seeds = least.where("node = least").select("project", "node")
-    return _named_roles(_contexts(edges, roots.select("project", "node").unionByName(seeds), depth), nodes)
+    return _named_roles(_contexts(edges, roots.select("project", "node").unionByName(seeds)), nodes)
 
 
-def _contexts(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def _contexts(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(project, node, opaque) states that edges hand on from roots, which are not opaque."""
-    start = roots.select("project", "node", F.lit(False).alias("opaque"))
-    seen = _cut(start.distinct())
-    new = seen
-    for _ in range(depth):
-        step = new.join(edges.withColumnRenamed("opaque", "_cut"), (new["project"] == edges["project"]) & (new["node"] == edges["src"]))
-        step = step.select(edges["project"], edges["dst"].alias("node"), (F.col("opaque") | F.col("_cut")).alias("opaque")).distinct()
-        new = _cut(step.join(seen, ["project", "node", "opaque"], "left_anti"))
-        if new.isEmpty():
-            break
-        seen = _cut(seen.unionByName(new))
-    return seen
+    on = edges.select("project", F.col("src").alias("node"), "dst", F.col("opaque").alias("_cut"))
+    step = lambda new: new.join(on, ["project", "node"]).select("project", F.col("dst").alias("node"), (F.col("opaque") | F.col("_cut")).alias("opaque"))
+    return _walk(roots.select("project", "node", F.lit(False).alias("opaque")), step)
 
 
 def _named_roles(seen: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -149,3 +149,60 @@ def annotation_filter(annotations: DataFrame, document: str | None, query: str)
     """FP2: live annotations of a document whose quote or comment holds the query."""
     scope = F.lit(True) if document is None else F.col("document") == document
     return annotations.where(~F.col("deleted") & scope & F.contains(F.lower(F.concat_ws(" ", "quote", "comment")), F.lit(query.lower())))
+
+
+def get(jobs: DataFrame, identifier) -> DataFrame:
+    """FP3: the job of an id; LookupError if there is none."""
+    found = jobs.where(F.col("id") == F.lit(identifier))
+    if found.isEmpty():
+        raise LookupError(f"no job {identifier}")
+    return found
+
+
+def newest_log(logs: DataFrame) -> DataFrame:
+    """RK4: (job_id, path): the newest of a job's logs (job_id, path, mtime, priority); of equal times the first by priority."""
+    return logs.groupBy("job_id").agg(F.max_by("path", F.struct("mtime", -F.col("priority"))).alias("path"))
+
+
+def ordered_distinct(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """AG2: (key, values): the distinct values of each key in the order in which they first occur.
+
+    First places are aggregated before anything is gathered, so an array is as long as its distinct values.
+    """
+    first = rows.groupBy(key, value).agg(F.min(order).alias("_at")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_v"))
+    return first.select(key, F.transform("_v", lambda v: v[value]).alias("values"))
+
+
+def key_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """AG6: (key, values): the set of values of each key, sorted; null values are left out."""
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(value)).alias("values"))
+
+
+def slot_batches(slots: DataFrame, key: str, order: str, most: int = 8) -> DataFrame:
+    """RK16: slots with their batch within the key, of most slots each."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return slots.withColumn("batch", F.floor((place - 1) / most))
+
+
+def drafts(current: DataFrame, puts: DataFrame, clears: DataFrame) -> DataFrame:
+    """SK7: drafts (job, id, comment, revision, updated), newest first, after puts and then clears (job, id, comment).
+
+    The last put of a draft replaces it; a clear removes a draft only if its comment is still the one that was saved.
+    """
+    fields = ("comment", "revision", "updated")
+    rows = current.select("job", "id", F.struct(F.lit(0).alias("new"), *fields).alias("_d")).unionByName(puts.select("job", "id", F.struct(F.lit(1).alias("new"), *fields).alias("_d")))
+    last = rows.groupBy("job", "id").agg(F.max_by("_d", F.struct("_d.new", "_d.updated", "_d.revision")).alias("_d"))
+    last = last.select("job", "id", *(F.col(f"_d.{f}").alias(f) for f in fields))
+    return last.join(clears.select("job", "id", "comment").distinct(), ["job", "id", "comment"], "left_anti").orderBy("job", F.desc("updated"), "id").select("job", "id", *fields)
+
+
+def refreshed_titles(jobs: DataFrame, version: int) -> DataFrame:
+    """TX17: the remote title that is cached, else the title of the sources, else the name there is; jobs of this version stay.
+
+    jobs (id, kind, name, title_version, remote_title, local_title); updated_at is not touched.
+    """
+    due = (F.col("kind") == "arxiv") & ~F.coalesce(F.col("title_version") == version, F.lit(False))
+    filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    source = F.when(~due, None).when(filled("remote_title").isNotNull(), "arxiv").when(F.col("local_title").isNotNull(), "latex")
+    name = F.when(due, F.coalesce(filled("remote_title"), "local_title", "name")).otherwise(F.col("name"))
+    return jobs.select("id", name.alias("name"), source.alias("title_source"), F.when(due, F.lit(version)).otherwise(F.col("title_version")).alias("title_version"))

@@ -5,7 +5,7 @@ orders serve as jobs, events as requests and changes, part keys as files of a gr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from texloom.functions import ids, records, response, text
@@ -131,7 +131,10 @@ def serialized_status(spark, sf_dir):
 @query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) SELECT user_id, count(*) AS kept, min(event_id) AS oldest FROM r WHERE r <= 40 GROUP BY user_id")
 def log_retention(spark, sf_dir):
     """RK6."""
-    logs = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("logs"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("event_id")))
+    # the limit in the group comes before the gathering, and Spark applies it before the exchange too
+    last = read(spark, sf_dir, "events").select("user_id", "event_id", place.alias("place")).where("place <= 40")
+    logs = last.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("logs"))
     return logs.withColumn("logs", library.keep_last_logs(F.col("logs"), 40)).select("user_id", F.size("logs").cast("long").alias("kept"), F.array_min("logs").alias("oldest"))
 
 
@@ -261,14 +264,14 @@ def missing_citations(spark, sf_dir):
 
 
 def _marks(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("pair_id"), F.col("event_id"), F.concat(F.when(F.col("event_type") == "click", "section.").when(F.col("event_type") == "view", "figure.").when(F.col("event_type") == "error", "page.").otherwise("cite."), F.floor(F.col("event_id") / 2).cast("string")).alias("name"))
-    side = F.when(F.col("event_id") % 2 == 0, "original").otherwise("translated")
-    return e.select("pair_id", "name", side.alias("side"), (F.col("event_id") % 40).cast("int").alias("page"), (F.col("event_id") % 8 / 8.0).alias("fraction"))
+    """Every event is a landmark of its user's pair on both sides."""
+    kind = F.when(F.col("event_type") == "click", "section.").when(F.col("event_type") == "view", "figure.").when(F.col("event_type") == "error", "page.").otherwise("cite.")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), (F.col("event_id") * k % 40).cast("int").alias("page"), (F.col("event_id") * k % 8 / 8.0).alias("fraction")) for side, k in (("original", 1), ("translated", 3))])
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("pair_id"), F.concat(kind, F.col("event_id").cast("string")).alias("name"), F.explode(sides).alias("s")).select("pair_id", "name", "s.*")
 
 
-@query("""WITH m AS (SELECT user_id AS pair_id, event_id, (CASE event_type WHEN 'click' THEN 'section.' WHEN 'view' THEN 'figure.' WHEN 'error' THEN 'page.' ELSE 'cite.' END) || (event_id // 2) AS name, event_id % 40 + (event_id % 8) / 8.0 AS x FROM events)
-SELECT a.pair_id, a.name, a.x AS original, b.x AS translated, CASE split_part(a.name, '.', 1) WHEN 'section' THEN 12 WHEN 'figure' THEN 10 ELSE 2 END AS weight
-FROM m a JOIN m b ON a.pair_id = b.pair_id AND a.name = b.name AND a.event_id % 2 = 0 AND b.event_id % 2 = 1 WHERE NOT starts_with(a.name, 'page.')""")
+@query("""SELECT user_id AS pair_id, (CASE event_type WHEN 'click' THEN 'section.' WHEN 'view' THEN 'figure.' ELSE 'cite.' END) || event_id AS name,
+ event_id % 40 + (event_id % 8) / 8.0 AS original, event_id * 3 % 40 + (event_id * 3 % 8) / 8.0 AS translated, CASE event_type WHEN 'click' THEN 12 WHEN 'view' THEN 10 ELSE 2 END AS weight FROM events WHERE event_type <> 'error'""")
 def landmark_join(spark, sf_dir):
     """JN1, ST1, RK12."""
     return align.match_landmarks(_marks(spark, sf_dir)).select("pair_id", "name", "original", "translated", "weight")
@@ -281,15 +284,32 @@ def height_offsets(spark, sf_dir):
     return align.page_starts(h).select("pair_id", "page", "start")
 
 
-@query("""WITH l AS (SELECT user_id AS p, event_id::DOUBLE AS o, event_id * 3.0 + event_id % 2 AS t FROM events WHERE event_type = 'click'), q AS (SELECT user_id AS p, event_id AS q, event_id + 0.5 AS v FROM events),
-b AS (SELECT q.p, q, v, max_by(STRUCT_PACK(o := o, t := t), o) FILTER (o <= v) AS lo, min_by(STRUCT_PACK(o := o, t := t), o) FILTER (o > v) AS hi FROM q LEFT JOIN l ON l.p = q.p GROUP BY q.p, q, v)
-SELECT p AS pair_id, q AS query_id, round(CASE WHEN lo IS NULL THEN hi.t WHEN hi IS NULL THEN lo.t ELSE lo.t + (v - lo.o) / (hi.o - lo.o) * (hi.t - lo.t) END, 6) AS mapped FROM b""")
+@query("""WITH h AS (SELECT u.user_id AS p, 'o' AS side, k AS page, 1 + k % 3 * 0.25 AS r FROM (SELECT DISTINCT user_id FROM events) u, range(1, 40) t(k) WHERE k <= 3 + user_id % 5
+ UNION ALL SELECT u.user_id, 't', k, 1 + k % 2 * 0.5 FROM (SELECT DISTINCT user_id FROM events) u, range(1, 40) t(k) WHERE k <= 2 + user_id % 7),
+e AS (SELECT p, side, page, r, coalesce(sum(r) OVER (PARTITION BY p, side ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM h),
+z AS (SELECT p, sum(r) FILTER (side = 'o') AS oz, sum(r) FILTER (side = 't') AS tz, max(page) FILTER (side = 'o') AS op, max(page) FILTER (side = 't') AS tp FROM h GROUP BY p),
+l0 AS (SELECT user_id AS p, event_id / 256.0 AS o, CASE WHEN user_id % 4 = 0 THEN (event_id * 7 % 64) / 16.0 ELSE event_id / 256.0 + user_id % 4 * 0.125 END AS t FROM events WHERE event_type = 'click'),
+m AS (SELECT l0.p, o, t FROM l0 JOIN z USING (p) WHERE o > 0 AND t > 0 AND o < oz AND t < tz UNION ALL SELECT p, 0.0, 0.0 FROM z UNION ALL SELECT p, oz, tz FROM z),
+s AS (SELECT p, o, t, lag(o) OVER w AS po, lag(t) OVER w AS pt FROM m WINDOW w AS (PARTITION BY p ORDER BY o, t)),
+g AS (SELECT p, bool_and(coalesce(o > po AND t > pt, true)) AND p IN (SELECT p FROM l0) AS good FROM s GROUP BY p),
+q AS (SELECT event_id AS q, user_id AS p, event_id % 11 AS page, event_id % 16 / 16.0 AS f FROM events),
+c AS (SELECT q.q, q.p, q.page, f, good, tz, tp, e.at + f * e.r AS v FROM q JOIN z USING (p) JOIN g USING (p) JOIN e ON e.p = q.p AND e.side = 'o' AND e.page = greatest(1, least(op, q.page))),
+i AS (SELECT c.q, max_by(STRUCT_PACK(o := o, t := t), o) FILTER (o <= v) AS lo, min_by(STRUCT_PACK(o := o, t := t), o) FILTER (o > v) AS hi FROM c JOIN m ON m.p = c.p WHERE good GROUP BY c.q),
+x AS (SELECT c.*, CASE WHEN hi IS NULL THEN lo.t ELSE lo.t + (v - lo.o) / (hi.o - lo.o) * (hi.t - lo.t) END AS y FROM c LEFT JOIN i USING (q))
+SELECT x.p AS pair_id, x.q AS query_id, CAST(CASE WHEN good THEN e.page ELSE greatest(1, least(tp, x.page)) END AS INTEGER) AS page, round(CASE WHEN good THEN greatest(0, least(1, (y - e.at) / e.r)) ELSE f END, 6)::DOUBLE AS fraction
+FROM x LEFT JOIN e ON good AND e.p = x.p AND e.side = 't' AND e.page = greatest(1, (SELECT max(page) FROM e n WHERE n.p = x.p AND n.side = 't' AND n.at <= y))""")
 def asof_interpolation(spark, sf_dir):
-    """JN6."""
+    """JN6, AR4, PL3, RK10: positions mapped between landmarks, some pairs of documents having landmarks out of order."""
     e = read(spark, sf_dir, "events")
-    marks = e.where("event_type = 'click'").select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("original"), (F.col("event_id") * 3 + F.col("event_id") % 2).alias("translated"))
-    asked = e.select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("query_id"), (F.col("event_id") + 0.5).alias("value"))
-    return align.interpolate(asked, marks).select("pair_id", "query_id", F.round("mapped", 6).alias("mapped"))
+    u = F.col("user_id")
+    users = e.select("user_id").distinct()
+    pages = lambda side, most, ratio: users.select(u.alias("pair_id"), F.lit(side).alias("side"), F.explode(F.sequence(F.lit(1), most.cast("int"))).alias("page")).withColumn("ratio", ratio)
+    heights = pages("original", 3 + u % 5, 1 + F.col("page") % 3 * 0.25).unionByName(pages("translated", 2 + u % 7, 1 + F.col("page") % 2 * 0.5))
+    at = F.col("event_id") / 256.0
+    t = F.when(u % 4 == 0, F.col("event_id") * 7 % 64 / 16.0).otherwise(at + u % 4 * 0.125)
+    marks = e.where("event_type = 'click'").select(u.alias("pair_id"), at.alias("original"), t.alias("translated"))
+    asked = e.select(u.alias("pair_id"), F.col("event_id").alias("query_id"), (F.col("event_id") % 11).cast("int").alias("page"), (F.col("event_id") % 16 / 16.0).alias("fraction"))
+    return align.map_positions(asked, marks, heights).select("pair_id", "query_id", "page", F.round("fraction", 6).alias("fraction"))
 
 
 @query()
@@ -298,7 +318,11 @@ def monotone_chain(spark, sf_dir):
     return align.chains(align.match_landmarks(_marks(spark, sf_dir)))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT source, doc_id, strlen(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+g AS (SELECT source, i, doc_id, 0::BIGINT AS batch, 1 AS cnt, n AS tot FROM r WHERE i = 1
+ UNION ALL SELECT r.source, r.i, r.doc_id, CASE WHEN cnt >= 50 OR tot + n > 131072 THEN batch + 1 ELSE batch END, CASE WHEN cnt >= 50 OR tot + n > 131072 THEN 1 ELSE cnt + 1 END, CASE WHEN cnt >= 50 OR tot + n > 131072 THEN n ELSE tot + n END
+ FROM g JOIN r ON r.source = g.source AND r.i = g.i + 1)
+SELECT source, doc_id AS ord, batch FROM g""")
 def greedy_batches(spark, sf_dir):
     """RK14."""
     d = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), "text")
@@ -392,14 +416,76 @@ def changed_keys(spark, sf_dir):
     return graph.changed_keys(a, b, "k", "v")
 
 
-@query()
+HEAD_ID = "printf('%04d.%05d', page_id % 10000, page_id % 100000)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {HEAD_ID} AS i FROM pages)
+SELECT page_id, CASE WHEN page_id % 5 < 2 THEN 'Paper ' || page_id || ' & its title' END AS title, CASE WHEN page_id % 3 = 0 THEN [1, 2, 3] ELSE CAST([] AS INTEGER[]) END AS versions FROM p""")
 def page_heads(spark, sf_dir):
-    """HT1, HT2: titles and versions that page heads state."""
+    """HT1, HT2: titles and versions that page heads state; a head for each page, with two titles, another id or none in some."""
+    i, n = F.format_string("%04d.%05d", F.col("page_id") % 10000, F.col("page_id") % 100000), F.col("page_id") % 5
+    title = F.concat(F.lit('<meta name="citation_title" content="Paper  '), F.col("page_id").cast("string"), F.lit(' &amp; its\n title">'))
+    named = F.concat(F.lit('<meta name="Citation_arXiv_id" content="'), F.when(n == 3, F.concat(i, F.lit("7"))).otherwise(F.concat(i, F.lit("v2"))), F.lit('">'))
+    head = F.concat(F.when(n == 4, "").otherwise(title), F.when(n == 2, title).otherwise(F.lit("")), named)
+    history = F.when(F.col("page_id") % 3 == 0, '<div class="x submission-history">[v3] <div>[v1]</div> [v2]</div> [v9]').otherwise("[v4]")
+    html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), history, F.coalesce("html", F.lit("")), F.lit("</body></html>"))
 
     @F.pandas_udf("struct<title: string, versions: array<int>>")
-    def head(html):
+    def read_head(html, identifier):
         import pandas as pd
 
-        return pd.DataFrame([(response.page_title(h or "", ""), response.history_versions(h or "")) for h in html], columns=["title", "versions"])
+        return pd.DataFrame([(response.page_title(h, x), response.history_versions(h)) for h, x in zip(html, identifier)], columns=["title", "versions"])
+
+    return read(spark, sf_dir, "pages").select("page_id", read_head(html, i).alias("h")).select("page_id", "h.*")
+
+
+PARAGRAPH = 50
+CODE = "\\begin{verbatim}\na % b\n\\end{verbatim}\n"
+
+
+def _tex(d: DataFrame) -> DataFrame:
+    """documents (doc_id, tex): the words of each text in paragraphs of PARAGRAPH words, with a bold word, a formula, a citation, a share and a comment each, and code at the end."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))
+    doc = F.col("doc_id").cast("string")
+    lit = lambda x: F.lit(x)
+
+    def paragraph(i: Column) -> Column:
+        w = F.slice("w", i * PARAGRAPH + 1, PARAGRAPH)
+        first, rest = F.element_at(w, 1), F.array_join(F.slice(w, 2, PARAGRAPH), " ")
+        return F.concat(lit("\\textbf{"), first, lit("} says "), rest, lit(" $x_"), i.cast("string"), lit("$ in~\\cite{k"), doc, lit("} by 5\\% more% note "), first, lit("\n\n"))
+
+    parts = F.transform(F.sequence(F.lit(0), (F.ceil(F.size("w") / PARAGRAPH) - 1).cast("int")), paragraph)
+    return d.select("doc_id", words.alias("w")).select("doc_id", F.concat(F.when(F.size("w") > 0, F.array_join(parts, "")).otherwise(lit("")), lit(CODE)).alias("tex"))
+
+
+TEX_SQL = f"""w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i * {PARAGRAPH} + 1] AS a, array_to_string(w[i * {PARAGRAPH} + 2 : i * {PARAGRAPH} + {PARAGRAPH}], ' ') AS b FROM w, LATERAL (SELECT unnest(range(0, (len(w) + {PARAGRAPH - 1}) // {PARAGRAPH})) AS i)),
+t AS (SELECT doc_id, i, a, b, '\\textbf{{' || a || '}} says ' || b || ' $x_' || i || '$ in~\\cite{{k' || doc_id || '}} by 5\\% more' AS head, '% note ' || a AS note FROM p)"""
+CODE_SQL = "'\\begin{verbatim}' || chr(10) || 'a % b' || chr(10) || '\\end{verbatim}' || chr(10)"
+
+
+@query(f"""WITH {TEX_SQL} SELECT doc_id, CAST(i AS INTEGER) AS ord, '⟪P0000⟫⟪P0001⟫' || a || '⟪P0002⟫ says ' || b || ' ⟪P0003⟫ in⟪P0004⟫ by ⟪P0005⟫ more⟪P0006⟫' AS masked,
+ ['\\textbf', '{{', '}}', '$x_' || i || '$', '~\\cite{{k' || doc_id || '}}', '5\\%', '% note ' || a || chr(10)] AS protected FROM t""")
+def tex_segments(spark, sf_dir):
+    """TX1, TX2, TX3, STR18: the segments of TeX around each document's words, as the contract has them."""
+    return frames.segment_table(_tex(read(spark, sf_dir, "documents")), "doc_id", "tex").select("doc_id", "ord", "masked", "protected")
+
+
+@query(f"""WITH {TEX_SQL}, x AS (SELECT doc_id, string_agg(head || note || chr(10) || chr(10), '' ORDER BY i) AS x FROM t GROUP BY doc_id)
+SELECT documents.doc_id, sha256(coalesce(x, '') || {CODE_SQL}) AS digest FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id""")
+def tex_roundtrip(spark, sf_dir):
+    """SG2, SG3, SG5, JN4: TeX whose segments are masked, restored and written back is as it was."""
+    d = _tex(read(spark, sf_dir, "documents"))
+    found = frames.segment_table(d, "doc_id", "tex").withColumn("r", frames.restored("masked", "protected", "masked")).select("doc_id", "start", "end", F.col("r.value").alias("value"))
+    spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("spans"))
+    whole = d.join(spans, "doc_id", "left")
+    return whole.select("doc_id", F.sha2(segments.spliced(F.col("tex"), F.col("spans")).cast("binary"), 256).alias("digest"))
+
 
-    return read(spark, sf_dir, "pages").select("page_id", head("html").alias("h")).select("page_id", "h.*")
+@query(f"""WITH {TEX_SQL}, x AS (SELECT doc_id, string_agg(head || repeat(' ', length(note)) || chr(10) || chr(10), '' ORDER BY i) AS x, count(*) AS n, sum(length('$x_' || i || '$')) AS c FROM t GROUP BY doc_id)
+SELECT documents.doc_id, sha256(coalesce(x, '') || repeat(' ', 16) || chr(10) || repeat(' ', 5) || chr(10) || repeat(' ', 14) || chr(10)) AS digest, coalesce(n, 0) AS formulas, CAST(coalesce(c, 0) AS BIGINT) AS chars FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id""")
+def tex_visible(spark, sf_dir):
+    """STR9, STR10, STR11, TX4: TeX with comments and code as blanks, and the formulas outside them."""
+    d = _tex(read(spark, sf_dir, "documents")).select("doc_id", F.sha2(frames.visible(F.col("tex")).cast("binary"), 256).alias("digest"), frames.math_ranges(F.col("tex")).alias("m"))
+    chars = F.aggregate("m", F.lit(0).cast("long"), lambda a, r: a + (F.get(r, 1) - F.get(r, 0)).cast("long"))
+    return d.select("doc_id", "digest", F.size("m").cast("long").alias("formulas"), chars.alias("chars"))

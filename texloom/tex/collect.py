@@ -45,6 +45,23 @@ def math_aliases(text: str) -> dict[str, str]:
         body = re.sub(r"^\\(begin|end)\s+\{", r"\\\1{", body)
         if re.fullmatch(r"\\(?:begin|end)\{[^{}]+\}|\\[\[\]()]|\$\$?", body):
             out[name] = body
+    return out | delimited_math(text)
+
+
+_OWN_END = re.compile(r"\\def\s*\\([A-Za-z@]+|.)\s*#1\s*(\\(?:[A-Za-z@]+|.))\s*(?=\{)", re.S)
+_WRAPPED = re.compile(r"(\$\$?|\\\(|\\\[|\\begin\{([^{}]+)\})\s*#1\s*(\$\$?|\\\)|\\\]|\\end\{([^{}]+)\})")
+
+
+def delimited_math(text: str) -> dict[str, str]:
+    r"""TX7: macros whose argument a token of their own ends and that only wrap it in mathematics, as \def\f#1\stop{$#1$}.
+
+    The value is the opening, scan.DELIMITED and that token.
+    """
+    pairs, out = {"$": "$", "$$": "$$", r"\(": r"\)", r"\[": r"\]"}, {}
+    for m, body in _bodies(scan.visible(text), _OWN_END):
+        wrapped = _WRAPPED.fullmatch(body.strip())
+        if wrapped and (wrapped[2] == wrapped[4] and wrapped[2] in scan.MATH_ENVIRONMENTS if wrapped[2] else wrapped[3] == pairs[wrapped[1]]):
+            out[m[1]] = wrapped[1] + scan.DELIMITED + m[2]
     return out
 
 
