@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import records, response
 from texloom.sources import archives
-from texloom.tex import collect, frames, restore, rewrite, scan
+from texloom.tex import collect, frames, project, restore, rewrite, scan
 from texloom.tex.segment import MARKER, Context, Segment, accented_text, movable, named_identifier, segments
 
 
@@ -284,3 +284,39 @@ def test_prose_at_any_depth():
     macro = Context(prose_arguments={"a": (1, (1,))})
     text = "".join(rf"\a{{level {n} words " for n in range(60)) + "}" * 60
     assert len(segments(text, macro)) == 60 and "level 59" in segments(text, macro)[-1].source
+
+
+def test_projects():
+    files = {"m.tex": r"\input{pre/a} \begin{document} \input{x} \end{document}", "pre/a.tex": r"\input{b} % \documentclass{no}", "pre/b.tex": r"\documentclass{article}", "x.tex": r"\documentclass{x}\begin{document}"}
+    assert project.class_file(files, "m.tex") == "pre/b.tex" and project.class_file(files, "gone.tex") is None
+    assert project.class_file({"m.tex": r"\input{x}", "x.tex": files["x.tex"]}, "m.tex") is None
+    assert project.class_file({"m.tex": r"\input{m}\input{/etc/a}\input{../a}", "a.tex": r"\documentclass{a}"}, "m.tex") is None
+    deep = {f"f{i}.tex": rf"\input{{f{i + 1}}}" for i in range(70)} | {"f70.tex": r"\documentclass{a}"}
+    assert project.class_file(deep, "f0.tex") is None and project.class_file(deep, "f10.tex") == "f70.tex"
+    macros = {r"\dir": r"\root/fig", r"\root": "out", r"\a": r"\b", r"\b": r"\a", r"\q": "{x}"}
+    assert [project.expand_path(v, macros) for v in (r"\dir/one.eps", r"\root{} two.eps", "plain ", r"\a", r"\gone/x", r"\q", r"a\%b")] == ["out/fig/one.eps", "outtwo.eps", "plain", None, None, None, None]
+    bodies = {r"\p": (r"\x.eps", "b.pdf"), r"\x": ("one",)}
+    assert project.ambiguous_path(r"\p", bodies, {}, {r"\p"}) and not project.ambiguous_path(r"\x", bodies, {}, {r"\p"})
+    assert project.ambiguous_path(r"\al", bodies, {r"\al": (r"\p",)}, {r"\x"}) and not project.ambiguous_path("a.eps", bodies, {}, {r"\p"})
+    stored = {"m.tex": rb"\title{On \sys{} things}", "d.tex": rb"\newcommand{\sys}{Foo}\title{Other}", "bad.tex": b"\xff"}
+    assert project.stored_title(stored, "m.tex", ["d.tex"]) == "On Foo things"
+    assert project.stored_title(stored, "m.tex", ["bad.tex"]) is None and project.stored_title(stored, "m.tex", ["none.tex"]) is None
+    assert project.stored_title(stored, "m.tex", ["d.tex"], budget=10) is None and project.stored_title(stored, "m.tex", ["d.tex"], most=1) is None
+    text = r"\x {\y} \begin{document}\z \begin{center}\u\end{center} \begingroup \v \endgroup \w"
+    assert project.scoped_positions(text, [text.index(c) for c in (r"\x", r"\y", r"\z", r"\u", r"\v", r"\w")]) == {text.index(c) for c in (r"\y", r"\u", r"\v")}
+
+
+def test_slots_and_probe():
+    s = segments(r"We \textbf{use} $x$ of 12 kinds, and more.")[0]
+    assert [s.masked[a:b] for a, b in restore.slots(s.masked)] == ["We", "use", "of", "kinds, and more."]
+    asked = []
+
+    def client(texts):
+        asked.append(dict(texts))
+        return {n: None if t == "of" and len(texts) > 1 else t.upper() for n, t in texts.items()}
+
+    assert restore.translate_slots(s, client, 3) == (r"WE \textbf{USE} $x$ OF 12 KINDS, AND MORE.", None, 3) and [len(a) for a in asked] == [3, 1, 1]
+    text, error, calls = restore.translate_slots(s, lambda texts: [], 8)
+    assert (text, error, calls) == (s.source, "missing", 5)
+    assert restore.translate_slots(s, lambda texts: {n: "\\foo" for n in texts})[0] == s.source
+    assert restore.target_probe(s, None) == s.source and restore.target_probe(s, "译文") == r"译文 \textbf{译文} $x$ 译文 12 译文, 译文 译文."

@@ -181,3 +181,32 @@ def default_temperature_required(kind: Column, param: Column, code: Column, mess
     plain = (param == "temperature") & code.isin("unsupported_parameter", "unsupported_value")
     said = (kind == "invalid_request_error") & F.lower(message).rlike(ONLY_DEFAULT_TEMPERATURE)
     return F.coalesce(plain, F.lit(False)) | F.coalesce(said, F.lit(False))
+
+
+def captured_view(pages: Column, top: Column, height: Column) -> Column:
+    """AR6: (page, fraction, viewport) at a fifth of the view, from pages (page, top, height) in order; NULL without pages or height."""
+    focus = top + height * 0.2
+    page = F.coalesce(F.get(F.filter(pages, lambda p: p["top"] <= focus), F.size(F.filter(pages, lambda p: p["top"] <= focus)) - 1), F.get(pages, 0))
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    point = F.greatest(page["top"], F.least(page["top"] + page["height"], focus))
+    view = F.struct(page["page"].alias("page"), unit((point - page["top"]) / page["height"]).alias("fraction"), unit((point - top) / height).alias("viewport"))
+    return F.when((F.size(pages) > 0) & (height > 0), view)
+
+
+def scroll_offset(page: Column, position: Column, height: Column) -> Column:
+    """AR6: where to scroll for a position (page, fraction, viewport) on its page (page, top, height); the very start is 0."""
+    viewport = F.coalesce(position["viewport"], F.lit(0.0))
+    start = (position["page"] == 1) & (position["fraction"] == 0) & (viewport == 0)
+    fraction = F.greatest(F.lit(0.0), F.least(F.lit(1.0), position["fraction"]))
+    return F.when(start, F.lit(0.0)).otherwise(page["top"] + fraction * page["height"] - viewport * height)
+
+
+def artwork_signature(subtype: Column, stream: Column, metadata: Column, stored: Column) -> Column:
+    """HS3: a form by its drawing commands, another object by its sorted metadata (without its length) and stored bytes."""
+    entries = F.array_sort(F.map_entries(F.map_filter(metadata, lambda k, v: k != "/Length")))
+    return F.when(subtype == "/Form", F.sha2(stream, 256)).otherwise(F.sha2(F.concat(F.to_json(entries).cast("binary"), stored), 256))
+
+
+def backoff(attempt: Column, jitter: Column) -> Column:
+    """DT2: seconds to wait before the next attempt (from 0), with a jitter that the caller draws."""
+    return F.pow(F.lit(2.0), attempt + 1) + jitter

@@ -175,3 +175,25 @@ def job_lookup(spark, sf_dir):
     """FP3."""
     jobs = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("status"))
     return library.get(jobs, jobs.agg(F.max("id")).first()[0])
+
+
+@query("""WITH e AS (SELECT event_id, event_id % 330 * 1.0 AS t, 50.0 AS h, 1 + user_id % 3 AS n FROM events), f AS (SELECT *, t + h * 0.2 AS f, greatest(1, least(n, floor((t + h * 0.2) / 100) + 1)) AS p FROM e),
+g AS (SELECT *, greatest((p - 1) * 100, least(p * 100, f)) AS x FROM f)
+SELECT event_id, CAST(p AS INTEGER) AS page, round((x - (p - 1) * 100) / 100, 6)::DOUBLE AS fraction, round(greatest(0, least(1, (x - t) / h)), 6)::DOUBLE AS viewport,
+ round(CASE WHEN p = 1 AND x = 0 AND greatest(0, least(1, (x - t) / h)) = 0 THEN 0 ELSE x - greatest(0, least(1, (x - t) / h)) * h END, 6)::DOUBLE AS scroll FROM g""")
+def viewports(spark, sf_dir):
+    """AR6: the view is captured and found again."""
+    pages = F.transform(F.sequence(F.lit(1), (1 + F.col("user_id") % 3).cast("int")), lambda i: F.struct(i.alias("page"), ((i - 1) * 100.0).alias("top"), F.lit(100.0).alias("height")))
+    e = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 330 * 1.0).cast("double").alias("t"), pages.alias("pages"))
+    view = e.withColumn("v", records.captured_view(F.col("pages"), F.col("t"), F.lit(50.0)))
+    scroll = records.scroll_offset(F.element_at("pages", F.col("v.page")), F.col("v"), F.lit(50.0))
+    return view.select("event_id", "v.page", F.round("v.fraction", 6).alias("fraction"), F.round("v.viewport", 6).alias("viewport"), F.round(scroll, 6).alias("scroll"))
+
+
+@query("""SELECT p_partkey AS id, sha256(CASE WHEN p_partkey % 3 = 0 THEN 'draw ' || p_partkey ELSE '[{"key":"/A","value":"' || p_partkey % 5 || '"},{"key":"/W","value":"9"}]' || p_name END) AS signature FROM part""")
+def artwork_signatures(spark, sf_dir):
+    """HS3."""
+    k = F.col("p_partkey")
+    meta = F.create_map(F.lit("/W"), F.lit("9"), F.lit("/Length"), k.cast("string"), F.lit("/A"), (k % 5).cast("string"))
+    signature = records.artwork_signature(F.when(k % 3 == 0, "/Form").otherwise("/Image"), F.concat(F.lit("draw "), k.cast("string")).cast("binary"), meta, F.col("p_name").cast("binary"))
+    return read(spark, sf_dir, "part").select(k.alias("id"), signature.alias("signature"))
