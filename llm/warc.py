@@ -289,7 +289,7 @@ def round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
     spark = pages.sparkSession
     path = shared_dir(spark, "warc")
     write(pages, path, segment_bytes)
-    got = cut(read(spark, path).select("page_id", "record_type", "refers_to", F.when(F.col("record_type") == "response", base32_of_hex(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "problem"), "warc-records")
+    got = cut(read(spark, path).select("page_id", "record_type", "refers_to", F.coalesce(base32_of_hex(F.sha1("payload")), F.when(F.col("record_type") != "response", F.col("payload_digest"))).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"), "problem"), "warc-records")
     sizes = got.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("_size"))
     revisits = salted_join(got.where("record_type = 'revisit'"), sizes, "payload_digest")
     out = got.where("record_type = 'response'").withColumn("_size", F.col("payload_bytes")).unionByName(revisits)
