@@ -494,6 +494,62 @@ def test_mixing(docs, empty):
     assert sum(mixing.integer_weights({"a": 0.7, "b": 0.299, "c": 0.001}).values()) == 1000
 
 
+def test_long_texts(spark):
+    """Texts above 512 KB, where the word scanner works in windows: no operator cuts them or loses their ends."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    ws = [f"w{rng.randrange(10**6)}{rng.choice(('', '.', 'é'))}" for _ in range(100_000)]
+    other = [*ws[:-30], *(f"new{i}" for i in range(30))]
+    texts = ["\n".join(" ".join(ws[i : i + 15]) for i in range(0, len(ws), 15)), " ".join(other), " ".join(ws[-60:-5]), "x" * 700_000 + " end"]
+    assert len(texts[0].encode()) > 1 << 19
+    data, offs = textkernel.text_bytes(pa.array(texts))
+    starts, ends, h, at = textkernel.scan_words(data, offs)
+    raw = data.tobytes()
+    assert [raw[a:b] for a, b in zip(starts[:100_000].tolist(), ends[:100_000].tolist())] == [w.encode() for w in ws] and at.tolist() == [0, 100_000, 200_000, 200_055, 200_057]
+    for i in (0, 50_000, 74_999, 99_999):
+        assert textkernel.scan_words(np.frombuffer(ws[i].encode(), np.uint8), np.array([0, len(ws[i].encode())]))[2][0] == h[i]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, 4, 85, 100).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    removed = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect()}
+    assert removed == {0: (100_000, 0), 1: (100_000, 99_970), 2: (55, 55), 3: (2, 0)}
+    items = spark.createDataFrame([(7, " ".join(ws[-25:]))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.leaks(docs, items).collect()] == [(0, 7, 21, 21)]
+    assert {r["doc_id"]: r["n_tokens"] for r in lm_scoring.score(docs).collect()} == {0: 100_001, 1: 100_001, 2: 56, 3: 3}
+    row, _ = classifier.document_features(pa.array(texts))
+    grams = lambda t: sum(max(0, len(w) - g + 1) for w in words_of(t) for g in classifier.GRAMS)
+    again = lambda t: sum(a == b for a, b in zip(words_of(t), words_of(t)[1:]))
+    assert np.bincount(row).tolist() == [len(words_of(t)) + again(t) + grams(t) for t in texts]
+
+
+def test_long_texts_in_token_files(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(13)
+    texts = [" ".join(f"Word{rng.randrange(5000)}," for _ in range(90_000)), "short", " ".join(f"é{rng.randrange(50)}" for _ in range(150_000))]
+    docs = spark.createDataFrame([(9 - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    tok, at, want = Tokenizer.from_file(path), 0, []
+    for i in (2, 1, 0):
+        ids = tok.encode(texts[i], add_special_tokens=False).ids + [2]
+        want.append((9 - i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, token_files.digest(token_files.round_trip(docs, path)).collect())) == sorted(want)
+
+
+def test_decontaminate_blocks(spark, docs, empty, monkeypatch):
+    """Items in several blocks, each a pass of its own, give what one block gives; empty tables and odd names too."""
+    items = spark.createDataFrame([(i, " ".join(t.split()[:40])) for i, t in enumerate(corpus()[:8])], "item_id long, text string")
+    want = Counter(map(tuple, decontaminate.leaks(docs, items).collect()))
+    kept = Counter(r["doc_id"] for r in decontaminate.clean(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    assert len(list(decontaminate._blocks(items))) > 2
+    assert Counter(map(tuple, decontaminate.leaks(docs, items).collect())) == want and want
+    assert Counter(r["doc_id"] for r in decontaminate.clean(docs, items).collect()) == kept
+    assert decontaminate.clean(empty, items).count() == 0 and decontaminate.clean(empty, items).columns == empty.columns
+
+
 def pipeline_rows(rows, items, encode):
     """The pipeline by brute force: lists of (doc_id, text, source) and of item texts."""
     grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
