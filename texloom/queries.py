@@ -19,6 +19,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents for stages of Python: a table of fewer splits than cores is dealt out first."""
+    d, cores = read(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return d if d.rdd.getNumPartitions() >= cores else d.repartition(cores)
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.lit("arxiv").alias("kind"), F.concat(F.lit("Paper "), "o_orderpriority").alias("name"), F.col("o_custkey").alias("source_id"),
@@ -332,7 +338,7 @@ def greedy_batches(spark, sf_dir):
 @query()
 def segment_inventory(spark, sf_dir):
     """TX1, SG1, AG1, JN3: segments and distinct keys of each language and source."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     key = segments.segment_key(F.col("role"), F.col("source"), F.col("masked"), F.col("protected"))
     found = frames.segment_table(d.select(F.struct("doc_id", "lang", F.col("source").alias("src")).alias("at"), "text"), "at").select("at.*", key.alias("key"), F.length("source").alias("chars"))
     # two levels: the keys of a hot source are spread over all tasks before they are counted
@@ -342,7 +348,7 @@ def segment_inventory(spark, sf_dir):
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def writeback_roundtrip(spark, sf_dir):
     """TX1, SG3, SG5, JN4: texts whose segments are masked, restored and written back are as they were."""
-    d = read(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     restored = F.col("r.value")
     found = frames.segment_table(d, "doc_id").withColumn("r", frames.restored("masked", "protected", "masked")).select("doc_id", "start", "end", restored.alias("value"))
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("spans"))
@@ -353,7 +359,7 @@ def writeback_roundtrip(spark, sf_dir):
 @query()
 def visible_text(spark, sf_dir):
     """STR9, STR10: characters of a text outside comments and code."""
-    d = read(spark, sf_dir, "documents").select("doc_id", frames.visible(F.col("text")).alias("t"), frames.without_comments(F.col("text")).alias("u"))
+    d = texts(spark, sf_dir).select("doc_id", frames.visible(F.col("text")).alias("t"), frames.without_comments(F.col("text")).alias("u"))
     bare = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
     return d.select("doc_id", F.length("t").alias("chars"), bare(F.col("t")).alias("visible"), bare(F.col("u")).alias("uncommented"))
 
@@ -468,14 +474,14 @@ CODE_SQL = "'\\begin{verbatim}' || chr(10) || 'a % b' || chr(10) || '\\end{verba
  ['\\textbf', '{{', '}}', '$x_' || i || '$', '~\\cite{{k' || doc_id || '}}', '5\\%', '% note ' || a || chr(10)] AS protected FROM t""")
 def tex_segments(spark, sf_dir):
     """TX1, TX2, TX3, STR18: the segments of TeX around each document's words, as the contract has them."""
-    return frames.segment_table(_tex(read(spark, sf_dir, "documents")), "doc_id", "tex").select("doc_id", "ord", "masked", "protected")
+    return frames.segment_table(_tex(texts(spark, sf_dir)), "doc_id", "tex").select("doc_id", "ord", "masked", "protected")
 
 
 @query(f"""WITH {TEX_SQL}, x AS (SELECT doc_id, string_agg(head || note || chr(10) || chr(10), '' ORDER BY i) AS x FROM t GROUP BY doc_id)
 SELECT documents.doc_id, sha256(coalesce(x, '') || {CODE_SQL}) AS digest FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id""")
 def tex_roundtrip(spark, sf_dir):
     """SG2, SG3, SG5, JN4: TeX whose segments are masked, restored and written back is as it was."""
-    d = _tex(read(spark, sf_dir, "documents"))
+    d = _tex(texts(spark, sf_dir))
     found = frames.segment_table(d, "doc_id", "tex").withColumn("r", frames.restored("masked", "protected", "masked")).select("doc_id", "start", "end", F.col("r.value").alias("value"))
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("spans"))
     whole = d.join(spans, "doc_id", "left")
@@ -486,6 +492,6 @@ def tex_roundtrip(spark, sf_dir):
 SELECT documents.doc_id, sha256(coalesce(x, '') || repeat(' ', 16) || chr(10) || repeat(' ', 5) || chr(10) || repeat(' ', 14) || chr(10)) AS digest, coalesce(n, 0) AS formulas, CAST(coalesce(c, 0) AS BIGINT) AS chars FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id""")
 def tex_visible(spark, sf_dir):
     """STR9, STR10, STR11, TX4: TeX with comments and code as blanks, and the formulas outside them."""
-    d = _tex(read(spark, sf_dir, "documents")).select("doc_id", F.sha2(frames.visible(F.col("tex")).cast("binary"), 256).alias("digest"), frames.math_ranges(F.col("tex")).alias("m"))
+    d = _tex(texts(spark, sf_dir)).select("doc_id", F.sha2(frames.visible(F.col("tex")).cast("binary"), 256).alias("digest"), frames.math_ranges(F.col("tex")).alias("m"))
     chars = F.aggregate("m", F.lit(0).cast("long"), lambda a, r: a + (F.get(r, 1) - F.get(r, 0)).cast("long"))
     return d.select("doc_id", "digest", F.size("m").cast("long").alias("formulas"), chars.alias("chars"))
