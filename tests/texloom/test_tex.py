@@ -192,9 +192,21 @@ def test_records(spark):
     one = lambda c: spark.range(1).select(c).collect()[0][0]
     assert [one(records.strict_base64(F.lit(v))) for v in ("aGk=", "aGk", "a Gk=", "")] == [b"hi", None, None, b""]
     assert [one(records.headers_error(F.expr(f"map({m})"))) for m in ("'X-A', 'b'", "'Host', 'b'", "'a b', 'c'", "'A', 'b', 'a', 'c'", "'A', 'b\nc'")] == [None, "reserved_name", "invalid_name", "repeated_name", "invalid_value"]
-    assert one(records.record_ids(F.array(F.lit("see 2401.00001"), F.lit("Version: 2"), F.lit(None)))) == ["2401.00001v2"]
+    fields = F.array(F.lit("see 2401.00001"), F.lit("Version: 2"), F.lit(None))
+    assert one(records.record_ids(fields, F.lit("Version: 2\nversion: v3"))) == ["2401.00001", "2401.00001v2", "2401.00001v3"]
+    assert one(records.record_ids(F.array(F.lit("2401.00001 cs.CL/0101001v1")), F.lit("version: 2"))) == ["2401.00001", "cs.CL/0101001v1"]
     assert one(records.message(F.lit("{a} of {b}"), F.expr("map('a', '1')"))) == "1 of {b}"
+    assert one(records.message(F.lit("{a} of 3 pages"), F.expr("map('a', '{count}', 'count', '1')"))) == "{count} of 3 page"
+    stamp = lambda t: tuple(one(records.page_stamp(F.lit(t), F.lit("2401.00001"))))
     assert one(records.stamp_version(F.lit("arXiv:2401.00001v2 [cs.CL] 1 Jan"), F.lit("2401.00001"))) == "2401.00001v2"
+    assert stamp("arXiv:2401.00001v2 and arXiv:2402.00009v1") == ("2401.00001v2", None)
+    assert stamp("arXiv:2401.00001v2 and arXiv:2402.00009v1 [cs.CL]") == (None, "id_conflict")
+    assert stamp("arXiv:2401.00001v2 arXiv:2401.00001v3") == (None, "version_ambiguous")
+    assert [one(records.page_number(F.lit(v), F.lit(4), F.lit(9))) for v in (" 7.9 ", "x", "", "-2", "1e5")] == [7, 4, 4, 1, 9]
+    assert [one(records.zoom(F.lit(1.0), F.lit(w))) for w in (0.0, -5000.0, 5000.0)] == [1.0, 2.5, 0.5]
+    assert one(records.header_names(F.expr("map('X-B', ' v ', 'X-A', 'w')"))) == ["x-a", "x-b"] and one(records.header_names(F.expr("map('Te', 'v')"))) == []
+    assert one(records.headers_error(F.expr("map_from_entries(transform(sequence(1, 17), i -> struct(concat('h', i), 'v')))"))) == "too_many"
+    assert one(records.headers_error(F.expr("map_from_entries(transform(sequence(1, 5), i -> struct(concat('h', i), repeat('v', 4000))))"))) == "too_large"
     assert one(records.matrix_product(F.expr("array(1d,0d,0d,1d,2d,3d)"), F.expr("array(2d,0d,0d,2d,1d,1d)"))) == [2, 0, 0, 2, 5, 7]
 
 

@@ -45,7 +45,8 @@ def same_version(value: Column, expected: Column) -> Column:
 
 def references(text: Column) -> Column:
     """STR3: the distinct ids in a text, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z./])((?:[0-9]{4}\.[0-9]{4,5})(?:v[1-9][0-9]*)?)(?![0-9])"), F.lit(1)))
+    pattern = r"(?i)(?:^|[^A-Za-z0-9_])((?:[0-9]{4}\.[0-9]{4,5}|[a-z][a-z.\-]+/[0-9]{7})(?:v[1-9][0-9]*)?)(?![A-Za-z0-9_])"
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
 def placeholder_title(kind: Column, name: Column, identifier: Column) -> Column:
@@ -58,7 +59,7 @@ def placeholder_title(kind: Column, name: Column, identifier: Column) -> Column:
 
 
 def version_newer(value: Column, than: Column) -> Column:
-    """RK17: strict comparison of versions of three numbers; NULL if either is malformed."""
-    shape = r"^v?[0-9]+\.[0-9]+\.[0-9]+$"
-    parts = lambda c: F.transform(F.split(F.regexp_replace(c, "^v", ""), r"\."), lambda x: x.cast("int"))
-    return F.when(value.rlike(shape) & than.rlike(shape), parts(value) > parts(than))
+    """RK17: strict comparison of versions of three numbers; false if either is malformed."""
+    shape = r"\Av?(?:0|[1-9][0-9]{0,14})(?:\.(?:0|[1-9][0-9]{0,14})){2}\z"
+    parts = lambda c: F.transform(F.split(F.regexp_replace(c, "^v", ""), r"\."), lambda x: x.cast("long"))
+    return F.coalesce(F.when(value.rlike(shape) & than.rlike(shape), parts(value) > parts(than)), F.lit(False))

@@ -7,8 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texloom.functions.ids import base_id, references
+
 # Headers that a client sets itself.
-RESERVED_HEADERS = ("authorization", "connection", "content-length", "content-type", "host", "transfer-encoding")
+RESERVED_HEADERS = (
+    "authorization", "host", "content-length", "content-type", "content-encoding", "accept-encoding", "connection", "keep-alive",
+    "proxy-authorization", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade", "expect",
+)
+# Entries, characters of a name and of a value, and the size of all with 4 for each entry.
+MOST_HEADERS, NAME_LENGTH, VALUE_LENGTH, HEADERS_SIZE = 16, 128, 4096, 16384
 MARKER_FIELDS = ("provider", "artifact", "task_id", "language", "arxiv_id")
 
 
@@ -25,20 +32,32 @@ def marker_note(*fields: str) -> Column:
 
 
 def headers_error(headers: Column) -> Column:
-    """JS3: why a map of extra headers is refused, or NULL."""
+    """JS3: why a map of extra headers is refused, or NULL: the number of entries, then the first entry at fault."""
     entries = F.map_entries(headers)
     names = F.transform(entries, lambda e: F.lower(e["key"]))
-    return (
-        F.when(F.exists(entries, lambda e: ~e["key"].rlike(r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+$")), "invalid_name")
-        .when(F.exists(names, lambda n: n.isin(*RESERVED_HEADERS)), "reserved_name")
-        .when(F.size(F.array_distinct(names)) < F.size(names), "repeated_name")
-        .when(F.exists(entries, lambda e: e["value"].isNull() | e["value"].rlike(r"[\r\n\x00]") | (F.length(e["value"]) > 8192)), "invalid_value")
-    )
+    sizes = F.transform(entries, lambda e: F.length(e["key"]) + F.length(e["value"]) + 4)
+    up_to = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, n: a + n)
+    fault = lambda e, i: (
+        F.when((F.length(e["key"]) > NAME_LENGTH) | ~e["key"].rlike(r"\A[!#$%&'*+.^_`|~0-9A-Za-z-]+\z"), "invalid_name")
+        .when(F.lower(e["key"]).isin(*RESERVED_HEADERS), "reserved_name")
+        .when(F.array_position(names, F.lower(e["key"])) <= i, "repeated_name")
+        .when(F.length(e["value"]) > VALUE_LENGTH, "long_value")
+        .when(~e["value"].rlike(r"\A[\x20-\x7e]*\z"), "invalid_value")
+        .when(up_to(i) > HEADERS_SIZE, "too_large")
+    )
+    first = F.get(F.filter(F.transform(entries, fault), lambda x: x.isNotNull()), 0)
+    return F.when(headers.isNull() | F.exists(entries, lambda e: e["value"].isNull()), "not_a_map").when(F.size(entries) > MOST_HEADERS, "too_many").otherwise(first)
+
+
+def clean_headers(headers: Column) -> Column:
+    """JS3: names in lower case, values without blanks around them; NULL for headers that are refused."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
+    return F.when(headers_error(headers).isNull(), F.map_from_entries(entries))
 
 
 def header_names(headers: Column) -> Column:
-    """JS4: names in order; an empty array for no map."""
-    return F.coalesce(F.array_sort(F.map_keys(headers)), F.array().cast("array<string>"))
+    """JS4: names in lower case, in order; an empty array for no map or a refused one."""
+    return F.coalesce(F.array_sort(F.map_keys(clean_headers(headers))), F.array().cast("array<string>"))
 
 
 def strict_base64(value: Column) -> Column:
@@ -67,35 +86,60 @@ def matrix_product(a: Column, b: Column) -> Column:
     return F.array(cell(0, 0), cell(0, 1), cell(2, 0), cell(2, 1), cell(4, 0) + g(b, 4), cell(4, 1) + g(b, 5))
 
 
-def page_number(value: Column, pages: Column) -> Column:
-    """STR25: a typed page number within the pages; NULL for other input."""
-    n = F.when(value.rlike(r"^\s*[0-9]{1,9}\s*$"), F.trim(value).cast("int"))
-    return F.when(n.isNotNull(), F.greatest(F.lit(1), F.least(n, pages)))
+def page_number(value: Column, current: Column, pages: Column) -> Column:
+    """STR25: a typed decimal number without its fraction, taken into the pages there are; other input keeps the current page."""
+    typed = F.regexp_extract(value, r"\A\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*\z", 1)
+    n = F.nullif(typed, F.lit("")).cast("double")
+    return F.when(n.isNull() | (F.abs(n) == float("inf")), current).otherwise(F.greatest(F.lit(1.0), F.least(n, pages.cast("double")))).cast("int")
 
 
-def zoom(value: Column, wheel: Column, low: float = 0.25, high: float = 4.0) -> Column:
+def zoom(value: Column, wheel: Column, low: float = 0.5, high: float = 2.5) -> Column:
     """STR25: a zoom after a turn of the wheel, within its limits."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), value * F.exp(-wheel / 500.0)))
+    return F.greatest(F.lit(low), F.least(F.lit(high), value * F.exp(-wheel / 1000.0)))
+
+
+def message(template: Column, values: Column, plurals: str = "pages|paragraphs|tasks") -> Column:
+    """STR26: a template with each {name} replaced once by the value of a map; unknown names stay.
+
+    With a count of 1 the template's plurals lose their last letter; None leaves them.
+    """
+    single = reduce(lambda t, p: F.regexp_replace(t, rf"\b{p}\b", p[:-1]), plurals.split("|") if plurals else (), template)
+    text = F.when(F.try_element_at(values, F.lit("count")) == "1", single).otherwise(template)
+    names = F.regexp_extract_all(text, F.lit(r"\{(\w+)\}"), F.lit(1))
+    filled = F.transform(names, lambda n: F.coalesce(F.try_element_at(values, n), F.concat(F.lit("{"), n, F.lit("}"))))
+    return F.array_join(F.transform(F.split(text, r"\{\w+\}"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.get(filled, i - 1), p))), "")
 
 
-def message(template: Column, values: Column) -> Column:
-    """STR26: a template with {name} replaced by the values of a map; unknown names stay."""
-    return F.aggregate(F.map_entries(values), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+def record_ids(values: Column, extra: Column) -> Column:
+    """STR4, FP13: distinct ids in the fields of a record; with one base, also the versions that lines of extra name for it."""
+    ids = F.array_distinct(F.flatten(F.transform(F.filter(values, lambda v: v.isNotNull()), references)))
+    bases = F.array_distinct(F.transform(ids, base_id))
+    versions = F.regexp_extract_all(F.coalesce(extra, F.lit("")), F.lit(r"(?im)^\s*version\s*:\s*v?([1-9][0-9]*)\s*$"), F.lit(1))
+    named = F.transform(versions, lambda v: F.concat(F.get(bases, 0), F.lit("v"), v))
+    return F.when(F.size(bases) == 1, F.array_distinct(F.concat(ids, named))).otherwise(ids)
 
 
-def record_ids(values: Column) -> Column:
-    """STR4, FP13: distinct ids in the fields of a record; a bare id takes the version that a line of its own names."""
-    joined = F.concat_ws("\n", F.filter(values, lambda v: v.isNotNull()))
-    ids = F.array_distinct(F.regexp_extract_all(joined, F.lit(r"(?<![0-9A-Za-z./])([0-9]{4}\.[0-9]{4,5}(?:v[1-9][0-9]*)?)(?![0-9])"), F.lit(1)))
-    version = F.nullif(F.regexp_extract(joined, r"(?im)^\s*version:\s*v?([1-9][0-9]*)\s*$", 1), F.lit(""))
-    return F.array_distinct(F.transform(ids, lambda i: F.when(version.isNotNull() & ~F.contains(i, F.lit("v")), F.concat(i, F.lit("v"), version)).otherwise(i)))
+STAMP = r"(?i)arxiv\s*:\s*((?:[0-9]{4}\s*\.\s*[0-9]{4,5}|[a-z][a-z.\-]+\s*/\s*[0-9]{7})\s*v\s*[1-9][0-9]*)(?!\w)\s*(\[[a-z][a-z.\-]*(?:\.[a-z]+)?\])?"  # a fixed pattern
+
+
+def page_stamp(text: Column, base: Column) -> Column:
+    """STR5: (id, error) of a page's stamps; those with a category in brackets count before all others, of which only the base's count.
+
+    The error is id_conflict for several bases or another one than base, and version_ambiguous for several versions; NULL base expects none.
+    """
+    group = lambda n: F.regexp_extract_all(text, F.lit(STAMP), F.lit(n))
+    stamps = F.arrays_zip(F.transform(group(1), lambda i: F.regexp_replace(i, r"\s+", "")).alias("id"), group(2).alias("mark"))
+    strong = F.filter(stamps, lambda s: s["mark"] != "")
+    weak = F.filter(stamps, lambda s: F.coalesce(base_id(s["id"]) == base, F.lit(False)))
+    ids = F.transform(F.when(F.size(strong) > 0, strong).otherwise(weak), lambda s: s["id"])
+    bases, versions = F.array_distinct(F.transform(ids, base_id)), F.array_distinct(ids)
+    error = F.when((F.size(bases) > 1) | ((F.size(bases) == 1) & F.coalesce(F.get(bases, 0) != base, F.lit(False)) & (F.size(versions) == 1)), "id_conflict").when(F.size(versions) > 1, "version_ambiguous")
+    return F.struct(F.when(error.isNull(), F.get(versions, 0)).alias("id"), error.alias("error"))
 
 
 def stamp_version(text: Column, base: Column) -> Column:
-    """STR5: the version that a page's stamp (an id with a category in brackets) names for a base id; NULL if none or several."""
-    found = F.regexp_extract_all(text, F.lit(r"arXiv:([0-9]{4}\.[0-9]{4,5}v[1-9][0-9]*)\s*\[[A-Za-z.\-]+\]"), F.lit(1))
-    mine = F.array_distinct(F.filter(found, lambda i: F.regexp_replace(i, r"v[0-9]+$", "") == base))
-    return F.when(F.size(mine) == 1, F.get(mine, 0))
+    """STR5: the id that a page's stamps agree on; NULL if there is none or a conflict."""
+    return page_stamp(text, base)["id"]
 
 
 def url_error(url: Column) -> Column:
@@ -110,9 +154,9 @@ def upload_error(name: Column, size: Column) -> Column:
 
 
 def annotation_error(page: Column, pages: Column, version: Column, current: Column, rects: Column) -> Column:
-    """VL6: why an annotation is refused, or NULL."""
-    inside = lambda r: (r["x"] >= 0) & (r["y"] >= 0) & (r["width"] > 0) & (r["height"] > 0) & (r["x"] + r["width"] <= 1.0001) & (r["y"] + r["height"] <= 1.0001)
-    return F.when(~version.eqNullSafe(current), "version_changed").when(~F.coalesce(page.between(1, pages), F.lit(False)), "no_such_page").when(~F.coalesce((F.size(rects) > 0) & F.forall(rects, inside), F.lit(False)), "out_of_bounds")
+    """VL6: why an annotation is refused, or NULL; a page takes 1 to 300 rectangles."""
+    inside = lambda r: r["x"].between(0, 1) & r["y"].between(0, 1) & (r["width"] > 0) & (r["height"] > 0) & (r["width"] <= 1) & (r["height"] <= 1) & (r["x"] + r["width"] <= 1.00001) & (r["y"] + r["height"] <= 1.00001)
+    return F.when(~version.eqNullSafe(current), "version_changed").when(~F.coalesce(page.between(1, pages), F.lit(False)), "no_such_page").when(~F.coalesce(F.size(rects).between(1, 300) & F.forall(rects, inside), F.lit(False)), "out_of_bounds")
 
 
 def same_artifact(a: DataFrame, b: DataFrame, fields: tuple[str, ...] = ("task_id", "artifact", "language", "arxiv_id")) -> Column:

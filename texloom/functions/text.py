@@ -103,8 +103,9 @@ def language_error(source: Column, output: Column, language: Column) -> Column:
 
 
 def file_stem(name: Column, limit: int = 72) -> Column:
-    """STR22: a name that is safe for a file."""
-    return F.substring(F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w.\-]+", "-"), r"^[-.]+|[-.]+$", ""), 1, limit)
+    """STR22: a name that is safe for a file; paper if nothing is left of it."""
+    stem = F.substring(F.regexp_replace(F.regexp_replace(name, r"(?U)[^\w.\-]+", "-"), r"^[-.]+|[-.]+$", ""), 1, limit)
+    return F.coalesce(F.nullif(stem, F.lit("")), F.lit("paper"))
 
 
 def progress(done: Column, total: Column) -> Column:
@@ -113,12 +114,12 @@ def progress(done: Column, total: Column) -> Column:
 
 
 def retry_delay(header: Column, now: Column, fallback: Column) -> Column:
-    """DT1: seconds to wait after a Retry-After header of seconds or a date, at least fallback."""
-    seconds = header.try_cast("double")
+    """DT1: seconds to wait after a Retry-After header of seconds or a date, at least fallback; fallback for any other header."""
+    number = F.when(header.rlike(r"\A\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*\z"), header.try_cast("double"))
     day = F.regexp_replace(header, r"^[A-Za-z]{3}, ", "")
     date = F.try_to_timestamp(day, F.lit("dd MMM yyyy HH:mm:ss z"))
-    wait = F.coalesce(seconds, F.unix_timestamp(date) - F.unix_timestamp(now))
-    return F.greatest(F.coalesce(wait, fallback), fallback)
+    wait = F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))
+    return F.when((wait >= 0) & (wait < float("inf")), F.greatest(wait, fallback)).otherwise(fallback)
 
 
 def clamp(x: Column, low=0.0, high=1.0) -> Column:

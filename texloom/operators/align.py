@@ -209,12 +209,12 @@ def match_regions(captions: DataFrame, regions: DataFrame, reach: float = 0.065)
 
 
 def slices_of_matches(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """JN8: the parts of text items that matches cover, items being laid end to end on a page."""
+    """JN8: the parts of text items that matches cover, items being laid end to end on a page; empty items and matches have none."""
     before = F.coalesce(F.sum("length").over(Window.partitionBy("page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = items.withColumn("at", before)
     j = placed.join(matches, "page").where((F.col("start") < F.col("at") + F.col("length")) & (F.col("start") + F.col("size") > F.col("at")))
     lo, hi = F.greatest(F.col("start"), F.col("at")), F.least(F.col("start") + F.col("size"), F.col("at") + F.col("length"))
-    return j.select("page", "match_id", "ord", (lo - F.col("at")).alias("from"), (hi - F.col("at")).alias("to"))
+    return j.select("page", "match_id", "ord", (lo - F.col("at")).alias("from"), (hi - F.col("at")).alias("to")).where("`to` > `from`")
 
 
 def greedy_batches(rows: Iterator[tuple[int, int]], most: int = 50, size: int = 128 * 1024) -> Iterator[tuple[int, int]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,12 +102,13 @@ def keep_last_logs(logs: Column, keep: int = LOG_KEEP) -> Column:
 
 
 def move_notice(jobs: DataFrame, notice: str) -> DataFrame:
-    """PR5: a notice goes from the warnings to the logs, once."""
-    has = F.array_contains("warnings", notice)
-    said = F.exists("logs", lambda x: x["message"] == notice)
+    """PR5: a notice goes from the warnings (and original_warnings, where there are any) to the logs, once."""
+    fields = [c for c in ("warnings", "original_warnings") if c in jobs.columns]
+    has = reduce(lambda a, b: a | b, [F.coalesce(F.array_contains(c, notice), F.lit(False)) for c in fields])
+    said = F.exists("logs", lambda x: x["message"].eqNullSafe(F.lit(notice)))
     entry = F.array(F.struct(F.coalesce("updated_at", F.lit(0.0)).alias("time"), F.lit(notice).alias("message")))
-    logs = F.when(has & ~said, F.concat("logs", entry)).otherwise(F.col("logs"))
-    return jobs.withColumn("logs", logs).withColumn("warnings", F.filter("warnings", lambda x: x != notice))
+    logs = F.when(has & ~F.coalesce(said, F.lit(False)), F.concat(F.coalesce("logs", F.slice(entry, 1, 0)), entry)).otherwise(F.col("logs"))
+    return jobs.withColumns({"logs": logs, **{c: F.filter(c, lambda x: ~x.eqNullSafe(F.lit(notice))) for c in fields}})
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
