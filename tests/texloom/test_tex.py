@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 import random
 import tarfile
 import zipfile
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import records, response
 from texloom.sources import archives
-from texloom.tex import collect, frames, project, restore, rewrite, scan
+from texloom.tex import collect, frames, project, requests, restore, rewrite, scan
 from texloom.tex.segment import MARKER, Context, Segment, accented_text, movable, named_identifier, segments
 
 
@@ -180,8 +181,14 @@ def test_responses():
     assert response.strip_reasoning("<think>a<think>b</think></think> ok") == ("ok", None)
     assert response.strip_reasoning("<think>a") == response.strip_reasoning("a</think>") == (None, "ambiguous")
     m = "a < ⟪P0001⟫ & ⟪P0000⟫b"
-    assert response.decode_xml(response.encode_xml(m), 2) == (m, None)
-    assert [response.decode_xml(x, 1)[1] for x in ("<s><p id='0'/><p id='0'/></s>", "<s><b/></s>", "<s>", "<s><p id='0'>x</p></s>")] == ["markers_changed", "extra_tag", "invalid_xml", "text_in_marker"]
+    xml, shown = requests.encode_xml(Segment(0, 0, "", m, ["$a<b$", r"\textbf{"]))
+    assert shown == {"P0000": "$a<b$", "P0001": "P0001"} and requests.decode_xml(xml, shown) == (m, None)
+    bad = ('<p><ph id="P0000">x</ph><ph id="P0001">P0001</ph></p>', "<p><b/></p>", "<p>", "<s/>", "<p><?x?></p>", '<p><ph id="P0000">$a&lt;b$</ph></p>', xml.replace("<p>", "<p>" + '<ph id="P0001">P0001</ph>'))
+    assert [requests.decode_xml(x, shown)[1] for x in bad] == ["markers_changed", "markers_changed", "invalid_xml", "invalid_xml", "invalid_xml", "markers_changed", "markers_changed"]
+    assert requests.encode_xml(Segment(0, 0, "", "a\x01", []))[0] is None
+    asked = json.loads(requests.payload(Segment(0, 0, "", m, ["$a<b$", r"\textbf{"]), feedback="again"))
+    assert asked == {"paragraph": m, "value_tokens": {"⟪P0000⟫": "$a<b$"}, "fixed_format_order": ["⟪P0001⟫"], "fixed_text_context": {"⟪P0001⟫": r"\textbf{"}, "previous_validation_error": "again"}
+    assert json.loads(requests.xml_body(["<p>x</p>"], "en", glossary="g")[0])["glossary_id"] == "g" and requests.xml_body(["x" * 140_000], "en") == (None, "too_large")
     page = '<meta name="citation_title" content="A  title"><meta name="citation_arxiv_id" content="2401.00001"><div class="submission-history"><b>[v1]</b> <div>[v3]</div></div>[v9]'
     assert response.page_title(page, "2401.00001v2") == "A title" and response.page_title(page, "2401.00002") is None
     assert response.history_versions(page) == [1, 3]

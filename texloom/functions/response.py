@@ -1,13 +1,10 @@
-"""Answers of services and pages: reasoning envelopes, XML transport, page heads. Plain functions of a text."""
+"""Answers of services and pages: reasoning envelopes, slots, page heads. Plain functions of a text."""
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
-from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
-MARKER = re.compile(r"⟪P(\d{4,})⟫")
 _TAG = re.compile(r"<(/?)(think|thinking|reasoning|analysis)\b[^>]*>", re.I)
 
 
@@ -30,37 +27,6 @@ def strip_reasoning(text: str, depth: int = 8) -> tuple[str | None, str | None]:
     return "".join([*out, text[done:]]).strip(), None
 
 
-def encode_xml(masked: str) -> str:
-    """VL4: a masked text with its markers as elements."""
-    out, done = [], 0
-    for m in MARKER.finditer(masked):
-        out += [escape(masked[done : m.start()]), f'<p id="{int(m[1])}"/>']
-        done = m.end()
-    return "<s>" + "".join([*out, escape(masked[done:])]) + "</s>"
-
-
-def decode_xml(xml: str, count: int) -> tuple[str | None, str | None]:
-    """VL4: (masked text, None); each of count ids once, elements empty, nothing else; or (None, error)."""
-    if re.search(r"<!|<\?", xml):
-        return None, "invalid_xml"
-    try:
-        root = ElementTree.fromstring(xml)
-    except ElementTree.ParseError:
-        return None, "invalid_xml"
-    if root.tag != "s" or root.attrib:
-        return None, "extra_tag"
-    out, seen = [root.text or ""], []
-    for e in root:
-        number = e.attrib.get("id", "")
-        if e.tag != "p" or len(e) or set(e.attrib) != {"id"} or not number.isdecimal():
-            return None, "extra_tag"
-        if e.text:
-            return None, "text_in_marker"
-        seen.append(int(number))
-        out += [f"⟪P{int(number):04d}⟫", e.tail or ""]
-    return ("".join(out), None) if sorted(seen) == list(range(count)) else (None, "markers_changed")
-
-
 def slot_error(value, source: str) -> str | None:
     """VL5: why the answer for a slot is refused."""
     if value is None:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from texloom.functions import ids, records, text
 from texloom.operators import align, graph, library, segments
-from texloom.queries import query, read
+from texloom.queries import query, read, texts
+from texloom.sources import archives
+from texloom.tex import frames
 
 
 def form(values: list[str], key: str) -> Column:
@@ -329,3 +331,55 @@ def landmark_places(spark, sf_dir):
     e = F.col("event_id")
     pairs = read(spark, sf_dir, "events").select(F.col("user_id").alias("pair_id"), (e % 40).alias("original"), (e % 3).alias("weight"), F.format_string("%09d", e).alias("name"))
     return align.landmark_order(pairs).select("pair_id", "name", "place")
+
+
+XML_SQL = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _masked(spark, sf_dir):
+    masked = F.concat(F.lit("⟪P0000⟫ "), "text", F.lit("⟪P0001⟫"))
+    return texts(spark, sf_dir).select("doc_id", masked.alias("masked"), F.array(F.lit("$x<1$"), F.lit("\\textbf{")).alias("protected"))
+
+
+@query(f"""SELECT doc_id, md5('<p><ph id="P0000">$x&lt;1$</ph> ' || {XML_SQL} || '<ph id="P0001">P0001</ph></p>') AS xml, md5('⟪P0000⟫ ' || text || '⟪P0001⟫') AS back, CAST(NULL AS VARCHAR) AS error FROM documents""")
+def xml_transport(spark, sf_dir):
+    """VL4: every text between a movable and a fixed marker, as XML and back."""
+    d = _masked(spark, sf_dir).select("doc_id", frames.transported("masked", "protected").alias("t"))
+    return d.select("doc_id", F.md5("t.xml").alias("xml"), F.md5("t.back").alias("back"), "t.error")
+
+
+@query("""SELECT doc_id, '⟪P0000⟫ ' || text || '⟪P0001⟫' AS paragraph, '$x<1$' AS value, ['⟪P0001⟫'] AS fixed FROM documents""")
+def request_payloads(spark, sf_dir):
+    """EX2: the payload's fields, read back from its JSON."""
+    d = _masked(spark, sf_dir).select("doc_id", F.from_json(frames.payloads("masked", "protected", F.lit("")), "paragraph string, value_tokens map<string,string>, fixed_format_order array<string>").alias("j"))
+    return d.select("doc_id", "j.paragraph", F.try_element_at("j.value_tokens", F.lit("⟪P0000⟫")).alias("value"), F.col("j.fixed_format_order").alias("fixed"))
+
+
+SOURCE = "The results are shown in this table and we use them"
+
+
+@query("""WITH v AS (SELECT doc_id, doc_id % 3 = 0 AS x, CASE doc_id % 4 WHEN 0 THEN '<think>a</think> ' || text WHEN 1 THEN text WHEN 2 THEN '<think>' || text ELSE '译文' || text END AS raw, text FROM documents),
+s AS (SELECT *, CASE WHEN x THEN raw WHEN doc_id % 4 = 2 THEN NULL ELSE trim(CASE WHEN doc_id % 4 = 0 THEN text ELSE raw END, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS s FROM v),
+n AS (SELECT *, len(regexp_extract_all(s, '[A-Za-z]{2,}')) AS w, len(regexp_extract_all(s, '[\\x{3400}-\\x{9fff}]')) AS c FROM s),
+e AS (SELECT *, CASE WHEN s IS NULL THEN 'ambiguous' WHEN c = 0 THEN 'not_translated' WHEN w > 8.8 AND c < 1.65 THEN 'mostly_source' END AS error FROM n)
+SELECT doc_id, error, CASE WHEN error IS NULL THEN md5(s) END AS digest FROM e""")
+def cached_values(spark, sf_dir):
+    """VL3, STR14: answers with reasoning, without, with a tag left open, and in the language asked for; a third are an XML service's."""
+    k = F.col("doc_id") % 4
+    value = F.when(k == 0, F.concat(F.lit("<think>a</think> "), "text")).when(k == 1, F.col("text")).when(k == 2, F.concat(F.lit("<think>"), "text")).otherwise(F.concat(F.lit("译文"), "text"))
+    read_back = frames.cached_value(F.col("value"), F.lit(SOURCE), F.lit("zh-hans"), F.when(F.col("doc_id") % 3 == 0, "deepl").otherwise("custom"))
+    return texts(spark, sf_dir).select("doc_id", value.alias("value")).select("doc_id", read_back.alias("r")).select("doc_id", "r.error", F.md5("r.value").alias("digest"))
+
+
+FILES = ["main.tex", "sub/ms.tex", "a.tex", "sub/b.tex", "main.txt", "c.tex"]
+BODIES = ["\\documentclass{a}\n\\begin{document}\nsome text", "\\documentclass{a}\n\\begin{document}\n一二三 text", "% \\documentclass{a}\n\\begin{document}x", "\\documentclass{a} text", "\\documentclass{a}\n\\begin{document}\n一二三四五 text"]
+
+
+@query(f"""WITH f AS (SELECT o_custkey AS project, o_orderkey AS k, o_orderkey % 6 AS p, (o_orderkey // 6) % 5 AS b, o_orderkey || '/' || {form_sql(FILES, "o_orderkey")} AS path FROM orders),
+r AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY b = 4, p >= 2, CASE WHEN p IN (1, 3) THEN 3 ELSE 2 END, -(k % 100), path) AS r FROM f WHERE p <> 4 AND b IN (0, 1, 4))
+SELECT project, path AS main FROM r WHERE r = 1""")
+def main_files(spark, sf_dir):
+    """RK3: orders are the files of their customer's project."""
+    o = read(spark, sf_dir, "orders").withColumn("_b", F.floor(F.col("o_orderkey") / 6))
+    path = F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), form(FILES, "o_orderkey"))
+    return archives.main_files(o.select(F.col("o_custkey").alias("project"), path.alias("path"), form(BODIES, "_b").alias("text"), (F.col("o_orderkey") % 100).alias("size")))

@@ -147,14 +147,16 @@ def control_inputs(text: str) -> list[str] | None:
     return [(e.text or "").strip() for e in root.iter() if e.tag.rpartition("}")[2] == "datasource" and (e.text or "").strip()]
 
 
-def main_rank(path: Column, text: Column, size: Column) -> Column:
-    """RK3: the order in which files are taken as a project's main one, the smallest first."""
-    usual = F.lower(F.element_at(F.split(path, "/"), -1)).isin("main.tex", "paper.tex", "ms.tex", "article.tex", "manuscript.tex")
-    has_class = text.rlike(r"(?m)^[^%\n]*\\document(?:class|style)")
-    return F.struct((~has_class).alias("c"), (~usual).alias("n"), F.size(F.split(path, "/")).alias("d"), (-size).alias("s"), path.alias("p"))
+def main_rank(path: Column, body: Column, size: Column) -> Column:
+    """RK3: the order in which files are taken as a project's main one, the smallest first: Latin script, a usual name, depth, size."""
+    letters, latin = F.regexp_count(body, F.lit(r"\p{L}")), F.regexp_count(body, F.lit("[A-Za-z]"))
+    usual = F.element_at(F.split(path, "/"), -1).isin("main.tex", "paper.tex", "ms.tex")
+    return F.struct(((letters > 0) & (latin < letters / 2)).alias("c"), (~usual).alias("n"), F.size(F.split(path, "/")).alias("d"), (-size).alias("s"), path.alias("p"))
 
 
 def main_files(files: DataFrame) -> DataFrame:
-    """RK3: (project, main) from (project, path, text, size)."""
-    tex = files.where(F.lower("path").endswith(".tex"))
-    return tex.groupBy("project").agg(F.min_by("path", main_rank(F.col("path"), F.col("text"), F.col("size"))).alias("main"))
+    """RK3: (project, main) from (project, path, text, size), of files with a class of their own and a document; null texts are none."""
+    body = F.regexp_extract("text", r"(?ms)^[^%\n]*?\\begin\s*\{document\}(.*)", 1)
+    whole = F.col("text").rlike(r"(?m)^[^%\n]*\\document(?:class|style)\b") & F.col("text").rlike(r"(?m)^[^%\n]*\\begin\s*\{document\}")
+    tex = files.where(F.col("path").endswith(".tex") & whole)
+    return tex.groupBy("project").agg(F.min_by("path", main_rank(F.col("path"), body, F.col("size"))).alias("main"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from texloom.tex import collect, restore, rewrite, scan
+from texloom.functions import response, text as text_rules
+from texloom.tex import collect, requests, restore, rewrite, scan
 from texloom.tex.segment import Context, Segment, accented_text, segments
 
 SEGMENT = "ord int, start int, end int, source string, masked string, protected array<string>, role string"
@@ -105,6 +106,36 @@ def restored(masked: pd.Series, protected: pd.Series, output: pd.Series) -> pd.D
     return pd.DataFrame(rows, columns=["value", "error"])
 
 
+@_vectorized("struct<value: string, error: string>")
+def stripped(values: pd.Series) -> pd.DataFrame:
+    """STR14: (value, error) of answers without their reasoning."""
+    return pd.DataFrame([(None, None) if v is None else response.strip_reasoning(v) for v in values], columns=["value", "error"])
+
+
+def cached_value(value: Column, source: Column, language: Column, service: Column) -> Column:
+    """VL3: (value, error) of a cached translation: without reasoning, but for an XML service, and in the language asked for; null for null."""
+    plain = F.struct(value.alias("value"), F.lit(None).cast("string").alias("error"))
+    read = F.when(service == "deepl", plain).otherwise(stripped(value))
+    error = F.coalesce(read["error"], text_rules.language_error(source, read["value"], language))
+    return F.struct(F.when(error.isNull(), read["value"]).alias("value"), error.alias("error"))
+
+
+@_vectorized("struct<xml: string, back: string, error: string>")
+def transported(masked: pd.Series, protected: pd.Series) -> pd.DataFrame:
+    """VL4: (xml, back, error): segments as XML, and read back from it."""
+    rows = []
+    for m, p in zip(masked, protected):
+        xml, shown = requests.encode_xml(Segment(0, 0, "", m, list(p)))
+        rows.append((xml, *(requests.decode_xml(xml, shown) if xml else (None, "invalid_xml"))))
+    return pd.DataFrame(rows, columns=["xml", "back", "error"])
+
+
+@_vectorized("string")
+def payloads(masked: pd.Series, protected: pd.Series, surrounding: pd.Series) -> pd.Series:
+    """EX2: the request of each segment."""
+    return pd.Series([requests.payload(Segment(0, 0, "", m, list(p)), surrounding=s or "") for m, p, s in zip(masked, protected, surrounding)], dtype=object)
+
+
 @_vectorized("array<string>")
 def repair_chunks(masked: pd.Series, protected: pd.Series) -> pd.Series:
     return pd.Series([restore.repair_chunks(Segment(0, 0, "", m, list(p))) for m, p in zip(masked, protected)])
