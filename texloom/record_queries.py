@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from texloom.functions import ids, records, text
@@ -383,3 +383,54 @@ def main_files(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumn("_b", F.floor(F.col("o_orderkey") / 6))
     path = F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), form(FILES, "o_orderkey"))
     return archives.main_files(o.select(F.col("o_custkey").alias("project"), path.alias("path"), form(BODIES, "_b").alias("text"), (F.col("o_orderkey") % 100).alias("size")))
+
+
+@query("""WITH p AS (SELECT user_id AS pair_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place, user_id % 4 AS m FROM events),
+s AS (SELECT *, lag(event_id) OVER w AS o, lag(CASE WHEN m = 0 THEN place % 5 ELSE place END) OVER w AS b, CASE WHEN m = 0 THEN place % 5 ELSE place END AS t FROM p WINDOW w AS (PARTITION BY pair_id ORDER BY place))
+SELECT pair_id, bool_and(o IS NULL OR (event_id > o AND t > b)) AS ordered FROM s GROUP BY 1""")
+def rising_landmarks(spark, sf_dir):
+    """RK11: some pairs' translated places fall back."""
+    e = read(spark, sf_dir, "events")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    pairs = e.select(F.col("user_id").alias("pair_id"), F.col("event_id").alias("original"), place.alias("place"))
+    return align.rising(pairs.withColumn("translated", F.when(F.col("pair_id") % 4 == 0, F.col("place") % 5).otherwise(F.col("place"))))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS k, o_orderkey % 3 = 0 AS bad, CASE o_orderkey % 5 WHEN 0 THEN '⟪P0000⟫ 译文' WHEN 1 THEN '译文译' WHEN 2 THEN NULL ELSE o_orderpriority END AS output FROM orders)
+SELECT count(*) AS segments, count(*) FILTER (NOT bad AND output IS NOT NULL) AS validated, count(*) FILTER (bad) AS refused, count(*) FILTER (contains(output, '⟪')) AS leaks, CAST(sum(CASE k % 5 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN NULL ELSE 0 END) AS BIGINT) AS letters FROM s""")
+def translation_audit(spark, sf_dir):
+    """AG12."""
+    k = F.col("o_orderkey")
+    output = F.when(k % 5 == 0, "⟪P0000⟫ 译文").when(k % 5 == 1, "译文译").when(k % 5 != 2, F.col("o_orderpriority"))
+    found = records.audit(read(spark, sf_dir, "orders").select(output.alias("output"), F.when(k % 3 == 0, "refused").alias("error")))
+    return found.toDF("segments", "validated", "refused", "leaks", "letters")
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 25 END IS NOT DISTINCT FROM CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END""")
+def same_artifacts(spark, sf_dir):
+    """FP10: notes of orders and of their customers; two absent languages are equal."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    fixed = [F.lit("texts").alias("artifact"), F.lit(None).cast("string").alias("arxiv_id")]
+    a = read(spark, sf_dir, "orders").select(k, F.col("o_custkey").alias("task_id"), F.when(k % 7 != 0, k % 25).alias("language"), *fixed)
+    b = read(spark, sf_dir, "customer").select(c.alias("task_id"), F.when(c % 3 != 0, F.col("c_nationkey")).alias("language"), *fixed)
+    return a.join(b, records.same_artifact(a, b)).select("o_orderkey", a["task_id"].alias("o_custkey"))
+
+
+@query("""WITH c AS (SELECT event_id AS name, user_id % 9 AS pair, event_id % 50 AS p, event_id % 100 / 100 AS f FROM events), g AS (SELECT c_custkey % 9 AS pair, c_custkey % 50 AS p, c_custkey % 11 AS s, c_custkey % 7 / 10 AS a, c_custkey % 7 / 10 + 0.2 AS b FROM customer),
+r AS (SELECT c.name, min(l.s) AS signature, count(*) AS n FROM c JOIN g l ON l.pair = c.pair AND l.p = c.p AND c.f >= l.a - 0.065::DOUBLE AND c.f <= l.b + 0.065::DOUBLE JOIN g r ON r.pair = c.pair AND r.p = c.p AND r.s = l.s AND c.f >= r.a - 0.065::DOUBLE AND c.f <= r.b + 0.065::DOUBLE GROUP BY 1)
+SELECT name, signature FROM r WHERE n = 1""")
+def figure_regions(spark, sf_dir):
+    """JN2: captions whose figure is the only one of its signature on both sides."""
+    e, k = F.col("event_id"), F.col("c_custkey")
+    captions = read(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("pair_id"), e.alias("name"), (e % 50).alias("original_page"), (e % 50).alias("translated_page"), (e % 100 / 100).alias("original_fraction"), (e % 100 / 100).alias("translated_fraction"))
+    side = lambda s: read(spark, sf_dir, "customer").select((k % 9).alias("pair_id"), F.lit(s).alias("side"), (k % 50).alias("page"), (k % 11).alias("signature"), (k % 7 / 10).alias("start"), (k % 7 / 10 + 0.2).alias("end"))
+    return align.match_regions(captions, side("original").unionByName(side("translated"))).select("name", "signature")
+
+
+@query("""WITH x AS (SELECT doc_id, translate(text, '%$&<>{}' || chr(92), '') AS text FROM documents)
+SELECT doc_id, md5(chr(92) || 'begin{figure}[tb]' || chr(10) || text || chr(10) || chr(92) || 'vspace{0pt} 3bp' || chr(10) || chr(92) || 'end{figure}') AS digest, 1 AS n FROM x""")
+def rewritten_floats(spark, sf_dir):
+    """RW1, RW2, RW5: a float around each text, without its signs of TeX, loses an unknown position, a negative space and pixels."""
+    tex = F.concat(F.lit("\\begin{figure}[tXb]\n"), F.translate("text", "%$&<>{}\\", ""), F.lit("\n\\vspace{-3mm} 3px\n\\end{figure}"))
+    edited = frames.negative_spacers(frames.pixel_units(frames.float_positions(tex)))
+    return texts(spark, sf_dir).select("doc_id", edited.alias("r")).select("doc_id", F.md5("r.text").alias("digest"), F.col("r.count").alias("n"))
