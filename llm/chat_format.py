@@ -15,7 +15,7 @@ A turn reads ``<|im_start|>`` role ``<|im_sep|>`` content ``<|im_end|>`` and a l
 more, so none opens there; taking one away gives the text back, whatever it was.
 
 ``turns`` works row by row.  ``conversations`` gathers the rows of a conversation in order
-of turn (null first; ties by role, then text), the one exchange there is, and gives the
+of turn (null first; ties by role, then content), the one exchange there is, and gives the
 formatted text with the spans of characters under the loss mask: the content of each
 assistant turn.  ``read`` takes roles, contents, loss text and attachments from such rows again.
 
@@ -92,9 +92,11 @@ def conversations(formatted: DataFrame, loss_role: str = "assistant") -> DataFra
     formatted, head from that of the turn.  attachments is the list of (turn_no, kind, ref, at,
     tokens) in the order of the placeholders, with at counted from the start of formatted.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "segment")
+    # dealt out first, so that the contents by which ties are ordered do not travel
+    dealt = formatted.repartition("conv_id").withColumn("_said", unescaped(F.expr(f"substring(segment, cast(head + 1 as int), cast(chars - head - {len(END) + 1} as int))")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "_said")
     before = F.coalesce(F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = formatted.withColumn("_no", (F.row_number().over(order) - 1).cast("long")).withColumn("_start", before)
+    placed = dealt.withColumn("_no", (F.row_number().over(order) - 1).cast("long")).withColumn("_start", before)
     masked = F.when(F.col("role") == loss_role, F.struct((F.col("_start") + F.col("head")).alias("start"), (F.col("chars") - F.col("head") - len(END) - 1).alias("chars"), F.col("_no").alias("turn_no"), "head"))
     held = F.transform("attachments", lambda x: F.struct(F.col("_no").alias("turn_no"), x["kind"].alias("kind"), x["ref"].alias("ref"), (F.col("_start") + x["at"]).alias("at"), x["tokens"].alias("tokens")))
     row = F.struct("_no", "segment", masked.alias("loss"), held.alias("attachments"))
