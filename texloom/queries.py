@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import ids, records, response, text
 from texloom.operators import align, graph, library, segments
-from texloom.tex import frames
+from texloom.tex import frames, tokens
 
 STATUS = "case o_orderstatus when 'F' then 'completed' when 'O' then 'partial' else case when o_orderkey % 3 = 0 then 'translating' else 'failed' end end"
 
@@ -359,7 +359,7 @@ def writeback_roundtrip(spark, sf_dir):
 @query()
 def visible_text(spark, sf_dir):
     """STR9, STR10: characters of a text outside comments and code."""
-    d = texts(spark, sf_dir).select("doc_id", frames.visible(F.col("text")).alias("t"), frames.without_comments(F.col("text")).alias("u"))
+    d = texts(spark, sf_dir).select("doc_id", tokens.visible(F.col("text"), tokens.declared_environments(F.col("text"))).alias("t"), tokens.without_comments(F.col("text")).alias("u"))
     bare = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
     return d.select("doc_id", F.length("t").alias("chars"), bare(F.col("t")).alias("visible"), bare(F.col("u")).alias("uncommented"))
 
@@ -492,6 +492,38 @@ def tex_roundtrip(spark, sf_dir):
 SELECT documents.doc_id, sha256(coalesce(x, '') || repeat(' ', 16) || chr(10) || repeat(' ', 5) || chr(10) || repeat(' ', 14) || chr(10)) AS digest, coalesce(n, 0) AS formulas, CAST(coalesce(c, 0) AS BIGINT) AS chars FROM documents LEFT JOIN x ON x.doc_id = documents.doc_id""")
 def tex_visible(spark, sf_dir):
     """STR9, STR10, STR11, TX4: TeX with comments and code as blanks, and the formulas outside them."""
-    d = _tex(texts(spark, sf_dir)).select("doc_id", F.sha2(frames.visible(F.col("tex")).cast("binary"), 256).alias("digest"), frames.math_ranges(F.col("tex")).alias("m"))
-    chars = F.aggregate("m", F.lit(0).cast("long"), lambda a, r: a + (F.get(r, 1) - F.get(r, 0)).cast("long"))
-    return d.select("doc_id", "digest", F.size("m").cast("long").alias("formulas"), chars.alias("chars"))
+    d = _tex(texts(spark, sf_dir)).withColumn("seen", tokens.visible(F.col("tex"), tokens.declared_environments(F.col("tex")))).withColumn("m", tokens.math_ranges(F.col("seen")))
+    chars = F.aggregate("m", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
+    return d.select("doc_id", F.sha2(F.col("seen").cast("binary"), 256).alias("digest"), F.size("m").cast("long").alias("formulas"), chars.alias("chars"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{{2,}}') AS w FROM documents),
+i AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM w),
+o AS (SELECT doc_id, n, i, sum(length(w) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 2 AS start, sum(length(w) + 2) OVER (PARTITION BY doc_id) + n - i AS stop FROM i)
+SELECT doc_id, count(*) AS groups, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(stop) AS BIGINT) AS ends, CAST(max(i) AS INTEGER) AS depth, CAST(coalesce(sum(lag_start), 0) AS BIGINT) AS parents FROM
+  (SELECT *, lag(start) OVER (PARTITION BY doc_id ORDER BY i) AS lag_start FROM o) GROUP BY doc_id""")
+def tex_groups(spark, sf_dir):
+    """TX2: the groups of texts whose every word opens a group inside that of the word before."""
+    w = F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))
+    d = texts(spark, sf_dir).select("doc_id", w.alias("w")).where(F.size("w") > 0)
+    nested = F.concat(F.array_join(F.transform("w", lambda x: F.concat(F.lit("{"), x, F.lit(" "))), ""), F.repeat(F.lit("}"), F.size("w")))
+    found = tokens.groups(tokens.table(d.select("doc_id", nested.alias("text")), "doc_id"), "doc_id")
+    return found.groupBy("doc_id").agg(F.count("*").alias("groups"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.max("depth").alias("depth"), F.coalesce(F.sum("parent"), F.lit(0).cast("long")).alias("parents"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{2,}') AS w FROM documents),
+d AS (SELECT doc_id, doc_id % 2 = 0 AS listed, array_to_string(w, ' ') AS words FROM w),
+p AS (SELECT doc_id, listed, words, '\RecustomVerbatimEnvironment{e' || doc_id || '}{Verbatim}{}' AS said, '\begin{e' || doc_id || '}' || words || ' $n$ % a $m$' || chr(10) || '\end{e' || doc_id || '}' AS body FROM d)
+SELECT doc_id, sha256(CASE WHEN listed THEN said || chr(10) || repeat(' ', length('\begin{e' || doc_id || '}' || words || ' $n$ % a $m$')) || chr(10) || repeat(' ', length('\end{e' || doc_id || '}'))
+  ELSE repeat(' ', 16) || chr(10) || repeat(' ', length(said)) || chr(10) || repeat(' ', 14) || chr(10) || '\begin{e' || doc_id || '}' || words || ' $n$ ' || repeat(' ', 7) || chr(10) || '\end{e' || doc_id || '}' END) AS digest,
+  CASE WHEN listed THEN 0 ELSE 1 END AS formulas FROM p""")
+def tex_declared(spark, sf_dir):
+    """STR11: literal environments that texts declare, and those whose declaration is only printed in a listing."""
+    words = F.array_join(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1)), " ")
+    name = F.concat(F.lit("e"), F.col("doc_id").cast("string"))
+    said = F.concat(F.lit("\\RecustomVerbatimEnvironment{"), name, F.lit("}{Verbatim}{}"))
+    body = F.concat(F.lit("\\begin{"), name, F.lit("}"), words, F.lit(" $n$ % a $m$\n\\end{"), name, F.lit("}"))
+    printed = F.concat(F.lit("\\begin{verbatim}\n"), said, F.lit("\n\\end{verbatim}\n"), body)
+    d = texts(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat(said, F.lit("\n"), body)).otherwise(printed).alias("tex"))
+    seen = d.select("doc_id", tokens.visible(F.col("tex"), tokens.declared_environments(F.col("tex"))).alias("seen"))
+    return seen.select("doc_id", F.sha2(F.col("seen").cast("binary"), 256).alias("digest"), F.size(tokens.math_ranges(F.col("seen"))).alias("formulas"))

@@ -28,6 +28,22 @@ def zero_argument(text: str) -> dict[str, str]:
     return {m[1] or m[2] or m[3]: body for m, body in _bodies(scan.visible(text), _ZERO)}
 
 
+_REGISTERS = frozenset("newdimen newlength newskip newmuskip newcount".split())
+
+
+def declarations(text: str) -> str:
+    """The whole definitions and register declarations of a text, over as many lines as they take, one after the other."""
+    seen, out, past = scan.visible(text), [], 0
+    for token in scan.COMMAND.finditer(seen):
+        name = scan.command_name(token[0])
+        if token.start() >= past and (name in scan.DEFINITIONS or name in _REGISTERS):
+            past = scan.definition(seen, token.end(), name) if name in scan.DEFINITIONS else scan.arguments(seen, token.end(), 1)
+            if name in _REGISTERS and past == token.end() and (register := scan.COMMAND.match(seen, scan.blank(seen, past))):
+                past = register.end()
+            out.append(seen[token.start() : past])
+    return "\n".join(out)
+
+
 def literal_macros(text: str) -> dict[str, str]:
     """TX8: macros that stand for plain text."""
     return {n: b for n, b in zero_argument(text).items() if b and not re.search(r"[\\{}$#%&~^_]", b)}

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from texloom.functions import response, text as text_rules
-from texloom.tex import collect, requests, restore, rewrite, scan
+from texloom.tex import collect, requests, restore, rewrite
 from texloom.tex.segment import Context, Segment, accented_text, segments
 
 SEGMENT = "ord int, start int, end int, source string, masked string, protected array<string>, role string"
@@ -72,11 +72,8 @@ def _wrapped(function: Callable, kind: str) -> Callable[..., Column]:
     return _vectorized(kind)(run)
 
 
-without_comments = _wrapped(scan.without_comments, "string")
-visible = _wrapped(scan.visible, "string")
-literal_environments = _wrapped(lambda t: sorted(scan.literal_environments(t)), "array<string>")
 accented = _wrapped(accented_text, "string")
-math_ranges = _wrapped(lambda t: [list(r) for r in scan.math_ranges(t)], "array<array<int>>")
+declarations = _wrapped(collect.declarations, "string")
 literal_macros = _wrapped(collect.literal_macros, "map<string,string>")
 title = _wrapped(collect.title, "string")
 abstract = _wrapped(collect.abstract, "string")
@@ -100,12 +97,17 @@ def negative_spacers(values: pd.Series) -> pd.DataFrame:
 
 
 @_vectorized("struct<value: string, error: string>")
-def restored(masked: pd.Series, protected: pd.Series, output: pd.Series) -> pd.DataFrame:
-    """SG3: (value, error) for each masked text, its protected spans and a translation."""
-    rows = [restore.restore(Segment(0, 0, "", m, list(p)), o) if m is not None and p is not None else (None, "missing") for m, p, o in zip(masked, protected, output)]
+def _restored(masked: pd.Series, protected: pd.Series, output: pd.Series, macros: pd.Series) -> pd.DataFrame:
+    known = [dict(m.items() if hasattr(m, "items") else m or []) for m in macros]
+    rows = [restore.restore(Segment(0, 0, "", m, list(p), literal_macros=k), o) if m is not None and p is not None else (None, "missing") for m, p, o, k in zip(masked, protected, output, known)]
     return pd.DataFrame(rows, columns=["value", "error"])
 
 
+def restored(masked, protected, output, macros: Column | None = None) -> Column:
+    """SG3: (value, error) for each masked text, its protected spans and a translation; macros are those that stand for plain text (TX8)."""
+    return _restored(masked, protected, output, F.lit(None).cast("map<string,string>") if macros is None else macros)
+
+
 @_vectorized("struct<value: string, error: string>")
 def stripped(values: pd.Series) -> pd.DataFrame:
     """STR14: (value, error) of answers without their reasoning."""
@@ -155,10 +157,9 @@ def includes(files: DataFrame, project: str, path: str, text: str = "text") -> D
 def contexts(files: DataFrame) -> DataFrame:
     """TX6, TX7, TX11, TX12: (project, context) from files (project, path, text).
 
-    A project is at most 4,000 files and 300 MB by the rules of its source; only declarations travel.
+    A project is at most 4,000 files and 300 MB by the rules of its source; only declarations travel, whole ones.
     """
-    lines = F.concat_ws("\n", F.filter(F.split(visible(F.col("text")), "\n"), lambda x: x.rlike(r"\\(?:[a-z]*def|(?:new|renew|provide)command|Declare|New|Renew|Provide|newdimen|newlength|newskip|newmuskip|newcount)")))
-    joined = files.select("project", "path", lines.alias("d")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("path", "d"))).alias("d"))
+    joined = files.select("project", "path", declarations(F.col("text")).alias("d")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct("path", "d"))).alias("d"))
 
     @F.pandas_udf(CONTEXT)
     def read(values: pd.Series) -> pd.DataFrame:
