@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texloom.plans import intervals, ordered
+
 GAP = 1e-7
+BIN = 1 / 64  # of a page's height
+CHARACTERS = 4096
 
 # Weight of a landmark by the beginning of its name, first match first.
 WEIGHTS = (
@@ -110,15 +115,14 @@ def chains(pairs: DataFrame) -> DataFrame:
 
 
 def page_starts(heights: DataFrame) -> DataFrame:
-    """RK10: where each page starts on its document's common axis."""
-    before = F.sum("ratio").over(Window.partitionBy("pair_id", "side").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    return heights.withColumn("start", F.coalesce(before, F.lit(0.0)))
+    """RK10: where each page starts on its document's common axis; a document's pages may reach over many parts."""
+    rows = ordered.dealt(heights, ["pair_id", "side"], ["page"])
+    return ordered.running(rows.withColumn("_ratio", F.col("ratio").cast("double")), ["pair_id", "side"], {"_ratio": "start"}).select(*heights.columns, F.col("start").cast("double").alias("start"))
 
 
 def rising(pairs: DataFrame) -> DataFrame:
-    """RK11: whether the landmarks of a pair rise strictly on both sides."""
-    w = Window.partitionBy("pair_id").orderBy("place")
-    step = pairs.withColumn("_o", F.lag("original").over(w)).withColumn("_t", F.lag("translated").over(w))
+    """RK11: whether the landmarks of a pair rise strictly on both sides; a pair's landmarks may reach over many parts."""
+    step = ordered.neighbour(ordered.dealt(pairs, ["pair_id"], ["place"]), ["pair_id"], {"original": "_o", "translated": "_t"})
     good = F.coalesce((F.col("original") > F.col("_o")) & (F.col("translated") > F.col("_t")), F.lit(True))
     return step.groupBy("pair_id").agg(F.bool_and(good).alias("ordered"))
 
@@ -155,8 +159,8 @@ def map_positions(queries: DataFrame, landmarks: DataFrame, heights: DataFrame)
     (0, 0) and (end, end) are landmarks too, those on or outside a boundary are none; between
     two, places are interpolated.  A pair of documents without a landmark, or whose landmarks
     don't rise strictly on both sides, keeps page and fraction, clamped to the pages there are.
-    Landmarks and questions are stacked and ordered, and last and first values carry the
-    brackets; there is no product of the two sides.
+    Landmarks and questions are stacked and sorted over all tasks, and last and first values carry the
+    brackets, in the parts and between them; there is no product of the two sides.
     """
     ends = _document(heights, "original").select("pair_id", F.col("edges").alias("oe"), F.col("ratios").alias("orr"), F.col("end").alias("o_end"))
     ends = ends.join(_document(heights, "translated").select("pair_id", F.col("edges").alias("te"), F.col("ratios").alias("tr"), F.col("end").alias("t_end")), "pair_id")
@@ -166,8 +170,7 @@ def map_positions(queries: DataFrame, landmarks: DataFrame, heights: DataFrame)
     bounds = ends.select("pair_id", F.explode(F.array(F.struct(F.lit(0.0).alias("o"), F.lit(0.0).alias("t")), F.struct(F.col("o_end").alias("o"), F.col("t_end").alias("t")))).alias("b")).select("pair_id", "b.o", "b.t")
     marks = inner.unionByName(bounds)
     # the order is that of the originals; equal ones, and translations that don't rise, break it
-    w = Window.partitionBy("pair_id").orderBy("o", "t")
-    step = marks.withColumn("_o", F.lag("o").over(w)).withColumn("_t", F.lag("t").over(w))
+    step = ordered.neighbour(ordered.dealt(marks, ["pair_id"], ["o", "t"]), ["pair_id"], {"o": "_o", "t": "_t"})
     good = step.groupBy("pair_id").agg(F.bool_and(F.coalesce((F.col("o") > F.col("_o")) & (F.col("t") > F.col("_t")), F.lit(True))).alias("good"))
     known = ends.join(good, "pair_id").join(some, "pair_id", "left").withColumn("good", F.col("good") & F.col("n").isNotNull()).drop("n")
     asked = queries.select("pair_id", "query_id", "page", F.col("fraction").cast("double").alias("fraction")).join(known, "pair_id")
@@ -177,10 +180,7 @@ def map_positions(queries: DataFrame, landmarks: DataFrame, heights: DataFrame)
     places = asked.where("good").select("pair_id", "query_id", value.alias("at"))
     points = marks.select("pair_id", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("o").alias("at"), F.struct("o", "t").alias("mark"), F.lit(0).alias("kind"))
     rows = points.unionByName(places.select("*", F.lit(None).cast("struct<o:double,t:double>").alias("mark"), F.lit(1).alias("kind")))
-    w = Window.partitionBy("pair_id").orderBy("at", "kind", "query_id")
-    low = F.last("mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("mark", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    between = rows.withColumn("_low", low).withColumn("_high", high).where("kind = 1")
+    between = ordered.surrounding(ordered.dealt(rows, ["pair_id"], ["at", "kind", "query_id"]), ["pair_id"], "mark", "_low", "_high").where("kind = 1")
     ratio = _clamp((F.col("at") - F.col("_low.o")) / (F.col("_high.o") - F.col("_low.o")), 0.0, 1.0)
     # the end itself has no mark above it
     mapped = F.when(F.col("_high").isNull(), F.col("_low.t")).otherwise(F.col("_low.t") + ratio * (F.col("_high.t") - F.col("_low.t")))
@@ -189,32 +189,52 @@ def map_positions(queries: DataFrame, landmarks: DataFrame, heights: DataFrame)
 
 
 def in_one_region(positions: DataFrame, regions: DataFrame) -> DataFrame:
-    """JN5: positions that lie in exactly one figure region, mapped within it."""
-    r = regions.where("source_end > source_start and target_end > target_start")
-    hit = positions.join(r, (positions["pair_id"] == r["pair_id"]) & (positions["page"] == r["source_page"]) & positions["fraction"].between(r["source_start"], r["source_end"]))
+    """JN5: positions that lie in exactly one figure region, mapped within it.
+
+    No position meets a region: beginnings, positions and ends are sorted over all tasks, and the number of regions that are
+    open at a position is a running sum, as is, by bitwise differences, the number of the only one.
+    """
+    r = regions.where("source_end > source_start and target_end > target_start").select("pair_id", "source_page", "source_start", "source_end", "target_page", "target_start", "target_end")
+    r = ordered.dealt(r, ["pair_id", "source_page"], ["source_start", "source_end", "target_page", "target_start", "target_end"])
+    r = r.withColumn("_id", F.shiftleft(F.col(ordered.PART).cast("long"), 33).bitwiseOR(F.col(ordered.PLACE)) + 1).drop(ordered.PART, ordered.PLACE)
+    none = F.lit(None).cast(positions.schema["position_id"].dataType)
+    edge = lambda at, kind, step: r.select("pair_id", F.col("source_page").alias("page"), F.col(at).cast("double").alias("_at"), F.lit(kind).alias("_kind"), F.lit(step).alias("_step"), "_id", none.alias("position_id"))
+    asked = positions.select("pair_id", "page", F.col("fraction").cast("double").alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_step"), F.lit(0).cast("long").alias("_id"), "position_id")
+    rows = edge("source_start", 0, 1).union(asked).union(edge("source_end", 2, -1)).where("_at is not null")
+    swept = ordered.running(ordered.dealt(rows, ["pair_id", "page"], ["_at", "_kind", "_id"]), ["pair_id", "page"], {"_step": "_open"}, {"_id": "_which"})
+    one = swept.where("_kind = 1 and _open = 1").select("position_id", F.col("_at").alias("fraction"), F.col("_which").alias("_id")).join(r, "_id")
     ratio = (F.col("fraction") - F.col("source_start")) / (F.col("source_end") - F.col("source_start"))
-    mapped = hit.select("position_id", F.col("target_page").alias("page"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("target_start") + ratio * (F.col("target_end") - F.col("target_start")))).alias("fraction"))
-    return mapped.groupBy("position_id").agg(F.count("*").alias("n"), F.min("page").alias("page"), F.min("fraction").alias("fraction")).where("n = 1").drop("n")
+    return one.select("position_id", F.col("target_page").alias("page"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("target_start") + ratio * (F.col("target_end") - F.col("target_start")))).alias("fraction"))
 
 
 def match_regions(captions: DataFrame, regions: DataFrame, reach: float = 0.065) -> DataFrame:
-    """JN2: of the regions near a caption on both sides, the pair of equal signature, if it is the only one."""
-    left = regions.where("side = 'original'").select("pair_id", F.col("page").alias("original_page"), F.col("signature"), F.col("start").alias("original_start"), F.col("end").alias("original_end"))
-    right = regions.where("side = 'translated'").select("pair_id", F.col("page").alias("translated_page"), F.col("signature"), F.col("start").alias("translated_start"), F.col("end").alias("translated_end"))
-    near = lambda f, s, e: (f >= s - reach) & (f <= e + reach)
-    both = captions.join(left, ["pair_id", "original_page"]).where(near(F.col("original_fraction"), F.col("original_start"), F.col("original_end")))
-    both = both.join(right, ["pair_id", "translated_page", "signature"]).where(near(F.col("translated_fraction"), F.col("translated_start"), F.col("translated_end")))
-    one = both.groupBy("pair_id", "name").agg(F.count("*").alias("n"), F.first("signature").alias("signature"))
-    return one.where("n = 1").drop("n")
+    """JN2: of the regions near a caption on both sides, the pair of equal signature, if it is the only one.
+
+    Captions and regions meet in the bins of their page that both touch, so only near ones do.
+    """
+    side = lambda s, page: regions.where(F.col("side") == s).select("pair_id", F.col("page").alias(page), F.col("signature").alias(f"_{s}"), (F.col("start") - reach).alias(f"_{s}_low"), (F.col("end") + reach).alias(f"_{s}_high"))
+    out = captions.select("pair_id", "name", "original_page", "translated_page", "original_fraction", "translated_fraction")
+    for s in ("original", "translated"):
+        page, fraction = f"{s}_page", f"{s}_fraction"
+        out = out.withColumn("_at", F.col(fraction))
+        out = intervals.overlapping(out, side(s, page), ["pair_id", page], ("_at", fraction), (f"_{s}_low", f"_{s}_high"), BIN).drop("_at", f"_{s}_low", f"_{s}_high")
+        # like regions of one caption are one row from here on
+        out = out.groupBy(*out.columns).agg(F.count("*").alias(f"_n_{s}"))
+    both = out.where("_original = _translated").withColumn("_n", F.col("_n_original") * F.col("_n_translated"))
+    return both.groupBy("pair_id", "name").agg(F.sum("_n").alias("n"), F.first("_original").alias("signature")).where("n = 1").drop("n")
 
 
 def slices_of_matches(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """JN8: the parts of text items that matches cover, items being laid end to end on a page; empty items and matches have none."""
-    before = F.coalesce(F.sum("length").over(Window.partitionBy("page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = items.withColumn("at", before)
-    j = placed.join(matches, "page").where((F.col("start") < F.col("at") + F.col("length")) & (F.col("start") + F.col("size") > F.col("at")))
-    lo, hi = F.greatest(F.col("start"), F.col("at")), F.least(F.col("start") + F.col("size"), F.col("at") + F.col("length"))
-    return j.select("page", "match_id", "ord", (lo - F.col("at")).alias("from"), (hi - F.col("at")).alias("to")).where("`to` > `from`")
+    """JN8: the parts of text items that matches cover, items being laid end to end on a page; empty items and matches have none.
+
+    Items are laid out by a scan over all tasks, and meet matches in the bins of the page's characters.
+    """
+    rows = ordered.dealt(items.select("page", "ord", "length"), ["page"], ["ord"])
+    placed = ordered.running(rows, ["page"], {"length": "at"}).where("length > 0").select("page", "ord", "at", (F.col("at") + F.col("length") - 1).alias("_last"))
+    asked = matches.where("size > 0").select("page", "match_id", "start", (F.col("start") + F.col("size") - 1).alias("_end"))
+    j = intervals.overlapping(placed, asked, ["page"], ("at", "_last"), ("start", "_end"), CHARACTERS)
+    lo, hi = F.greatest(F.col("start"), F.col("at")), F.least(F.col("_end"), F.col("_last")) + 1
+    return j.select("page", "match_id", "ord", (lo - F.col("at")).alias("from"), (hi - F.col("at")).alias("to"))
 
 
 def greedy_batches(rows: Iterator[tuple[int, int]], most: int = 50, size: int = 128 * 1024) -> Iterator[tuple[int, int]]:
@@ -227,24 +247,95 @@ def greedy_batches(rows: Iterator[tuple[int, int]], most: int = 50, size: int =
         yield row, batch
 
 
-def batches(texts: DataFrame, key: str, most: int = 50, size: int = 128 * 1024) -> DataFrame:
-    """RK14 within each key, in order of ord: a fold, as a batch's end depends on its start.
-
-    Rows of sizes are sorted by Spark and folded as they stream by: a key of any size takes three numbers of memory.
+def _groups(frames: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a sorted stream, each whole, whatever batches it comes in."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        codes = np.stack([pd.factorize(frame[c])[0] for c in by])  # nulls are one code
+        new = np.concatenate(([True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)))
+        if held:
+            last = held[-1][by].iloc[-1]
+            new[0] = any(not (a == b or (pd.isna(a) and pd.isna(b))) for a, b in zip(last, frame[by].iloc[0]))
+        starts = [*new.nonzero()[0].tolist(), len(frame)]
+        if starts[0] > 0:
+            held.append(frame.iloc[: starts[0]])
+        for a, b in zip(starts, starts[1:]):
+            if held:
+                yield pd.concat(held)
+            held = [frame.iloc[a:b]]
+    if held:
+        yield pd.concat(held)
+
+
+def _jumps(sizes: np.ndarray, rows: int, most: int, size: int) -> np.ndarray:
+    """Where the batch that starts at each of the first rows ends."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(rows)
+    fit = np.searchsorted(total, total[at] + size, side="right") - 1
+    return np.minimum(np.maximum(fit, at + 1), np.minimum(at + most, len(sizes)))
+
+
+def batches(texts: DataFrame, key: str, most: int = 50, size: int = 128 * 1024, block: int = 4096) -> DataFrame:
+    """RK14 within each key, in order of ord, for keys of any size.
+
+    A batch that starts at a row ends where the prefix sums of sizes say, at most ``most`` rows on.  So a block of
+    rows is entered at one of its first ``most`` rows, and is a function from there to the row at which
+    the next block is entered.  All blocks make their functions at once; a stream over a key's blocks,
+    a few hundred numbers each, follows them, and all blocks are walked from their entry at once.
+    Blocks see the ``most`` rows that follow them.  Null keys are a key; null texts have no bytes.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, batch, count, total = None, 0, 0, 0
+    kind = texts.schema[key].dataType.simpleString()
+    sizes = texts.select(F.col(key).alias("_key"), F.col("ord").cast("long").alias("ord"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.lit(1).cast("long").alias("_one"))
+    block = max(block, most + 1)
+    rank = ordered.running(ordered.dealt(sizes, ["_key"], ["ord"]), ["_key"], {"_one": "_rank"})
+    home = F.floor(F.col("_rank") / block).cast("long")
+    seen = F.when((F.col("_rank") % block < most) & (F.col("_rank") >= block), F.array(home, home - 1)).otherwise(F.array(home))
+    rows = rank.select("_key", "ord", "n_bytes", "_rank", F.explode(seen).alias("_block"))
+    streamed = rows.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_rank")
+
+    def functions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for g in _groups(frames, ["_key", "_block"]):
+            own = min(block, len(g))
+            ends = _jumps(g["n_bytes"].to_numpy(), own, most, size)
+            exits, counts = np.zeros(own, np.int64), np.zeros(own, np.int64)
+            for i in range(own - 1, -1, -1):
+                j = ends[i]
+                exits[i], counts[i] = (j - block, 1) if j >= own else (exits[j], counts[j] + 1)
+            out.append((g["_key"].iloc[0], g["_block"].iloc[0], exits[:most].tolist(), counts[:most].tolist()))
+            if len(out) >= 500:
+                yield pd.DataFrame(out, columns=["_key", "_block", "exits", "counts"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["_key", "_block", "exits", "counts"])
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, entry, before = object(), 0, 0
         for frame in frames:
             out = []
-            for k, n in zip(frame[key].tolist(), frame["n_bytes"].tolist()):
-                if not count or k != now:
-                    now, batch, count, total = k, 0, 0, 0
-                if count and (count >= most or total + n > size):
-                    batch, count, total = batch + 1, 0, 0
-                count, total = count + 1, total + n
-                out.append(batch)
-            yield frame[[key, "ord"]].assign(batch=out)
-
-    sizes = texts.select(key, "ord", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sizes.repartition(key).sortWithinPartitions(key, "ord").mapInPandas(fold, f"{key} string, ord long, batch long")
+            for k, b, exits, counts in zip(frame["_key"].tolist(), frame["_block"].tolist(), frame["exits"], frame["counts"]):
+                if b == 0:
+                    key, entry, before = k, 0, 0
+                out.append((k, b, entry, before))
+                if entry < len(exits):  # the last block may be shorter than its entry
+                    entry, before = int(exits[entry]), before + int(counts[entry])
+            yield pd.DataFrame(out, columns=["_key", "_block", "entry", "before"])
+
+    made = streamed.select("_key", "_block", "n_bytes").mapInPandas(functions, f"_key {kind}, _block long, exits array<bigint>, counts array<bigint>")
+    found = made.repartition("_key").sortWithinPartitions("_key", "_block").mapInPandas(entries, f"_key {kind}, _block long, entry long, before long")
+    own = rank.select("_key", "ord", "n_bytes", "_rank", home.alias("_block")).alias("l").join(found.alias("r"), F.expr("l._key <=> r._key and l._block = r._block")).select("l.*", "r.entry", "r.before")
+
+    def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _groups(frames, ["_key", "_block"]):
+            n, at = len(g), int(g["entry"].iloc[0])
+            ends = _jumps(g["n_bytes"].to_numpy(), n, most, size)
+            opened = np.zeros(n, np.int64)
+            while at < n:
+                opened[at] = 1
+                at = int(ends[at])
+            yield pd.DataFrame({"_key": g["_key"], "ord": g["ord"], "batch": g["before"] + np.cumsum(opened) - 1})
+
+    out = own.repartition("_key", "_block").sortWithinPartitions("_key", "_block", "_rank").mapInPandas(walked, f"_key {kind}, ord long, batch long")
+    return out.withColumnRenamed("_key", key)
