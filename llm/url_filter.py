@@ -8,8 +8,8 @@ keys that level 1 holds wrongly, and so on until a level errs on no key.  A key'
 membership is then exact for every key of the corpus, and no url is joined with anything:
 the workers get the two cascades alone, which say whether a key is a rule and of which kind.
 
-The universe is all pairs of a host's label suffixes with the path prefixes of the
-lengths that rules have, made by SQL functions and written once to the shared folder as
+The universe is all pairs of a host's label suffixes, of the numbers of labels that rules
+have, with the path prefixes of the lengths that rules have, made by SQL functions and written once to the shared folder as
 64-bit hashes.  Level 0 is sized so that it errs on about as many keys as are listed.  A
 level's bits are set on the executors and reach the driver as a filter, never as keys, so
 what the driver holds grows with the rules alone, and there is no bound on errors.
@@ -45,10 +45,13 @@ def parse(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def keys(host: Column, path: Column, lengths: tuple[int, ...]) -> Column:
-    """The keys under which a url may be listed, longest first (array of strings)."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def keys(host: Column, path: Column, lengths: tuple[int, ...], labels: tuple[int, ...]) -> Column:
+    """The keys under which a url may be listed, longest first (array of strings).
+
+    Only suffixes of as many labels as some rule has are made, or the whole of a shorter host, so
+    that a host of any number of labels gives as many keys as a short one.
+    """
+    suffixes = F.array_distinct(F.array(*[F.substring_index(host, ".", -n) for n in labels]))
     tails = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda x: x.isNotNull())
     found = F.array_distinct(F.flatten(F.transform(suffixes, lambda s: F.transform(tails, lambda t: F.concat(s, t)))))
     ordered = F.transform(F.array_sort(F.transform(found, lambda k: F.struct((-F.length(k)).alias("n"), k.alias("k")))), lambda x: x["k"])
@@ -173,7 +176,7 @@ def build(urls: DataFrame, rules=RULES) -> dict[str, Cascade]:
         return {kind: Cascade() for kind in KINDS}
     hashes = spark.createDataFrame([(h + p, v) for h, p, v in rules], "k string, v string").select(F.xxhash64("k"), "v").collect()
     host, path = parse(F.col("url"))
-    found = urls.select(host.alias("host"), path.alias("path")).distinct().select(F.explode(keys(F.col("host"), F.col("path"), _lengths(rules))).alias("k")).select(F.xxhash64("k").alias("key")).distinct()
+    found = urls.select(host.alias("host"), path.alias("path")).distinct().select(F.explode(keys(F.col("host"), F.col("path"), _lengths(rules), _labels(rules))).alias("k")).select(F.xxhash64("k").alias("key")).distinct()
     universe = cut(found, "url-universe")
     size = universe.count()
     out = {kind: _build(universe, size, np.array(sorted({r[0] for r in hashes if r[1] == kind}), np.int64).view(np.uint64)) for kind in KINDS}
@@ -185,6 +188,10 @@ def _lengths(rules) -> tuple[int, ...]:
     return tuple(sorted({len(p) for _, p, _ in rules}))
 
 
+def _labels(rules) -> tuple[int, ...]:
+    return tuple(sorted({h.count(".") + 1 for h, *_ in rules}))
+
+
 def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url)."""
     spark = pages.sparkSession
@@ -193,7 +200,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
     if not rules:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     cascades = spark.sparkContext.broadcast(build(pages.select("url"), rules))
-    rows = rows.withColumn("keys", keys(F.col("host"), F.col("path"), _lengths(rules)))
+    rows = rows.withColumn("keys", keys(F.col("host"), F.col("path"), _lengths(rules), _labels(rules)))
     schema = pa.schema([("page_id", pa.int64()), *((c, pa.string()) for c in ("host", "path", "rule", "verdict"))])
 
     def apply(batches):
