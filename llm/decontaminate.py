@@ -2,8 +2,9 @@
 
 A test item leaks into a document if the document holds at least ``num/den`` of the
 item's distinct ``k``-word shingles (A-Z lower-cased).  Items are partitioned by size:
-those of up to ``u`` shingles, ``u`` a power of two, carry a sketch of their
-``floor(u (1 - num/den)) + 1`` least MinHash values.  A leaked item misses at most that
+those of up to ``u`` shingles, ``u`` a power of two, carry a sketch of
+``floor(u (1 - num/den)) + 1`` of their MinHash values: the least ones of those that the fewest
+items of the block share, so that what a template puts into all items is asked for last.  A leaked item misses at most that
 many less one, so a document without any sketch value of an item can't contain it; all
 other pairs are verified by exact containment.  A signature of the document's side
 would not do: one of 20,000 words and an item of 50 have a Jaccard similarity near
@@ -36,6 +37,7 @@ from llm.common import chunks, cut, packed, ranges
 from llm.textkernel import mix, scan_words, shingles, text_bytes, whole
 
 BLOCK_BYTES = 16 << 20
+SLICE = 1 << 20
 _D = np.uint64(0x2545F4914F6CDD1D)
 _MASK = (1 << 22) - 1
 
@@ -53,13 +55,12 @@ class ItemIndex:
         self.num, self.den = num, den
         self.ids, self.sets, bound = [], [], []
         rows: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for item, h in zip((i for i, _ in items), _words([t for _, t in items])):
-            if len(h) == 0:
-                continue
-            width = min(k, len(h))
-            s = np.unique(shingles(h, width))
+        found = [(item, min(k, len(h)), np.unique(shingles(h, min(k, len(h))))) for item, h in zip((i for i, _ in items), _words([t for _, t in items])) if len(h)]
+        common, often = np.unique(np.concatenate([s for *_, s in found] or [np.zeros(0, np.uint64)]), return_counts=True)
+        for item, width, s in found:
             upper = 1 << (len(s) - 1).bit_length()
-            sketch = np.sort(mix(s ^ _D))[: upper * (den - num) // den + 1]
+            least = mix(s ^ _D)
+            sketch = least[np.lexsort((least, often[np.searchsorted(common, s)]))][: upper * (den - num) // den + 1]
             # of the sketch, a leaked item holds at least this many values
             bound.append(max(1, len(sketch) - len(s) * (den - num) // den))
             rows.setdefault(width, {}).setdefault(upper, []).extend((int(v), len(self.ids)) for v in sketch)
@@ -99,22 +100,33 @@ class ItemIndex:
                     yield r, self.ids[o], shared, len(s)
 
     def _candidates(self, row: np.ndarray, y: np.ndarray, tables: list) -> list[tuple[int, int]]:
-        """(row, item) pairs, sorted, that share enough sketch values; row and y are a batch's probes."""
-        out = []
+        """(row, item) pairs, sorted, that share enough sketch values; row and y are a batch's probes.
+
+        A value counts once a row.  Its owners are walked in slices of about SLICE pairs, so that values which
+        many items own take no more memory than others.
+        """
+        out, n = [], max(1, len(self.ids))
         for values, owners in tables:
             left = np.searchsorted(values, y, side="left")
-            many = np.searchsorted(values, y, side="right") - left
-            r, v, o = np.repeat(row, many), np.repeat(y, many), owners[ranges(left, many)]
-            order = np.lexsort((v, o, r))
-            r, v, o = r[order], v[order], o[order]
-            if not len(r):
-                continue
-            pair = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
-            fresh = pair | np.concatenate(([True], v[1:] != v[:-1]))
-            first = np.flatnonzero(pair)
-            held = np.add.reduceat(fresh.astype(np.int64), first)
-            first = first[held >= self.bound[o[first]]]
-            out += zip(r[first].tolist(), o[first].tolist())
+            known = np.flatnonzero((left < len(values)) & (values[np.minimum(left, len(values) - 1)] == y))
+            # each value of a row once, by its first place in the table
+            probes = np.unique(row[known] * np.int64(len(values)) + left[known])
+            r, at = probes // len(values), probes % len(values)
+            many = np.searchsorted(values, values[at], side="right") - at
+            total = np.concatenate(([0], np.cumsum(many)))
+            rest: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            a = 0
+            while a < len(r):
+                b = max(a + 1, int(np.searchsorted(total, total[a] + SLICE, side="right")) - 1)
+                pairs, seen = np.unique(np.repeat(r[a:b], many[a:b]) * n + owners[ranges(at[a:b], many[a:b])], return_counts=True)
+                pairs, back = np.unique(np.concatenate((rest[0], pairs)), return_inverse=True)
+                held = np.bincount(back, np.concatenate((rest[1], seen)), len(pairs)).astype(np.int64)
+                # the last row may go on in the next slice
+                open_row = pairs // n == (r[b] if b < len(r) else -1)
+                rest = (pairs[open_row], held[open_row])
+                done = pairs[~open_row & (held >= self.bound[pairs % n])]
+                out += zip((done // n).tolist(), (done % n).tolist())
+                a = b
         return sorted(out)
 
 
