@@ -2,10 +2,11 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from texloom.operators import align, regions
+from texloom.operators import align, chains, regions
 from texloom.plans import intervals, ordered
 
 
@@ -149,3 +150,59 @@ def test_effects_combine_in_any_grouping():
         for p in [*pieces, now]:
             left = left.then(p)
         assert (left.pops, left.frames) == (whole.pops, whole.frames)
+
+
+def slow_chain(points):
+    points = sorted(points, key=lambda r: (r[2], -r[4], r[1]))
+    score, before = [], []
+    for i, (_, _, x, y, w) in enumerate(points):
+        best, k = 0, -1
+        for j in range(i):
+            if points[j][2] < x - 1e-7 and points[j][3] < y - 1e-7 and score[j] > best:
+                best, k = score[j], j
+        score.append(best + w)
+        before.append(k)
+    at, out = max(range(len(points)), key=lambda i: (score[i], -i)), []
+    while at >= 0:
+        out.append(points[at])
+        at = before[at]
+    return [(*r, i + 1) for i, r in enumerate(out[::-1])]
+
+
+def test_chains_on_a_grid(spark):
+    rng = random.Random(1)
+    rows = [(1, f"n{i}", rng.randrange(40) / 8, rng.randrange(40) / 8, rng.choice((12, 2, 2))) for i in range(220)]
+    rows += [(2, f"n{i}", i / 7 + rng.random() / 50, i / 7 + rng.random() / 3, rng.choice((12, 10, 4))) for i in range(90)] + [(3, "a", 1.0, 1.0, 3), (3, "b", 1.0 + 5e-8, 2.0, 3), (3, "b", 1.0, 1.0, 3)]
+    d = spark.createDataFrame(rows, "pair_id long, name string, original double, translated double, weight int").repartition(3)
+    want = sorted(r for p in (1, 2, 3) for r in slow_chain([x for x in rows if x[0] == p]))
+    assert sorted(map(tuple, align.chains(d, 60).collect())) == want
+    assert sorted(map(tuple, align.chains(d).collect())) == want
+
+
+def test_cells_score_as_one_list_does():
+    """Any grid gives the chain of the whole, ties included."""
+    rng = random.Random(7)
+    for _ in range(60):
+        n = rng.randrange(1, 60)
+        points = sorted(((rng.randrange(12) / 4, rng.randrange(12) / 4, rng.choice((1.0, 1.0, 2.0))) for _ in range(n)), key=lambda p: (p[0], -p[2]))
+        rows = [(0, "", x, y, w) for x, y, w in points]
+        keep = align.heaviest_chain(*map(list, zip(*points)))
+        whole = chains.scores(*map(list, zip(*points)), list(range(n)), [chains.NONE] * n)
+        cuts = sorted({rng.randrange(13) / 4 for _ in range(3)})
+        cell = lambda v: sum(v >= c for c in cuts)
+        inbox, score, before = [], {}, {}
+        for r in range(2 * len(cuts) + 1):
+            for a in range(r + 1):
+                own = [{"pair_id": 0, "a": a, "b": r - a, "kind": chains.POINT, "x": x, "y": y, "score": w, "pos": i, "before": -1, "out": -1} for i, (x, y, w) in enumerate(points) if (cell(x), cell(y)) == (a, r - a)]
+                group = pd.DataFrame(own + [m for m in inbox if (m["a"], m["b"]) == (a, r - a)])
+                if len(group):
+                    found = chains._cell(group)
+                    score |= {m["pos"]: m["score"] for m in found[found["kind"] == chains.POINT].to_dict("records")}
+                    before |= {m["pos"]: m["before"] for m in found[found["kind"] == chains.POINT].to_dict("records")}
+                    inbox += found[found["kind"] != chains.POINT].to_dict("records")
+        assert [score[i] for i in range(n)] == whole[0]
+        at, out = max(range(n), key=lambda i: (score[i], -i)), []
+        while at >= 0:
+            out.append(at)
+            at = before[at]
+        assert out[::-1] == keep and [r[:5] for r in slow_chain(rows)] == [rows[i] for i in keep]

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texloom.operators import chains as wide
 from texloom.plans import intervals, ordered
 
 GAP = 1e-7
@@ -63,46 +64,21 @@ def landmark_order(pairs: DataFrame) -> DataFrame:
 
 
 def heaviest_chain(x: list[float], y: list[float], w: list[float]) -> list[int]:
-    """RK9: of points in order of x, the heaviest chain that rises in x and y by more than GAP.
+    """RK9: of points in order of x, the heaviest chain that rises in x and y by more than GAP; n log n steps.
 
-    Ties go to the earliest predecessor and the earliest end.  A Fenwick tree over the
-    ranks of y holds the best (score, -place) so far; points enter it only when x has
-    risen by more than GAP, so a chain of n landmarks takes n log n steps.
+    Ties go to the earliest predecessor and the earliest end.
     """
-    import bisect
-
-    n = len(x)
-    ranks = sorted(set(y))
-    tree: list[tuple[float, int]] = [(0.0, 1)] * (len(ranks) + 1)
-    score, before = [0.0] * n, [-1] * n
-    waiting = 0
-    for i in range(n):
-        while waiting < i and x[waiting] < x[i] - GAP:
-            entry = (score[waiting], -waiting)
-            at = bisect.bisect_left(ranks, y[waiting]) + 1
-            while at <= len(ranks):
-                tree[at] = max(tree[at], entry)
-                at += at & -at
-            waiting += 1
-        best = (0.0, 1)
-        at = bisect.bisect_left(ranks, y[i] - GAP)
-        while at > 0:
-            best = max(best, tree[at])
-            at -= at & -at
-        score[i] = best[0] + w[i]
-        before[i] = -best[1] if best[0] > 0 else -1
-    if not n:
-        return []
-    at = max(range(n), key=lambda i: (score[i], -i))
+    score, before = wide.scores(x, y, w, list(range(len(x))), [wide.NONE] * len(x))
+    at = max(range(len(x)), key=lambda i: (score[i], -i), default=None)
     out = []
-    while at >= 0:
+    while at is not None:
         out.append(at)
         at = before[at]
     return out[::-1]
 
 
-def chains(pairs: DataFrame) -> DataFrame:
-    """RK9 for each pair of documents (a group is the landmarks of one document)."""
+def chains(pairs: DataFrame, limit: int = wide.LIMIT) -> DataFrame:
+    """RK9 for each pair of documents: in one task for pairs of up to limit landmarks, for larger ones on a grid of cells."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(_down=-frame["weight"]).sort_values(["original", "_down", "name"], kind="stable").reset_index(drop=True)
@@ -111,7 +87,13 @@ def chains(pairs: DataFrame) -> DataFrame:
         out["place"] = range(1, len(out) + 1)
         return out
 
-    return pairs.select("pair_id", "name", "original", "translated", "weight").groupBy("pair_id").applyInPandas(one, "pair_id long, name string, original double, translated double, weight int, place int")
+    pairs = pairs.select("pair_id", "name", "original", "translated", "weight")
+    many = pairs.groupBy("pair_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("pair_id")
+    shape = "pair_id long, name string, original double, translated double, weight int, place int"
+    if not many.head(1):
+        return pairs.groupBy("pair_id").applyInPandas(one, shape)
+    small = pairs.join(many, "pair_id", "left_anti").groupBy("pair_id").applyInPandas(one, shape)
+    return small.unionByName(wide.wide_chains(pairs.join(many, "pair_id", "left_semi"), limit))
 
 
 def page_starts(heights: DataFrame) -> DataFrame:

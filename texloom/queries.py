@@ -318,7 +318,15 @@ def asof_interpolation(spark, sf_dir):
     return align.map_positions(asked, marks, heights).select("pair_id", "query_id", "page", F.round("fraction", 6).alias("fraction"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT user_id AS p, (CASE event_type WHEN 'click' THEN 'section.' WHEN 'view' THEN 'figure.' ELSE 'cite.' END) || event_id AS name,
+ event_id % 40 + (event_id % 8) / 8.0 AS x, event_id * 3 % 40 + (event_id * 3 % 8) / 8.0 AS y, CASE event_type WHEN 'click' THEN 12 WHEN 'view' THEN 10 ELSE 2 END AS w FROM events WHERE event_type <> 'error'),
+r AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY x, w DESC, name) AS n FROM m),
+c AS (SELECT p, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, s BIGINT, j BIGINT, b BIGINT)[]) AS l FROM r GROUP BY p
+ UNION ALL SELECT c.p, r.n, list_append(l, {'x': r.x, 'y': r.y, 's': r.w + coalesce(-f.s, 0), 'j': r.n, 'b': coalesce(f.j, 0)}) FROM c JOIN r ON r.p = c.p AND r.n = c.n + 1,
+  LATERAL (SELECT list_min(list_transform(list_filter(l, lambda e: e.x < r.x - 1e-7 AND e.y < r.y - 1e-7), lambda e: {'s': -e.s, 'j': e.j})) AS f)),
+z AS (SELECT p, l FROM c QUALIFY n = max(n) OVER (PARTITION BY p)),
+t AS (SELECT p, l, list_min(list_transform(l, lambda e: {'s': -e.s, 'j': e.j})).j AS j FROM z UNION ALL SELECT p, l, l[j].b FROM t WHERE l[j].b > 0)
+SELECT r.p AS pair_id, name, CAST(x AS DOUBLE) AS original, CAST(y AS DOUBLE) AS translated, CAST(w AS INTEGER) AS weight, CAST(row_number() OVER (PARTITION BY r.p ORDER BY n) AS INTEGER) AS place FROM t JOIN r ON r.p = t.p AND r.n = t.j""")
 def monotone_chain(spark, sf_dir):
     """RK9."""
     return align.chains(align.match_landmarks(_marks(spark, sf_dir)))
