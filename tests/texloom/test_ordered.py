@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from texloom.operators import align, chains, regions
 from texloom.plans import intervals, ordered
+from texloom.streaming.changes import patched_batch
 
 
 @pytest.fixture
@@ -206,3 +207,20 @@ def test_cells_score_as_one_list_does():
             out.append(at)
             at = before[at]
         assert out[::-1] == keep and [r[:5] for r in slow_chain(rows)] == [rows[i] for i in keep]
+
+
+def test_patches_in_batch(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice((1, 1, 2, None)), i, rng.choice((0, 1, 2, 3, None)), rng.random() < 0.05 if i % 3 else None, f"v{i}") for i in range(300)]
+    got = {r["id"]: tuple(r)[1:] for r in patched_batch(spark.createDataFrame(rows, "id long, at int, asked int, gone boolean, value string").repartition(3)).collect()}
+    want = {}
+    for key in (1, 2):
+        state = [0, False, None, 0, 0]
+        for _, _, asked, gone, value in (r for r in rows if r[0] == key):
+            if not state[1] and asked == state[0]:
+                state = [state[0] + 1, bool(gone), value, state[3] + 1, state[4]]
+            else:
+                state[4] += 1
+        want[key] = tuple(state)
+    assert got == want
+    assert patched_batch(spark.createDataFrame([], "id long, at int, asked int, gone boolean, value string")).collect() == []

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from texloom.plans import ordered
+
 ACTIVE = ("queued", "downloading", "preparing", "translating", "compiling")
 LOG_KEEP = 160
 
@@ -148,6 +150,14 @@ def reading_order(annotations: DataFrame) -> DataFrame:
     return annotations.orderBy("document", first["page"], first["rects"][0]["y"], "created_at", "id")
 
 
+def reading_places(annotations: DataFrame) -> DataFrame:
+    """RK5 as a place from 1 in each document, whatever number of annotations it has: they are sorted over all tasks."""
+    first = F.col("anchors")[0]
+    keyed = annotations.select("*", first["page"].alias("_page"), first["rects"][0]["y"].alias("_y"), F.lit(1).cast("long").alias("_one"))
+    rows = ordered.dealt(keyed, ["document"], ["_page", "_y", "created_at", "id"])
+    return ordered.running(rows, ["document"], {"_one": "_n"}).select(*annotations.columns, (F.col("_n") + 1).alias("place"))
+
+
 def annotation_filter(annotations: DataFrame, document: str | None, query: str) -> DataFrame:
     """FP2: live annotations of a document whose quote or comment holds the query."""
     scope = F.lit(True) if document is None else F.col("document") == document

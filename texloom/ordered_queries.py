@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
-from texloom.operators import regions
+from texloom.operators import library, regions
 from texloom.queries import query, read
+from texloom.sources import archives
+from texloom.streaming import changes
 
 TURN = "CASE event_id % 5 WHEN 0 THEN [0, 1, -1, 0, 0, 0] WHEN 1 THEN [-1, 0, 0, 1, 5, 0] ELSE [1, 0, 0, 1, event_id % 9 - 4, event_id % 11 - 5] END"
 
@@ -31,3 +39,62 @@ def page_regions(spark, sf_dir):
     kinds = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("name"), F.lit("/Form" if a < 3 else "/PS").alias("subtype"), lit(0, 0, a * 15 + 5, b * 20 + 2).alias("bounds"), F.lit(f"x{a}").alias("signature")) for a in range(4) for b in range(3)]))
     objects = pages.select("page_id", kinds.alias("o")).select("page_id", "o.*", F.lit(None).cast("array<double>").alias("matrix"))
     return regions.graphic_regions(operations, objects, pages)
+
+
+def _archive(group: pd.DataFrame) -> pd.DataFrame:
+    """One archive of a group's documents: zip, tar, tar.gz, or a gz of the first; in three character sets, with members that are passed over or refused."""
+    number = int(group["archive"].iloc[0])
+    files = [(f"src/d{doc}.tex", text.encode(("utf-8-sig", "gb18030", "utf-8")[doc % 3])) for doc, text in sorted(zip(group["doc_id"].tolist(), group["text"].tolist()))]
+    first = files[0][1]
+    files += [("__MACOSX/x.tex", b"x"), ("./.git/config", b"x")] + ([("../up.tex", b"x")] if number % 5 == 3 else [])
+    blob = io.BytesIO()
+    if number % 5 == 4:
+        blob.write(gzip.compress(first, mtime=0))
+    elif number % 5 in (0, 3):
+        with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, content in files:
+                z.writestr(name, content)
+    else:
+        with tarfile.open(fileobj=blob, mode="w:gz" if number % 5 == 1 else "w") as t:
+            for name, content in files:
+                info = tarfile.TarInfo(name)
+                info.size = len(content)
+                t.addfile(info, io.BytesIO(content))
+            if number % 10 == 2:
+                info = tarfile.TarInfo("link.tex")
+                info.type, info.linkname = tarfile.SYMTYPE, "/etc/passwd"
+                t.addfile(info)
+    return pd.DataFrame({"path": [f"a{number}"], "content": [blob.getvalue()]})
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id // 8 AS a, text, min(doc_id) OVER (PARTITION BY doc_id // 8) AS first FROM documents),
+bad AS (SELECT DISTINCT a, CASE WHEN a % 5 = 3 THEN 'unsafe_path' ELSE 'link' END AS error FROM d WHERE a % 5 = 3 OR a % 10 = 2)
+SELECT 'a' || a AS project, CASE WHEN a % 5 = 4 THEN 'main.tex' ELSE 'src/d' || doc_id || '.tex' END AS path, sha256(text) AS digest, CAST(NULL AS VARCHAR) AS error FROM d
+ WHERE a NOT IN (SELECT a FROM bad) AND (a % 5 <> 4 OR doc_id = first)
+UNION ALL SELECT 'a' || a, NULL, NULL, error FROM bad""")
+def archive_members(spark, sf_dir):
+    """SC2, SC3, SC4: archives packed from documents, eight to each, and read again."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select(F.floor(F.col("doc_id") / 8).cast("long").alias("archive"), "doc_id", "text")
+    found = archives.expand(d.groupBy("archive").applyInPandas(_archive, "path string, content binary"))
+    return found.select("project", "path", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "error")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS id, event_id, event_id % 3 AS asked, event_id % 97 = 0 AS gone, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS revision, false AS deleted, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS applied, CAST(0 AS BIGINT) AS refused FROM e
+ UNION ALL SELECT w.id, e.n, CASE WHEN ok THEN revision + 1 ELSE revision END, CASE WHEN ok THEN w.gone ELSE deleted END, CASE WHEN ok THEN w.event_id ELSE last END, CASE WHEN ok THEN applied + 1 ELSE applied END, CASE WHEN ok THEN refused ELSE refused + 1 END
+ FROM (SELECT w.*, e.n AS en, e.gone, e.event_id, NOT deleted AND e.asked = revision % 3 AS ok FROM w JOIN e ON e.id = w.id AND e.n = w.n + 1) w JOIN e ON e.id = w.id AND e.n = w.en)
+SELECT id, revision, deleted, last AS changed_by, applied, refused FROM w QUALIFY n = max(n) OVER (PARTITION BY id)""")
+def annotation_patches(spark, sf_dir):
+    """UP1: events are the changes of their user's annotation, which name a revision by its remainder."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), (F.col("event_id") % 3).alias("asked"), (F.col("event_id") % 97 == 0).alias("gone"), F.col("event_id").alias("value"))
+    return changes.patched_batch(e, modulus=3).select("id", "revision", "deleted", F.col("value").alias("changed_by"), "applied", "refused")
+
+
+@query("""SELECT user_id AS document, event_id AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id % 7, event_id % 11 / 11.0, event_id % 13, event_id) AS BIGINT) AS place FROM events""")
+def annotation_places(spark, sf_dir):
+    """RK5: the place of each annotation of a document by page, top of its first rectangle and creation."""
+    i = F.col("event_id")
+    rect = lambda y: F.struct((i % 5 / 5.0).alias("x"), y.alias("y"))
+    anchors = F.array(F.struct((i % 7).cast("int").alias("page"), F.array(rect(i % 11 / 11.0), rect(i % 2 / 2.0)).alias("rects")), F.struct(F.lit(0).alias("page"), F.array(rect(F.lit(0.0))).alias("rects")))
+    a = read(spark, sf_dir, "events").select(F.col("user_id").alias("document"), i.alias("id"), anchors.alias("anchors"), (i % 13).alias("created_at"))
+    return library.reading_places(a).select("document", "id", "place")

@@ -33,6 +33,41 @@ def patched(changes: DataFrame) -> DataFrame:
     return changes.groupBy("id").applyInPandasWithState(_fold, "id string, revision int, deleted boolean, comment string, applied int, refused int", "revision int, deleted boolean, comment string", "update", "NoTimeout")
 
 
+def patched_batch(changes: DataFrame, modulus: int | None = None) -> DataFrame:
+    """UP1 in batch: (id, revision, deleted, value, applied, refused) after changes (id, at, asked, gone, value), in order of at.
+
+    A change counts if it asks for the current revision (or for its remainder by modulus, where names of revisions
+    come round), which it raises, and the row is not deleted; value is that of the last change that counted.  Rows are
+    sorted by Spark and folded as they stream by, so that an id with any number of changes takes a few numbers of memory.
+    Changes without an id are left out; a null revision is never the current one.
+    """
+    rows = changes.where("id is not null").select("id", "at", F.col("asked").cast("long").alias("asked"), F.coalesce("gone", F.lit(False)).alias("gone"), "value")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    names = ["id", "revision", "deleted", "value", "applied", "refused"]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            out = []
+            asked = frame["asked"].astype("Int64").tolist()
+            for key, wanted, gone, value in zip(frame["id"].tolist(), asked, frame["gone"].tolist(), frame["value"].tolist()):
+                if held is None or held[0] != key:
+                    if held is not None:
+                        out.append(tuple(held))
+                    held = [key, 0, False, None, 0, 0]
+                now = held[1] if modulus is None else held[1] % modulus
+                if not held[2] and wanted is not pd.NA and wanted == now:
+                    held[1:5] = held[1] + 1, bool(gone), value, held[4] + 1
+                else:
+                    held[5] += 1
+            yield pd.DataFrame(out, columns=names)
+        if held is not None:
+            yield pd.DataFrame([tuple(held)], columns=names)
+
+    dealt = rows.repartition("id").sortWithinPartitions("id", "at", "asked", "value")
+    return dealt.mapInPandas(fold, f"id {kinds['id']}, revision long, deleted boolean, value {kinds['value']}, applied long, refused long")
+
+
 def changed_parents(changes: DataFrame, children: DataFrame) -> DataFrame:
     """PL2: parents whose children changed in a batch, for use in foreachBatch; children is (id, parent_id)."""
     return changes.select("id").distinct().join(children, "id").select("parent_id").distinct()
