@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from texloom.functions import ids, text
+from texloom.plans.tables import cut
 from texloom.operators import align, graph, library, segments
 
 
@@ -89,6 +90,16 @@ def test_roles_below_unreached_nodes(spark):
     assert got == plain_roles(edges, 0, range(30)) and len(set(got.values())) > 1
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_roles_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(i + 3), i, rng.random() < 0.3) for i in range(1, 40)] + [(rng.randrange(40), rng.randrange(40), rng.random() < 0.5) for _ in range(6)]
+    e = spark.createDataFrame([("p", *x) for x in edges], "project string, src int, dst int, opaque boolean")
+    nodes = spark.createDataFrame([("p", i) for i in range(45)], "project string, node int")
+    got = {r["node"]: r["role"] for r in graph.roles(e, nodes.where("node = 0"), nodes).collect()}
+    assert got == plain_roles(edges, 0, range(45))
+
+
 def test_unmask(spark):
     df = spark.createDataFrame([("a ⟪P0000⟫ b ⟪P0001⟫", ["$x$", "5"]), ("plain", [])], "m string, p array<string>")
     assert [r[0] for r in df.select(segments.unmask(F.col("m"), F.col("p"))).collect()] == ["a $x$ b 5", "plain"]
@@ -108,6 +119,20 @@ def test_reachability_of_deep_chains(spark):
     assert graph.reachable(edges, root).count() == 67
 
 
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """A chain of 3,000 with a join, a ring and branches off it takes rounds by its binary digits."""
+    made = []
+    monkeypatch.setattr(graph, "cut", lambda df, *a: made.append(1) or cut(df, *a))
+    chain = [(i, i + 1, i == 1500) for i in range(3000)]
+    edges = chain + [(10, 5000, False), (5000, 5001, True), (5001, 2000, False), (7000, 7001, False), (7001, 7000, False), (7001, 7002, False), (3000, 3000, False)]
+    e = spark.createDataFrame([("p", *x) for x in edges], "project string, src int, dst int, opaque boolean").coalesce(2)
+    root = spark.createDataFrame([("p", 0)], "project string, node int").coalesce(1)
+    assert {r["node"] for r in graph.reachable(e, root).collect()} == {*range(3001), 5000, 5001} and len(made) < 30
+    nodes = spark.createDataFrame([("p", i) for i in (0, 1500, 1501, 1999, 2000, 3000, 5001, 9000)], "project string, node int")
+    got = {r["node"]: r["role"] for r in graph.rooted_roles(e, root, nodes).collect()}
+    assert got == {0: "open", 1500: "open", 1501: "opaque", 1999: "opaque", 2000: "opaque", 3000: "opaque", 5001: "opaque", 9000: "open"}
+
+
 def plain_mapper(pairs, heights):
     """JN6 and AR4 for one pair of documents."""
     starts = {}

@@ -31,14 +31,52 @@ def _walk(start: DataFrame, step) -> DataFrame:
     raise RuntimeError(f"the walk found new nodes after {BOUND} rounds")
 
 
+def _climbed(ends: DataFrame, roots: DataFrame) -> DataFrame:
+    """(project, node, up, opaque): for each node that one edge alone leads to, the nearest node above it that is not of that kind, or is a root.
+
+    Pointers to the node above are doubled, so that a chain of any length takes as many rounds as its length has binary digits.
+    opaque tells whether an edge on the way is.  Nodes on or below a ring of such nodes have none and are left out.
+    """
+    alone = ends.groupBy("project", "dst").agg(F.count("*").alias("n"), F.first("src").alias("up"), F.first("opaque").alias("opaque")).where("n = 1")
+    inner = alone.select("project", F.col("dst").alias("node"), "up", "opaque").join(roots.select("project", "node").distinct(), ["project", "node"], "left_anti")
+    inner = cut(inner)
+    above = inner.select("project", F.col("node").alias("up"), F.lit(True).alias("goes_on"))
+    now = cut(inner.join(above, ["project", "up"], "left").select("project", "node", "up", "opaque", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        if not now.where("goes_on").head(1):
+            break
+        next_up = now.select("project", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("opaque").alias("_opaque"), F.col("goes_on").alias("_goes_on"))
+        moved = now.where("goes_on").join(next_up, ["project", "up"]).select("project", "node", F.col("_up").alias("up"), (F.col("opaque") | F.col("_opaque")).alias("opaque"), F.col("_goes_on").alias("goes_on"))
+        last, now = now, cut(now.where("not goes_on").unionByName(moved))
+        discard(last)
+    return now.where("not goes_on").drop("goes_on")
+
+
+def _states(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(project, node, opaque) states that edges (project, src, dst, opaque) hand on from roots, which are not opaque.
+
+    Nodes that one edge alone leads to follow from what stands above them; only the others are walked to, from each other.
+    """
+    ends = edges.select("project", "src", "dst", F.coalesce("opaque", F.lit(False)).alias("opaque")).distinct()
+    climbed = cut(_climbed(ends, roots))
+    met = ends.join(climbed.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_anti")
+    met = met.join(climbed.select("project", F.col("node").alias("src"), "up", F.col("opaque").alias("_above")), ["project", "src"], "left")
+    on = cut(met.select("project", F.coalesce("up", "src").alias("node"), "dst", (F.col("opaque") | F.coalesce("_above", F.lit(False))).alias("_cut")).distinct())
+    step = lambda new: new.join(on, ["project", "node"]).select("project", F.col("dst").alias("node"), (F.col("opaque") | F.col("_cut")).alias("opaque"))
+    heads = _walk(roots.select("project", "node", F.lit(False).alias("opaque")), step)
+    below = climbed.join(heads.select("project", F.col("node").alias("up"), F.col("opaque").alias("_from")), ["project", "up"]).select("project", "node", (F.col("opaque") | F.col("_from")).alias("opaque"))
+    return heads.unionByName(below).distinct()
+
+
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """GR1, ST2: (project, node) that edges (project, src, dst) reach from roots (project, node), whatever the depth."""
-    return _walk(roots.select("project", "node"), lambda new: new.join(edges.withColumnRenamed("src", "node"), ["project", "node"]).select("project", F.col("dst").alias("node")))
+    plain = edges.select("project", "src", "dst", F.lit(False).alias("opaque"))
+    return _states(plain, roots).select("project", "node")
 
 
 def rooted_roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """The first half of GR2: roles as the roots give them; nodes that no root reaches are open."""
-    return _named_roles(_contexts(edges, roots), nodes)
+    return _named_roles(_states(edges, roots), nodes)
 
 
 def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -48,7 +86,7 @@ def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     nodes without a state are seeded as not opaque one by one, in their order, and each seed's
     states go on before the next is chosen: those that no smaller one of them reaches.
     """
-    found = _contexts(edges, roots)
+    found = _states(edges, roots)
     left = nodes.select("project", "node").distinct().join(found, ["project", "node"], "left_anti")
     ends = edges.select("project", "src", "dst").distinct()
     inner = cut(ends.join(left.withColumnRenamed("node", "src"), ["project", "src"], "left_semi").join(left.withColumnRenamed("node", "dst"), ["project", "dst"], "left_semi"))
@@ -64,14 +102,7 @@ def roles(edges: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     else:
         raise RuntimeError(f"the walk found new seeds after {BOUND} rounds")
     seeds = least.where("node = least").select("project", "node")
-    return _named_roles(_contexts(edges, roots.select("project", "node").unionByName(seeds)), nodes)
-
-
-def _contexts(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(project, node, opaque) states that edges hand on from roots, which are not opaque."""
-    on = edges.select("project", F.col("src").alias("node"), "dst", F.col("opaque").alias("_cut"))
-    step = lambda new: new.join(on, ["project", "node"]).select("project", F.col("dst").alias("node"), (F.col("opaque") | F.col("_cut")).alias("opaque"))
-    return _walk(roots.select("project", "node", F.lit(False).alias("opaque")), step)
+    return _named_roles(_states(edges, roots.select("project", "node").unionByName(seeds)), nodes)
 
 
 def _named_roles(seen: DataFrame, nodes: DataFrame) -> DataFrame:

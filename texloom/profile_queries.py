@@ -107,7 +107,15 @@ def localized_messages(spark, sf_dir):
     return profiles.localized_payload(rows, {"click": "pressed"}, [(r"^vu (\d+) pages$", "$1 pages seen")]).select("event_id", "body.message", "body.kind")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id // 256 AS page, CAST(event_id % 50 / 50.0 AS DOUBLE) AS x, CAST(event_id % 7 / 10.0 AS DOUBLE) AS y, CAST(event_id % 4 / 60.0 AS DOUBLE) AS w, CAST(0.05 AS DOUBLE) AS h,
+ row_number() OVER (PARTITION BY user_id, event_id // 256 ORDER BY event_id % 7, event_id % 50, event_id) AS n FROM events),
+m AS (SELECT user_id, page, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, width DOUBLE, height DOUBLE)[]) AS l FROM e GROUP BY user_id, page
+ UNION ALL SELECT m.user_id, m.page, e.n, CASE WHEN coalesce(f, 0) = 0 THEN list_append(l, {'x': e.x, 'y': e.y, 'width': e.w, 'height': e.h}) ELSE list_transform(l, lambda p, i: CASE WHEN i = f
+   THEN {'x': least(p.x, e.x), 'y': p.y, 'width': greatest(p.x + p.width, e.x + e.w) - least(p.x, e.x), 'height': p.height} ELSE p END) END
+  FROM m JOIN e ON e.user_id = m.user_id AND e.page = m.page AND e.n = m.n + 1,
+  LATERAL (SELECT list_position(list_transform(l, lambda p: abs(p.y - e.y) < 0.002 AND abs(p.height - e.h) < 0.004 AND e.x <= p.x + p.width + 0.002 AND e.x + e.w >= p.x), true) AS f)),
+z AS (SELECT user_id, page, unnest(l) AS r FROM m QUALIFY n = max(n) OVER (PARTITION BY user_id, page))
+SELECT user_id, CAST(page AS BIGINT) AS page, r.x AS x, r.y AS y, r.width AS width, r.height AS height FROM z""")
 def merged_rects(spark, sf_dir):
     """RK13: a page's marks are the events of a user among 256 ids, so that its array is bounded."""
     n = F.col("event_id")
