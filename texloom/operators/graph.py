@@ -39,12 +39,12 @@ def _climbed(ends: DataFrame, roots: DataFrame) -> DataFrame:
     """
     alone = ends.groupBy("project", "dst").agg(F.count("*").alias("n"), F.first("src").alias("up"), F.first("opaque").alias("opaque")).where("n = 1")
     inner = alone.select("project", F.col("dst").alias("node"), "up", "opaque").join(roots.select("project", "node").distinct(), ["project", "node"], "left_anti")
-    inner = cut(inner)
     above = inner.select("project", F.col("node").alias("up"), F.lit(True).alias("goes_on"))
     now = cut(inner.join(above, ["project", "up"], "left").select("project", "node", "up", "opaque", F.coalesce("goes_on", F.lit(False)).alias("goes_on")))
-    for _ in range(max(1, now.count()).bit_length() + 1):
-        if not now.where("goes_on").head(1):
-            break
+    # as long as a chain goes on, each round ends some of its nodes' ways; those of rings never end
+    before = None
+    while (left := now.where("goes_on").count()) and left != before:
+        before = left
         next_up = now.select("project", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("opaque").alias("_opaque"), F.col("goes_on").alias("_goes_on"))
         moved = now.where("goes_on").join(next_up, ["project", "up"]).select("project", "node", F.col("_up").alias("up"), (F.col("opaque") | F.col("_opaque")).alias("opaque"), F.col("_goes_on").alias("goes_on"))
         last, now = now, cut(now.where("not goes_on").unionByName(moved))
@@ -58,7 +58,7 @@ def _states(edges: DataFrame, roots: DataFrame) -> DataFrame:
     Nodes that one edge alone leads to follow from what stands above them; only the others are walked to, from each other.
     """
     ends = edges.select("project", "src", "dst", F.coalesce("opaque", F.lit(False)).alias("opaque")).distinct()
-    climbed = cut(_climbed(ends, roots))
+    climbed = _climbed(ends, roots)
     met = ends.join(climbed.select("project", F.col("node").alias("dst")), ["project", "dst"], "left_anti")
     met = met.join(climbed.select("project", F.col("node").alias("src"), "up", F.col("opaque").alias("_above")), ["project", "src"], "left")
     on = cut(met.select("project", F.coalesce("up", "src").alias("node"), "dst", (F.col("opaque") | F.coalesce("_above", F.lit(False))).alias("_cut")).distinct())

@@ -252,7 +252,14 @@ def include_roles(spark, sf_dir):
     return graph.rooted_roles(e, root, p.select(F.lit(1).alias("project"), F.col("k").alias("node"))).select("node", "role")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGE_SQL}, r(node, o) AS (SELECT CAST(0 AS BIGINT), false UNION SELECT dst, o OR opaque FROM r JOIN e ON src = node),
+rest AS (SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT node FROM r)),
+inside AS (SELECT src, dst FROM e WHERE src IN (SELECT node FROM rest) AND dst IN (SELECT node FROM rest)),
+c(s, node) AS (SELECT node, node FROM rest UNION SELECT s, dst FROM c JOIN inside ON src = node),
+seeds AS (SELECT node FROM c GROUP BY node HAVING min(s) = node),
+q(node, o) AS (SELECT node, false FROM seeds UNION SELECT dst, o OR opaque FROM q JOIN e ON src = node),
+g AS (SELECT node, bool_and(o) AS a, bool_or(o) AS b FROM (SELECT * FROM r UNION SELECT * FROM q) GROUP BY node)
+SELECT p_partkey AS node, CASE WHEN a THEN 'opaque' WHEN b THEN 'mixed' ELSE 'open' END AS role FROM part LEFT JOIN g ON node = p_partkey""")
 def include_roles_all(spark, sf_dir):
     """GR2 with the seeds among nodes that the root doesn't reach."""
     p, e = _edges(spark, sf_dir)
