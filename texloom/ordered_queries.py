@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from texloom.operators import library, regions
+from texloom.plans import tables
 from texloom.queries import query, read
 from texloom.sources import archives
 from texloom.streaming import changes
@@ -98,3 +99,26 @@ def annotation_places(spark, sf_dir):
     anchors = F.array(F.struct((i % 7).cast("int").alias("page"), F.array(rect(i % 11 / 11.0), rect(i % 2 / 2.0)).alias("rects")), F.struct(F.lit(0).alias("page"), F.array(rect(F.lit(0.0))).alias("rects")))
     a = read(spark, sf_dir, "events").select(F.col("user_id").alias("document"), i.alias("id"), anchors.alias("anchors"), (i % 13).alias("created_at"))
     return library.reading_places(a).select("document", "id", "place")
+
+
+@query("""SELECT DISTINCT trim(p) AS path FROM (SELECT unnest(string_split(replace(url, '://', '/'), '/')) AS p FROM pages) WHERE trim(p) <> '' AND length(p) % 3 = 0""")
+def recorded_files(spark, sf_dir):
+    """SC10: the distinct inputs of a recorder's lines, made of the parts of all urls; other lines record something else."""
+    part = F.explode(F.split(F.regexp_replace("url", "://", "/"), "/"))
+    lines = read(spark, sf_dir, "pages").select(part.alias("p")).where("trim(p) <> ''").select(F.concat(F.when(F.length("p") % 3 == 0, "INPUT ").otherwise("OUTPUT "), F.col("p")).alias("value"))
+    return archives.recorded_inputs(lines)
+
+
+@query("""WITH l AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN './d' || doc_id || '.tex' WHEN 1 THEN 'https://example.org/' || doc_id || '.zip' WHEN 2 THEN '# d' || doc_id || '.tex' WHEN 3 THEN '  ' ELSE ' 2401.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || ' ' END AS v FROM documents)
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'list/' || v ELSE trim(v) END AS source, count(*) AS n FROM l WHERE doc_id % 5 NOT IN (2, 3) GROUP BY 1""")
+def batch_sources(spark, sf_dir):
+    """SC9: lists written from documents, a line each, and read again: local names below their list's folder, blank lines and comments left out."""
+    i = F.col("doc_id")
+    k = i % 5
+    name = F.when(k == 0, F.concat(F.lit("./d"), i.cast("string"), F.lit(".tex"))).when(k == 1, F.concat(F.lit("https://example.org/"), i.cast("string"), F.lit(".zip"))).when(k == 2, F.concat(F.lit("# d"), i.cast("string"), F.lit(".tex"))).when(k == 3, "  ")
+    lines = read(spark, sf_dir, "documents").select(name.otherwise(F.concat(F.lit(" 2401."), F.lpad((i % 100000).cast("string"), 5, "0"), F.lit(" "))).alias("value"))
+    folder = tables.folder(spark, "lists") + "/list"
+    lines.write.text(folder)
+    found = archives.batch_list(spark, folder)
+    here = F.regexp_replace("source", r"^.*/list/", "list/")
+    return found.select(here.alias("source")).groupBy("source").agg(F.count("*").alias("n"))

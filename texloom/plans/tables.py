@@ -4,24 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "rounds") -> DataFrame:
-    """Write df and read it again.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share.
 
-    The folder is spark.checkpoint.dir; a local session without it uses one below its
+    That is spark.checkpoint.dir; a local session without it uses one below its
     warehouse, and a cluster without it is an error, as a folder of its own may be one machine's.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/shared"
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "rounds") -> DataFrame:
+    """Write df to the shared folder and read it again."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
 
