@@ -83,6 +83,55 @@ def generated_error(text: Column) -> Column:
     )
 
 
+REASONING = "think|thinking|reasoning|analysis"
+
+
+def without_reasoning(text: Column, depth: int = 8) -> Column:
+    """STR14: (value, error) of an answer without its reasoning: what stands outside all tags, or "ambiguous" for tags that do not balance."""
+    tag = rf"<(/?(?:{REASONING}))\b[^>]*>"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?is).*?(?:{tag}|\z)"), F.lit(0))
+    state = lambda out, names, bad: F.struct(out.alias("out"), names.cast("array<string>").alias("names"), bad.alias("bad"))
+
+    def step(s: Column, piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, rf"(?is){tag}\z", 1))
+        out = F.when(F.size(s["names"]) == 0, F.concat(s["out"], F.regexp_replace(piece, rf"(?is){tag}\z", ""))).otherwise(s["out"])
+        closes = name.startswith("/")
+        names = F.when(closes, F.slice(s["names"], 1, F.greatest(F.size(s["names"]) - 1, F.lit(0)))).when(name != "", F.concat(s["names"], F.array(name))).otherwise(s["names"])
+        fits = F.coalesce(F.get(s["names"], F.size(s["names"]) - 1) == F.substring(name, 2, 16), F.lit(False))
+        return state(out, names, s["bad"] | (closes & ~fits) | (F.size(names) > depth))
+
+    def end(s: Column) -> Column:
+        bad = s["bad"] | (F.size(s["names"]) > 0)
+        plain = F.regexp_replace(s["out"], r"(?U)^\s+|\s+$", "")
+        return F.struct(F.when(~bad, plain).alias("value"), F.when(bad, F.lit("ambiguous")).alias("error"))
+
+    none = F.struct(F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("error"))
+    return F.when(text.isNotNull(), F.aggregate(pieces, state(F.lit(""), F.array(), F.lit(False)), step, end)).otherwise(none)
+
+
+def slot_reasons(slots: Column, output: Column) -> Column:
+    """VL5: for each slot asked for (a map of names to sources) why its answer in the output is refused, null for one that is taken.
+
+    NULL for an output that is no JSON object or holds slots that were not asked for.  A fence around the JSON is taken off.
+    """
+    plain = F.regexp_replace(output, r"(?s)\A```(?:json)?\s*\n(.*?)\n```\z", "$1")
+    given = F.from_json(plain, "map<string,variant>")
+    fits = given.isNotNull() & (F.size(F.array_except(F.map_keys(given), F.map_keys(slots))) == 0)
+
+    def reason(name: Column, source: Column) -> Column:
+        value = F.try_element_at(given, name)
+        said = F.try_variant_get(value, "$", "string")
+        bare = without_reasoning(said)
+        kept = F.coalesce(bare["value"], said)
+        return (
+            F.when(~F.array_contains(F.map_keys(given), name), "missing").when(value.isNull() | (F.schema_of_variant(value) != "STRING"), "not_a_string")
+            .when(bare["error"].isNotNull(), "invalid_response_envelope").when(kept.rlike(r"(?U)\A\s*\z") & source.rlike(r"(?U)\S"), "empty_text")
+            .when(kept.rlike("[⟪⟫]"), "protected_token").when(F.contains(kept, F.lit("\\")) | F.contains(kept, F.lit("```")) | kept.rlike(r"\$[^$]+\$"), "invalid_syntax")
+        )
+
+    return F.when(fits, F.transform_values(slots, reason))
+
+
 def is_prose(text: Column) -> Column:
     """VL2: eight words or more, two of them common ones."""
     words = F.regexp_extract_all(F.lower(F.regexp_replace(text, MARKER, "")), F.lit("([a-z]{2,})"), F.lit(1))

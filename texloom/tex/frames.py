@@ -117,7 +117,7 @@ def stripped(values: pd.Series) -> pd.DataFrame:
 def cached_value(value: Column, source: Column, language: Column, service: Column) -> Column:
     """VL3: (value, error) of a cached translation: without reasoning, but for an XML service, and in the language asked for; null for null."""
     plain = F.struct(value.alias("value"), F.lit(None).cast("string").alias("error"))
-    read = F.when(service == "deepl", plain).otherwise(stripped(value))
+    read = F.when(service == "deepl", plain).otherwise(text_rules.without_reasoning(value))
     error = F.coalesce(read["error"], text_rules.language_error(source, read["value"], language))
     return F.struct(F.when(error.isNull(), read["value"]).alias("value"), error.alias("error"))
 
