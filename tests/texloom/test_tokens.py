@@ -118,3 +118,12 @@ def test_restored_takes_macros(spark):
     d = spark.createDataFrame([("⟪P0000⟫ and ⟪P0001⟫ words", ["\\sys", "\\alg"], "⟪P0001⟫ and ⟪P0000⟫ words", {"sys": "Foo", "alg": "Bar"})], "m string, p array<string>, o string, k map<string,string>")
     assert d.select(frames.restored("m", "p", "o", F.col("k")).alias("r")).first()["r"]["error"] is None
     assert d.select(frames.restored("m", "p", "o").alias("r")).first()["r"]["error"] == "structure_reordered"
+
+
+def test_path_violations(spark):
+    texts = [r"\input{/etc/x} \input{a/../../b} \input{a/../b} \input{|ls} \includegraphics[w]{c:/x}", "\\openin\\x ~/y \\openout ../z %\n \\input ../z\\include{ok}", r"\inputs{/x} \input{../../q} \input{~u} \input{../../q}", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in d.select("i", tokens.path_violations(F.col("t")).alias("a"), tokens.path_violations(F.col("t"), F.lit("./s/main.tex")).alias("b")).collect()}
+    assert got[0] == (["/etc/x", "a/../../b", "|ls", "c:/x"], ["/etc/x", "|ls", "c:/x"])
+    assert got[1] == (["../z", "../z\\include"], []) and got[2] == (["../../q", "~u"], ["../../q", "~u"])
+    assert got[3] == (None, None) and got[4] == ([], [])

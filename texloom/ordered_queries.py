@@ -15,6 +15,7 @@ from texloom.plans import tables
 from texloom.queries import query, read
 from texloom.sources import archives
 from texloom.streaming import changes
+from texloom.tex import tokens
 
 TURN = "CASE event_id % 5 WHEN 0 THEN [0, 1, -1, 0, 0, 0] WHEN 1 THEN [-1, 0, 0, 1, 5, 0] ELSE [1, 0, 0, 1, event_id % 9 - 4, event_id % 11 - 5] END"
 
@@ -122,3 +123,16 @@ def batch_sources(spark, sf_dir):
     found = archives.batch_list(spark, folder)
     here = F.regexp_replace("source", r"^.*/list/", "list/")
     return found.select(here.alias("source")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*/?(.*)$', 1) AS rest FROM pages),
+n AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '/' || rest WHEN 1 THEN '../' || rest WHEN 2 THEN 'a/../../../' || rest WHEN 3 THEN '|' || rest WHEN 4 THEN 'c:/' || rest ELSE 'a/' || rest END AS name FROM p)
+SELECT page_id, CASE WHEN regexp_matches(name, '^([/~|]|[A-Za-z]:)') OR starts_with(name, 'a/../../../') THEN [name] ELSE [] END AS violations FROM n""")
+def path_violations(spark, sf_dir):
+    """FP7: includes of the paths of all urls, in braces or not, seen from a main file in a folder; those in comments are none."""
+    rest = F.regexp_extract("url", r"^[^:]*://[^/]*/?(.*)$", 1)
+    k = F.col("page_id") % 6
+    name = F.concat(F.when(k == 0, "/").when(k == 1, "../").when(k == 2, "a/../../../").when(k == 3, "|").when(k == 4, "c:/").otherwise("a/"), rest)
+    call = F.when(k == 1, F.concat(F.lit("\\openin "), name, F.lit(" "))).when(k == 3, F.concat(F.lit("\\input"), name)).otherwise(F.concat(F.lit("\\includegraphics[width=1cm] { "), name, F.lit(" }")))
+    tex = F.concat(F.lit("% \\input{/etc/x}\n"), call, F.lit("\n\\inputs{/y} \\verb|\\input{/z}|"))
+    return read(spark, sf_dir, "pages").select("page_id", tokens.path_violations(tokens.visible(tex), F.lit("src/main.tex")).alias("violations"))

@@ -78,7 +78,6 @@ literal_macros = _wrapped(collect.literal_macros, "map<string,string>")
 title = _wrapped(collect.title, "string")
 abstract = _wrapped(collect.abstract, "string")
 entry_parts = _wrapped(collect.entry_parts, "string")
-path_violations = _wrapped(rewrite.path_violations, "array<string>")
 diagnose = _wrapped(rewrite.diagnose, "string")
 float_positions = _wrapped(rewrite.float_positions, "string")
 pixel_units = _wrapped(rewrite.pixel_units, "string")

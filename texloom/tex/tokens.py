@@ -147,6 +147,28 @@ def math_ranges(seen: Column) -> Column:
     return F.when(seen.isNotNull(), _let(marks, whole))
 
 
+# Commands that read or write a file.
+PATH_COMMANDS = ("input", "include", "includegraphics", "openin", "openout")
+
+
+def path_violations(seen: Column, main: Column | None = None) -> Column:
+    """FP7: names of files in a visible text that are absolute, name a pipe or leave the project, each once in order.
+
+    Names stand in braces or up to a blank.  Names with ``..`` are judged from the folder of the project's main file.
+    """
+    call = r"\\(?:" + "|".join(PATH_COMMANDS) + r")(?![A-Za-z@])\s*(?:\[[^\]]*\])?\s*"
+    found = F.regexp_extract_all(seen, F.lit(call + r"(?:\{[^{}]*\}|[^\s{}%]+)"), F.lit(0))
+    names = F.transform(found, lambda m: F.regexp_replace(F.regexp_replace(m, "^" + call, ""), r"(?U)^\{?\s*|\s*\}?$", ""))
+    start = F.lit(0) if main is None else F.size(F.filter(F.split(main, "/"), lambda p: ~p.isin("", "."))) - 1
+
+    def leaves(name: Column) -> Column:
+        place = lambda depth, out: F.struct(depth.cast("int").alias("depth"), out.alias("out"))
+        down = lambda s, p: s["depth"] + F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)
+        return F.aggregate(F.split(name, "/"), place(start, F.lit(False)), lambda s, p: place(down(s, p), s["out"] | (down(s, p) < 0)), lambda s: s["out"])
+
+    return F.array_distinct(F.filter(names, lambda n: n.rlike(r"^(?:[/~|]|[A-Za-z]:)") | leaves(n)))
+
+
 def table(texts: DataFrame, key: str, text: str = "text", environments: str | None = None) -> DataFrame:
     """(key, ord, start, end, size, kind, token) of the tokens of each text, a run's token null; size is the text's.
 
