@@ -81,11 +81,10 @@ def chains(pairs: DataFrame, limit: int = wide.LIMIT) -> DataFrame:
     """RK9 for each pair of documents: in one task for pairs of up to limit landmarks, for larger ones on a grid of cells."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(_down=-frame["weight"]).sort_values(["original", "_down", "name"], kind="stable").reset_index(drop=True)
-        keep = heaviest_chain(frame["original"].tolist(), frame["translated"].tolist(), frame["weight"].astype(float).tolist())
-        out = frame.iloc[keep][["pair_id", "name", "original", "translated", "weight"]].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
+        name, x, y, w = (frame[c].tolist() for c in ("name", "original", "translated", "weight"))
+        order = sorted(range(len(x)), key=lambda i: (x[i], -w[i], name[i]))
+        kept = [order[i] for i in heaviest_chain(*([float(v[i]) for i in order] for v in (x, y, w)))]
+        return pd.DataFrame({"pair_id": frame["pair_id"].iloc[0], "name": [name[i] for i in kept], "original": [x[i] for i in kept], "translated": [y[i] for i in kept], "weight": [w[i] for i in kept], "place": range(1, len(kept) + 1)})
 
     pairs = pairs.select("pair_id", "name", "original", "translated", "weight")
     many = pairs.groupBy("pair_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("pair_id")
