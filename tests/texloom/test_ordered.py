@@ -130,7 +130,7 @@ def test_regions_of_pages_over_many_parts(spark, parts):
     b = spark.createDataFrame([(p, *v) for p, v in boxes.items()], "page_id long, left double, bottom double, right double, top double, rotation int")
     got = sorted(map(tuple, regions.graphic_regions(o, x, b).collect()))
     want = brute_regions(operations, objects, boxes)
-    assert [g[:3] for g in got] == [w[:3] for w in want] and len(want) > 20
+    assert [g[:3] for g in got] == [w[:3] for w in want] and len(want) > 10
     assert [g[3:] for g in got] == [pytest.approx(w[3:]) for w in want]
     assert regions.graphic_regions(o.limit(0), x, b).collect() == []
 
@@ -224,3 +224,32 @@ def test_patches_in_batch(spark):
         want[key] = tuple(state)
     assert got == want
     assert patched_batch(spark.createDataFrame([], "id long, at int, asked int, gone boolean, value string")).collect() == []
+
+
+def test_regions_of_captions_that_stand_alike(spark):
+    rng = random.Random(5)
+    captions = [(i % 3, f"c{i}", i % 4, i % 5, rng.randrange(20) / 20, rng.choice((None, 0.1, 0.5, 0.9))) for i in range(300)] + [(0, "twice", 0, 0, 0.5, 0.5)] * 2 + [(None, "none", 0, 0, 0.5, 0.5)]
+    sides = [(i % 3, s, rng.randrange(5), rng.choice((1, 2, 3, 4, 5, None)), low, low + 0.1) for s in ("original", "translated") for i in range(60) for low in (rng.randrange(9) / 10,)]
+    rows = sides + sides[::7] + [(2, "original", 1, 9, 0.3, 0.4)] * 3
+    c = spark.createDataFrame(captions, "pair_id long, name string, original_page int, translated_page int, original_fraction double, translated_fraction double")
+    r = spark.createDataFrame(rows, "pair_id long, side string, page int, signature int, start double, end double")
+    want = {}
+    for p, name, op, tp, of, tf in captions:
+        near = lambda s, page, at: [x[3] for x in rows if x[0] == p and x[1] == s and x[2] == page and at is not None and x[4] - 0.065 <= at <= x[5] + 0.065 and x[3] is not None]
+        want.setdefault((p, name), []).extend(a for a in near("original", op, of) for b in near("translated", tp, tf) if a == b)
+    want = {k: v[0] for k, v in want.items() if len(v) == 1}
+    got = align.match_regions(c, r).collect()
+    assert {(x["pair_id"], x["name"]): x["signature"] for x in got} == want and len(got) == len(want) > 10
+    # 20,000 captions of one place, 20,000 like regions on each side: 4 * 10^8 pairs would not end
+    many = spark.range(20000).selectExpr("0L pair_id", "concat('n', id) name", "7 original_page", "7 translated_page", "0.5D original_fraction", "0.5D translated_fraction")
+    like = spark.range(20000).selectExpr("0L pair_id", "explode(array('original', 'translated')) side", "7 page", "if(side = 'original', 1, 2) signature", "0.4D start", "0.6D end")
+    one = spark.createDataFrame([(0, s, 7, 3, 0.4, 0.6) for s in ("original", "translated")], "pair_id long, side string, page int, signature int, start double, end double")
+    found = align.match_regions(many, like.unionByName(one))
+    assert found.agg(F.count("*"), F.min("signature"), F.max("signature")).first() == (20000, 3, 3)
+
+
+def test_no_side_of_bins_on_the_driver(spark):
+    a = spark.range(9).selectExpr("1 k", "cast(id as double) a", "cast(id as double) b")
+    joined = intervals.overlapping(a, a.toDF("k", "c", "d"), ["k"], ("a", "b"), ("c", "d"), 1.0)
+    assert joined.count() == 9
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()

@@ -191,18 +191,22 @@ def in_one_region(positions: DataFrame, regions: DataFrame) -> DataFrame:
 def match_regions(captions: DataFrame, regions: DataFrame, reach: float = 0.065) -> DataFrame:
     """JN2: of the regions near a caption on both sides, the pair of equal signature, if it is the only one.
 
-    Captions and regions meet in the bins of their page that both touch, so only near ones do.
+    Captions of one place are one row, as are like regions, with their numbers; they meet in the bins of
+    their page that both touch, so only near ones do.  A caption that occurs twice has each pair twice.
     """
-    side = lambda s, page: regions.where(F.col("side") == s).select("pair_id", F.col("page").alias(page), F.col("signature").alias(f"_{s}"), (F.col("start") - reach).alias(f"_{s}_low"), (F.col("end") + reach).alias(f"_{s}_high"))
-    out = captions.select("pair_id", "name", "original_page", "translated_page", "original_fraction", "translated_fraction")
+    place = ["pair_id", "original_page", "translated_page", "original_fraction", "translated_fraction"]
+    alike = regions.groupBy("pair_id", "side", "page", "signature", "start", "end").agg(F.count("*").alias("_n"))
+    side = lambda s, page: alike.where(F.col("side") == s).select("pair_id", F.col("page").alias(page), F.col("signature").alias(f"_{s}"), F.col("_n").alias(f"_of_{s}"), (F.col("start") - reach).alias(f"_{s}_low"), (F.col("end") + reach).alias(f"_{s}_high"))
+    out = captions.select(*place).distinct()
     for s in ("original", "translated"):
         page, fraction = f"{s}_page", f"{s}_fraction"
         out = out.withColumn("_at", F.col(fraction))
         out = intervals.overlapping(out, side(s, page), ["pair_id", page], ("_at", fraction), (f"_{s}_low", f"_{s}_high"), BIN).drop("_at", f"_{s}_low", f"_{s}_high")
-        # like regions of one caption are one row from here on
-        out = out.groupBy(*out.columns).agg(F.count("*").alias(f"_n_{s}"))
-    both = out.where("_original = _translated").withColumn("_n", F.col("_n_original") * F.col("_n_translated"))
-    return both.groupBy("pair_id", "name").agg(F.sum("_n").alias("n"), F.first("_original").alias("signature")).where("n = 1").drop("n")
+        # regions of one signature near one place are one row from here on
+        out = out.groupBy(*[c for c in out.columns if c != f"_of_{s}"]).agg(F.sum(f"_of_{s}").alias(f"_n_{s}"))
+    both = out.where("_original = _translated").groupBy(*place).agg(F.sum(F.col("_n_original") * F.col("_n_translated")).alias("_n"), F.first("_original").alias("signature"))
+    found = captions.select("name", *place).join(both, place)
+    return found.groupBy("pair_id", "name").agg(F.sum("_n").alias("n"), F.first("signature").alias("signature")).where("n = 1").drop("n")
 
 
 def slices_of_matches(items: DataFrame, matches: DataFrame) -> DataFrame:

@@ -23,5 +23,6 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_ends: t
         return df.where(low <= high).withColumn("_bin", F.explode(_bins(low, high, width)))
 
     (a, b), (c, d) = ([F.col(x) for x in ends] for ends in (left_ends, right_ends))
-    near = dealt(left, left_ends).join(dealt(right, right_ends), [*keys, "_bin"])
+    # Spark's estimate of a side knows nothing of the bins, and a side taken for small would be whole on the driver
+    near = dealt(left, left_ends).hint("merge").join(dealt(right, right_ends).hint("merge"), [*keys, "_bin"])
     return near.where((a <= d) & (c <= b) & (F.col("_bin") == F.floor(F.greatest(a, c) / width).cast("long"))).drop("_bin")
