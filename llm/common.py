@@ -206,13 +206,15 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", s
     """Join whose hot keys are split: rows of big go to one of salts copies of their row in small.
 
     The salt is a hash of the row, so that a task that runs again deals out the same rows.
+    Spark's estimate of small knows nothing of the copies, so it never is broadcast: salts
+    times a table that is taken for small, and is compressed on disk, do not fit the driver.
     """
     salt = "_salt"
     while salt in big.columns + small.columns:
         salt += "_"
     left = big.withColumn(salt, F.pmod(F.xxhash64(*[big[c] for c in big.columns]), F.lit(salts)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, salt], how).drop(salt)
+    return left.hint("merge").join(right.hint("merge"), [key, salt], how).drop(salt)
 
 
 def components(edges: DataFrame, name: str = "components", by: tuple[str, ...] = (), rounds: int = 60) -> DataFrame:
