@@ -67,6 +67,20 @@ def test_groups(spark):
             assert r["depth"] == len(around) and r["parent"] == max((g["start"] for g in around), default=None)
 
 
+def test_groups_without_a_row_for_each_token(spark, monkeypatch):
+    deep = "{a " * 3000 + "[" + "}" * 2999
+    texts = made(500) + ["", "no", "}{", "[{]}]", "{[}]", "[[]", "{" * 5, deep, "}" * 9 + "[a]{b}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    want = sorted(map(str, tokens.groups(tokens.table(d, "i", "t"), "i").collect()))
+    for most in (tokens.BRACKETS_AT_ONCE, 50):
+        monkeypatch.setattr(tokens, "BRACKETS_AT_ONCE", most)
+        found = tokens.text_groups(d, "i", "t")
+        assert sorted(map(str, found.collect())) == want and len(want) > 3000
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan
+    assert tokens.text_groups(d.limit(0), "i", "t").collect() == []
+
+
 def test_declarations_that_are_only_printed():
     printed = "\\begin{verbatim}\n\\lstnewenvironment{itemize}{}{}\n\\end{verbatim}\n\\begin{itemize}\\item Some words here\\end{itemize}"
     assert scan.literal_environments(printed) == scan.CODE_ENVIRONMENTS

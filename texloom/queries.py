@@ -523,7 +523,7 @@ def tex_groups(spark, sf_dir):
     w = F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))
     d = texts(spark, sf_dir).select("doc_id", w.alias("w")).where(F.size("w") > 0)
     nested = F.concat(F.array_join(F.transform("w", lambda x: F.concat(F.lit("{"), x, F.lit(" "))), ""), F.repeat(F.lit("}"), F.size("w")))
-    found = tokens.groups(tokens.table(d.select("doc_id", nested.alias("text")), "doc_id"), "doc_id")
+    found = tokens.text_groups(d.select("doc_id", nested.alias("text")), "doc_id")
     return found.groupBy("doc_id").agg(F.count("*").alias("groups"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.max("depth").alias("depth"), F.coalesce(F.sum("parent"), F.lit(0).cast("long")).alias("parents"))
 
 

@@ -1,4 +1,4 @@
-r"""TeX as a table of tokens, by DataFrame functions only.
+r"""TeX as a table of tokens, by DataFrame functions; brackets of whole texts also by numpy in a task.
 
 A token is a comment, a stretch of code (a literal environment or an inline listing), a command
 with its name, a brace or bracket, a dollar sign, or a run of anything else; end to end they are the text.
@@ -10,6 +10,8 @@ One regular expression reads them, so what stands in code is code whatever it lo
 * ``table``, ``spans`` and ``groups`` give rows.  Depths are prefix sums in a window, a brace that closes
   nothing is found by the running minimum of that sum, and the partner of an opening brace is the next
   brace of its (text, depth).  All brackets of a text are matched at once, whatever they hold.
+* ``text_groups`` gives the rows of ``groups`` without a row for each token and without an exchange: a text's
+  tokens stay one array beside its key, and a task matches brackets in stretches of BRACKETS_AT_ONCE tokens or one text.
 
 Positions count characters from 0.  Null texts give null columns and no rows.  Blanks between ``\begin``
 and its name, and the names of commands, are ASCII.
@@ -17,12 +19,18 @@ and its name, and the names of commands, are ASCII.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from texloom.tex.scan import CODE_ENVIRONMENTS, LITERAL_CONSTRUCTORS, MATH_ENVIRONMENTS
 
 PIECE = 512
+BRACKETS_AT_ONCE = 1 << 19
 _NAME = r"\\[A-Za-z@]+|\\.?"
 _INLINE_CODE = r"\\(?:(?>verb\*?(?![A-Za-z@]))|(?>lstinline\*?(?![A-Za-z@]))\s*+(?:\[[^\]\n]*\]\s*+)?+)(?:\{[^}\n]*\}|([^\p{IsWhite_Space}{])[^\n]*?\2)"
 _PLAIN = r"[^\\%${}\[\]]+|\$\$?|[{}\[\]]"
@@ -214,3 +222,84 @@ def groups(tokens: DataFrame, key: str) -> DataFrame:
     t = t.withColumn("_close", F.when(F.col("kind") == "option", option_end).otherwise(F.col("_close"))).where(F.col("kind").isin("open", "option"))
     found = t.groupBy(key, "ord").agg(F.first("start").alias("start"), F.first("size").alias("size"), F.first("kind").alias("kind"), F.max("_close").alias("_close"), F.max("_parent").alias("parent"), F.min("_level").alias("depth"))
     return found.select(key, "start", F.coalesce("_close", "size").alias("end"), F.when(F.col("kind") == "open", "{").otherwise("[").alias("kind"), "depth", "parent", F.col("_close").isNotNull().alias("closed"))
+
+
+_OPEN, _CLOSE, _OPTION, _OPTION_END = 1, 2, 3, 4
+_BRACKETS = pa.array(["{", "}", "[", "]"])
+
+
+def _matched(text: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, start, end, kind, depth, parent, closed) of the groups of brackets that stand in order of text and start; parent -1: none."""
+    step = (kind == _OPEN).astype(np.int64) - (kind == _CLOSE)
+    # a running minimum over all texts at once: each text begins so far below the one before that none of that one's sums is lower
+    fall = text * (2 * len(text) + 2)
+    sums = np.cumsum(step)
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    sums -= np.repeat(sums[first] - step[first], np.diff(np.append(first, len(text))))
+    low = np.minimum.accumulate(np.minimum(sums, 0) - fall) + fall
+    before = np.concatenate(([0], low[:-1]))
+    before[first] = 0
+    kept = (kind != _CLOSE) | (low == before)
+    depth = (sums - low)[kept]
+    text, start, end, size, kind = (x[kept] for x in (text, start, end, size, kind))
+    at, opens = np.arange(len(text)), kind == _OPEN
+    inside = np.where(opens, depth, depth + 1)  # of a brace: the level that its group holds
+    closing = np.full(len(text), -1)
+    braces = at[opens | (kind == _CLOSE)]
+    braces = braces[np.lexsort((braces, inside[braces], text[braces]))]
+    pair = np.flatnonzero(opens[braces[:-1]] & (kind[braces[1:]] == _CLOSE) & (text[braces[1:]] == text[braces[:-1]]) & (inside[braces[1:]] == inside[braces[:-1]]))
+    closing[braces[pair]] = end[braces[pair + 1]]
+    around = np.where(opens, depth - 1, depth)
+    # levels that hold a parent: (text, level, place) as one number, which fits, as a stretch has few tokens
+    n = np.int64(len(text) + 1)
+    level = lambda of, at_level: (text[of] - (text[0] if len(text) else 0)) * n + at_level
+    parents = at[opens][np.argsort(level(at[opens], depth[opens]) * n + at[opens], kind="stable")]
+    asked = at[opens | (kind == _OPTION) | (kind == _OPTION_END)]
+    found = np.searchsorted(level(parents, depth[parents]) * n + parents, level(asked, around[asked]) * n + asked) - 1
+    parent = np.full(len(text), -1)
+    parent[asked] = np.where(around[asked] > 0, parents[found] if len(parents) else -1, -1)
+    options, ends = at[kind == _OPTION], at[kind == _OPTION_END]
+    # of one text and group: options have the level of their parent, so text and parent tell them apart
+    key = lambda of: (level(of, parent[of] + 1)) * n + of
+    ends = ends[np.argsort(key(ends), kind="stable")]
+    nxt = np.searchsorted(key(ends), key(options))
+    if len(ends) and len(options):
+        to = ends[np.minimum(nxt, len(ends) - 1)]
+        same = (nxt < len(ends)) & (text[to] == text[options]) & (parent[to] == parent[options])
+        closing[options[same]] = end[to[same]]
+    out = at[opens | (kind == _OPTION)]
+    shut = closing[out] >= 0
+    return text[out], start[out], np.where(shut, closing[out], size[out]), opens[out], around[out], np.where(parent[out] >= 0, start[parent[out]], -1), shut
+
+
+def text_groups(texts: DataFrame, key: str, text: str = "text", environments: str | None = None) -> DataFrame:
+    """TX2: what groups gives for the tokens of each row's text, by row: rows that share a key are matched apart."""
+    tokens = read(F.col(text), F.col(environments) if environments else None)
+    rows = texts.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    held = dict(rows.dtypes)["key"]
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            offsets = batch.column(1).offsets.to_numpy()
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + BRACKETS_AT_ONCE, side="right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                n = np.diff(offsets[lo : hi + 1])
+                owner = np.repeat(np.arange(hi - lo), n)
+                values = part.column(1).flatten()
+                kind = pa.compute.index_in(values, _BRACKETS).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                length = pa.compute.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+                end = np.cumsum(length)
+                at = np.concatenate(([0], end))[offsets[lo : hi + 1] - offsets[lo]]
+                end -= np.repeat(at[:-1], n)
+                size = np.diff(at)[owner]
+                b = kind > 0
+                row, start, stop, brace, depth, parent, closed = _matched(owner[b], (end - length)[b], end[b], size[b], kind[b])
+                if len(row):
+                    columns = [part.column(0).take(pa.array(row)), pa.array(start), pa.array(stop), pa.array(np.where(brace, "{", "[")), pa.array(depth.astype(np.int32)), pa.array(parent, mask=parent < 0), pa.array(closed)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "end", "kind", "depth", "parent", "closed"])
+                lo = hi
+
+    return rows.mapInArrow(match, f"key {held}, start long, end long, kind string, depth int, parent long, closed boolean").withColumnRenamed("key", key)
