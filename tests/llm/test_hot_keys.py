@@ -6,7 +6,7 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from llm import common, decontaminate, url_filter
+from llm import common, decontaminate, ngram_join, url_filter
 
 
 def words(rng, n):
@@ -58,3 +58,15 @@ def test_copies_for_salts_are_not_broadcast(spark):
         assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
         got = {r["v"]: r["w"] for r in joined.collect()}
         assert len(got) == rows and all(w == (None if v % 3 == 2 else v % 3 * 10) for v, w in got.items())
+
+
+def test_full_order_filter_still_tells_lone_shingles():
+    x = np.random.default_rng(1).integers(0, 1 << 32, 9000, np.uint64)  # one bucket of one: the high half is 0
+    shared, lone = x[:1000], x[1000:]
+    base, blob = ngram_join._frequency_segment(shared, np.full(1000, 2), 1024)
+    orders = ngram_join.ShingleOrders([{"bucket": 0, "n": base, "blob": blob}], 1)
+    assert len(blob) <= 128
+    level, once = orders.levels(shared)
+    assert (level >= 1).all() and not once.any()
+    assert 0.25 < orders.levels(lone)[1].mean() < 0.5
+    assert orders.prefixes(lone[:400], *(v[:400] for v in orders.levels(lone)), ngram_join.prefix_length(400, 85, 100)) == []
